@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, sharding, url_filter
+from . import chat_format, decontaminate, edit_fingerprint, language_id, mixing, secret_scan, sharding, simhash_dedup, substring_dedup, url_filter
 from .common import table
 
 #: Verdict, host and path start, as the contract of the url query gives them.
@@ -117,5 +117,43 @@ select r.page_id, r.host, r.path, r.rule, case when rule in ('com/', 'www.exampl
 from r join a using (host)
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_mixing": op2_mixing, "op3_sharding": op3_sharding, "op4_url_filter": op4_url_filter}
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and linked group of every document."""
+    x = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 400 bytes."""
+    x = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return x.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base matches, and weak parts that complete each other."""
+    x = secret_scan.scan(table(spark, sf_dir, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return x.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.links(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_mixing, op3_sharding, op4_url_filter, op5_simhash_dedup, op6_substring_dedup, op7_secret_scan, op8_language_id, op9_edit_fingerprint, op10_decontaminate)}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_mixing": OP2_SQL, "op4_url_filter": OP4_SQL}

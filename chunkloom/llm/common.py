@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,3 +56,13 @@ def text_bytes(text: Column) -> Column:
 
 def lit_array(values: list, kind: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts on the driver's garbage collections, which a driver with
+    little to do may not reach for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
