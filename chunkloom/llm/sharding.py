@@ -12,6 +12,8 @@ with the same outcome.
 Identical records would all hash to one bucket. Those that occur over
 ``heavy`` times are folded into one row and a count before the shuffle and
 unfolded with their copy number in the hash, so they spread as other rows do.
+``heavy`` rises with the rows so that at most ``MANY`` hashes of such records
+exist; this bounds what is broadcast, and texts then move once.
 
 Defined results: a null text has no bytes (a record of 8); null ids share one
 shard; repeated rows get slots of their own; an empty table gives an empty
@@ -23,11 +25,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bytes of text that a bucket should hold.
 BUCKET_BYTES = 8 << 20
+#: Most hashes of heavy records that are broadcast (8 bytes each).
+MANY = 1 << 20
 #: Bytes that count for a record besides its text.
 RECORD_BYTES = 8
 
@@ -73,28 +79,31 @@ def _shuffled(seed: int, columns: list[str]):
 def shard(docs: DataFrame, shards: int = 24, seed: int = 29, bucket_bytes: int = BUCKET_BYTES, heavy: int = 1000) -> DataFrame:
     """``docs`` with shard (0 to ``shards`` - 1) and slot, in shuffled order inside each shard."""
     names = docs.columns
-    content = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names])
-    many = docs.select(content.alias("h")).groupBy("h").count().where(F.col("count") > heavy).select("h")
-    x = docs.withColumn("shard_hash", content)
-    # At most rows / heavy hashes; Spark broadcasts them only below its own threshold.
-    once = x.join(many, F.col("shard_hash") == F.col("h"), "left_anti").withColumn("shard_copy", F.lit(0).cast("long"))
-    folded = x.join(many, F.col("shard_hash") == F.col("h"), "left_semi").groupBy(*[F.col(f"`{c}`") for c in names], "shard_hash").agg(F.count(F.lit(1)).alias("n"))
-    again = folded.select(*[F.col(f"`{c}`") for c in names], "shard_hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("shard_copy"))
+    columns = [F.col(f"`{c}`") for c in names]
+    content = F.xxhash64(F.lit(seed), *columns)
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.withColumn("shard_id", shard_of(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), shards))
 
-    sizes = {r["shard_id"]: r["b"] for r in dealt(docs).groupBy("shard_id").agg(F.sum(record_bytes(F.col("text"))).alias("b")).collect()}  # a row per shard
-    per_shard = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(s, 0) // bucket_bytes))) for s in range(shards)]), F.col("shard_id") + 1)
+    sizes = {r["shard_id"]: (r["b"], r["n"]) for r in dealt(docs).groupBy("shard_id").agg(F.sum(record_bytes(F.col("text"))).alias("b"), F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
+    heavy = max(heavy, sum(n for _, n in sizes.values()) // MANY)
+    many = cut(docs.select(content.alias("h")).groupBy("h").count().where(F.col("count") > heavy).select("h"))
+    once = docs.withColumn("shard_hash", content)
+    again = None
+    if not many.isEmpty():
+        many = F.broadcast(many)  # at most rows / heavy <= MANY hashes
+        folded = once.join(many, F.col("shard_hash") == F.col("h"), "left_semi").groupBy(*columns, "shard_hash").agg(F.count(F.lit(1)).alias("n"))
+        again = folded.select(*columns, "shard_hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("shard_copy"))
+        once = once.join(many, F.col("shard_hash") == F.col("h"), "left_anti")
+    once = once.withColumn("shard_copy", F.lit(0).cast("long"))
+    per_shard = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(s, (0, 0))[0] // bucket_bytes))) for s in range(shards)]), F.col("shard_id") + 1)
 
     def bucketed(rows: DataFrame) -> DataFrame:
         return dealt(rows).withColumn("shard_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "shard_hash", "shard_copy"), per_shard).cast("int"))
 
-    both = bucketed(once.unionByName(again))
+    both = bucketed(once if again is None else once.unionByName(again))
     counts = both.groupBy("shard_id", "shard_bucket").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("shard_id").orderBy("shard_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard_id", "shard_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
+    schema = docs.select(*columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
     return both.join(starts, ["shard_id", "shard_bucket"]).groupBy("shard_id", "shard_bucket").applyInArrow(_shuffled(seed, names), schema)
