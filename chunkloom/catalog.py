@@ -1,4 +1,10 @@
 """Registered queries of the content-delivery engine, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans import compare, store
+
+_AREAS = (compare, store)
+
+QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}
