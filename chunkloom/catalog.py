@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import compare, cost, graph, store
+from .plans import compare, content, cost, graph, sessions, store
 
-_AREAS = (compare, store, graph, cost)
+_AREAS = (compare, store, content, graph, cost, sessions)
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}

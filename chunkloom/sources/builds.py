@@ -66,7 +66,8 @@ def both_chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFram
 def binary_files(spark: SparkSession, root: str, keep: Column | None = None, content: bool = True) -> DataFrame:
     """Files under ``root``: path (relative), size, modified, and content unless only listed.
 
-    ``keep`` filters relative paths before any content is read.
+    ``keep`` filters relative paths before any content is read. Spark's file
+    sources leave out empty files, which ``list_files`` has.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.col("path"), "^file:/*", "/")
@@ -75,6 +76,17 @@ def binary_files(spark: SparkSession, root: str, keep: Column | None = None, con
     return out.where(keep) if keep is not None else out
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """The listing alone, with empty files: path, size and modification time in ms. Metadata pass through the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, rows = fs.makeQualified(path).toUri().getPath().rstrip("/"), fs.listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toUri().getPath()[len(base) + 1 :], f.getLen(), f.getModificationTime()))
+    return spark.createDataFrame(sorted(rows), "path string, size long, modified_ms long")
+
+
 def read_range(files: DataFrame, offset: Column, length: Column) -> DataFrame:
     """``files`` with the bytes [offset, offset + length), null where they exceed the file."""
     inside = (offset >= 0) & (length >= 0) & (offset + length <= F.col("size"))
