@@ -138,7 +138,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = {p: filled[i - 1] for i, p in enumerate(filled)}
     tails = x.where(F.col("ring_key").isin(list(heads.values()))).withColumn("ring_part", F.element_at(F.create_map(*[F.lit(v) for pair in before.items() for v in pair]), F.col("ring_part"))) if filled else x.limit(0)
     both = x.withColumn("ring_tail", F.lit(0)).unionByName(tails.withColumn("ring_tail", F.lit(1)))
-    return both.repartition(parts, "ring_part").sortWithinPartitions("ring_part", "ring_tail", F.desc("ring_key"), "text").select("ring_part", "ring_tail", "ring_key", "doc_id", "text")
+    return both.repartitionById(parts, F.col("ring_part")).sortWithinPartitions("ring_part", "ring_tail", F.desc("ring_key"), "text").select("ring_part", "ring_tail", "ring_key", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
