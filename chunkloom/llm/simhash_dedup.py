@@ -79,7 +79,9 @@ def links(fps: DataFrame, most: int = 256) -> DataFrame:
     members = fps.select("fp", F.explode(halves).alias("h")).select("fp", "h.seg", "h.half", "h.other")
     values = members.groupBy("seg", "half").agg(F.count(F.lit(1)).alias("n"))
     masks = F.array(*[F.lit(0xFFFFFFFF ^ (1 << i)) for i in range(32)])
-    variants = values.select("half", "n", "seg", F.posexplode(masks).alias("i", "mask")).select("half", "n", (F.col("seg") * 32 + F.col("i")).cast("int").alias("at"), F.col("half").bitwiseAND(F.col("mask")).alias("variant"))
+    # a small table that grows 32-fold: dealt anew by number, so that its partitions aren't coalesced before
+    spread = values.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "half", "seg")
+    variants = spread.select("half", "n", "seg", F.posexplode(masks).alias("i", "mask")).select("half", "n", (F.col("seg") * 32 + F.col("i")).cast("int").alias("at"), F.col("half").bitwiseAND(F.col("mask")).alias("variant"))
     near = variants.groupBy("at", "variant").agg(F.min("half").alias("v"), F.max("half").alias("w"), F.max("n").alias("n")).where("v <> w")
     pairs = near.select(F.floor(F.col("at") / 32).cast("int").alias("seg"), "v", "w", "n").union(values.where("n > 1").select("seg", F.col("half").alias("v"), F.col("half").alias("w"), "n"))
     pairs = cut(pairs)
