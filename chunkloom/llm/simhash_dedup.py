@@ -23,13 +23,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text_batches
+from .common import cut, release, whole_text_batches
 from .components import components
+from .decontaminate import shingles, word_hashes
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -111,12 +113,139 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 256) -> DataFra
     return every.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one row of each linked group: its smallest (doc_id, text)."""
-    found = near_duplicates(docs, words)
-    rep = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select(F.col("r.doc_id").alias("keep_id"), F.col("r.text_hash").alias("keep_hash"))
+# The same method for near copies of whole texts, which differ in more than two of 64 bits.
+
+#: Bits of a wide fingerprint, cut into segments of 32.
+WIDE = 256
+#: Share of differing bits up to which two wide fingerprints are worth an exact look.
+CLOSE = 0.25
+#: Hashed words whose document frequencies weigh the wide fingerprints.
+WORDS = 1 << 18
+
+
+def word_weights(texts: DataFrame) -> np.ndarray:
+    """Inverse document frequency of each hashed word over all rows of ``text``; one number a bucket comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(WORDS + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                df[np.unique(word_hashes(text or "") & np.uint64(WORDS - 1)).astype(np.int64)] += 1
+                df[-1] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["word", "n"])
+
+    df = np.zeros(WORDS + 1)
+    for word, n in texts.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n")).toPandas().itertuples(index=False):
+        df[word] = n
+    return np.log((df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
+
+
+def wide_simhash(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Four 64-bit numbers: bits that over half the weight of the different words has."""
+    words = np.unique(words)
+    w = weights[(words & np.uint64(WORDS - 1)).astype(np.int64)]
+    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+    h = words[:, None] * salts[None, :]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    bits = np.unpackbits(h.view(np.uint8), axis=1)
+    return np.packbits(w @ bits.astype(np.float32) * 2 > w.sum()).view(np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id, th (hash of the text), f0 to f3 and the number of words of every row; a null text is an empty one."""
+    whole_text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word_hashes(t) for t in batch.column(2).to_pylist()]
+            f = np.array([wide_simhash(w, weights) if len(w) else np.zeros(4, np.uint64) for w in words], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f[:, k]) for k in range(4)], pa.array([len(w) for w in words], pa.int64())], ["doc_id", "th", "f0", "f1", "f2", "f3", "n"])
+
+    x = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    return x.mapInArrow(run, "doc_id long, th long, f0 long, f1 long, f2 long, f3 long, n long")
+
+
+def wide_candidates(texts: DataFrame) -> DataFrame:
+    """(th, f0..f3, copies) -> (a, b): pairs of texts whose fingerprints come close.
+
+    Segments that are equal, or share a variant with one position wiped out,
+    bring texts together. A text meets the leader of its own value and of each
+    neighbouring value, the text with the most copies, and not all others: near
+    copies of one text meet it in most of their segments, and pairs grow with
+    the texts and not with the square of a group.
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = F.lit(0xFFFFFFFF)
+    halves = [h for k in range(WIDE // 64) for h in (F.shiftrightunsigned(f"f{k}", 32), F.col(f"f{k}").bitwiseAND(low))]
+    members = texts.select("th", "copies", F.posexplode(F.array(*halves)).alias("seg", "value"))
+    rank = F.shiftleft(F.least("copies", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned("th", 24))
+    values = cut(members.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("m"), F.max_by("th", rank).alias("leader")))
+    masks = F.array(*[F.lit(0xFFFFFFFF ^ (1 << i)) for i in range(32)])
+    variants = values.repartition(parts, "value", "seg").select("value", "seg", F.posexplode(masks).alias("i", "mask")).select("value", (F.col("seg") * 32 + F.col("i")).alias("at"), F.col("value").bitwiseAND(F.col("mask")).alias("variant"))
+    near = variants.groupBy("at", "variant").agg(F.min("value").alias("v"), F.max("value").alias("w")).where("v <> w").select(F.floor(F.col("at") / 32).cast("int").alias("seg"), "v", "w")
+    both = cut(near.unionByName(near.select("seg", F.col("w").alias("v"), F.col("v").alias("w"))))
+    release(spark)
+    own = values.where("m > 1").select("seg", "value", "leader")
+    beside = both.join(values.select("seg", F.col("value").alias("w"), "leader"), ["seg", "w"]).select("seg", F.col("v").alias("value"), "leader")
+    met = members.join(own.unionByName(beside), ["seg", "value"]).where("th <> leader").select(F.col("th").alias("a"), F.col("leader").alias("b")).distinct()
+    f = lambda n: texts.select(F.col("th").alias(n), *[F.col(f"f{k}").alias(f"{n}{k}") for k in range(WIDE // 64)])
+    differ = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE // 64))
+    return met.join(f("a"), "a").join(f("b"), "b").where(differ <= int(CLOSE * WIDE)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, th and group (a text hash) of every row: texts of a group are linked by near copies.
+
+    Texts are compared by words in lower case without ASCII punctuation. A
+    candidate pair is a link if its sets of shingles of ``words`` words (of all
+    words of a shorter text) have a Jaccard similarity of at least ``least``.
+    Texts without words are only grouped with equal ones.
+    """
+    every = cut(wide_fingerprints(docs, word_weights(docs)))
+    texts = cut(every.groupBy("th").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")]))
+    pairs = cut(wide_candidates(texts.where("n > 0").select("th", "copies", "f0", "f1", "f2", "f3")))
+    release(docs.sparkSession)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                w = word_hashes(text or "")
+                found.append(np.unique(shingles(w, min(words, len(w)))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["th", "grams"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(texts.select("th", "least"), "th")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
+    grams = docs.select(*key, "text").join(asked.select("th", F.coalesce("least", F.lit(0)).alias("ki")), ["th", "ki"], "left_semi").select("th", "text").mapInArrow(sets, "th long, grams binary")
+    grams = cut(grams.groupBy("th").agg(F.first("grams").alias("grams")))
+    release(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    g = lambda n: grams.select(F.col("th").alias(n), F.col("grams").alias(f"g{n}"))
+    links_ = pairs.join(g("a"), "a").join(g("b"), "b").where(alike("ga", "gb")).select("a", "b")
+    roots = components(links_)
+    named = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("group"))
+    return every.select("doc_id", "th").join(named, "th")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies: its smallest (doc_id, text hash)."""
+    found = near_copies(docs, words, least)
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.doc_id", "r.th")
     # rows that agree in both are one document; ids are null-safe through a key of two parts
-    key = [F.col("doc_id").isNull().alias("kn"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki")]
-    rep = rep.select(F.col("keep_id").isNull().alias("kn"), F.coalesce("keep_id", F.lit(0)).alias("ki"), F.col("keep_hash").alias("kh"))
-    x = docs.select("*", *key, F.xxhash64("text").alias("kh")).join(rep, ["kn", "ki", "kh"], "left_semi")
+    first = first.select(F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0)).alias("ki"), F.col("th").alias("kh"))
+    key = [F.col("doc_id").isNull().alias("kn"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kh")]
+    x = docs.select("*", *key).join(first, ["kn", "ki", "kh"], "left_semi")
     return x.withColumn("k", F.row_number().over(Window.partitionBy("kn", "ki", "kh").orderBy("kh"))).where("k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

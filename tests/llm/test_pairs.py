@@ -82,11 +82,45 @@ def test_links_connect_all_within_two_bits(spark, most):
     assert [root.get(f, f) for f in signed] == want
 
 
+def shingle_set(text, words=5):
+    w = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]", " ", (text or "").lower()).split()
+    k = min(words, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def test_near_copies_are_grouped(spark, texts):
+    rng = random.Random(4)
+    own = [t for _, t in texts if 400 < len(t) < 4000][:60]
+    copies, base = [], []
+    for k, t in enumerate(own[:30]):
+        for _ in range(3):
+            w = t.split()
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = rng.choice(["other", "words", "here"])
+            copies.append(" ".join(w).upper() if rng.random() < 0.3 else "  ".join(w))
+            base.append(k)
+    group = {r["doc_id"]: r["group"] for r in simhash_dedup.near_copies(frame(spark, [*own, *copies])).collect()}
+    sets = [shingle_set(t) for t in [*own, *copies]]
+    close = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = [(len(own) + i, k) for i, k in enumerate(base) if close(sets[len(own) + i], sets[k])]
+    assert len(want) > 60 and np.mean([group[a] == group[b] for a, b in want]) > 0.97
+    # whatever shares a group is chained by similar texts
+    for g in set(group.values()):
+        members = [i for i in group if group[i] == g]
+        reached, todo = {members[0]}, [members[0]]
+        while todo:
+            a = todo.pop()
+            new = [b for b in members if b not in reached and close(sets[a], sets[b])]
+            reached.update(new)
+            todo += new
+        assert reached == set(members)
+
+
 def test_one_of_each_keeps_one_row_of_a_group(spark):
-    df = frame(spark, ["a b c d", "a b c d", "A B c d", "other words are here", None, "", "other words are here"], [4, 3, 3, 9, 1, 2, 9])
+    df = frame(spark, ["a b c d", "a b c d", "A b, c d", "other words are here", None, "", "other words are here", "..."], [4, 3, 3, 9, 1, 2, 9, 5])
     kept = simhash_dedup.one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 9]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 9]
     assert simhash_dedup.one_of_each(df.limit(0)).count() == 0
 
 
