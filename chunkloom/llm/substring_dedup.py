@@ -51,7 +51,7 @@ PIECE = 1 << 20
 #: Bytes of items that go through the transform together.
 BATCH_BYTES = 12 << 20
 #: Different items of an anchor beyond which its windows are counted one by one.
-HEAVY = 5000
+HEAVY = 20000
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
@@ -226,21 +226,24 @@ def _windowed(length: int):
 def repeated_spans(docs: DataFrame, length: int, heavy: int = HEAVY) -> DataFrame:
     """(did, tid, body) -> did, tid, first, last: runs of starts of repeated windows."""
     # of a document's items any one stands for all with its content; what is chosen is fixed by the checkpoint
-    counted = items(docs, length).groupBy("gram", "item").agg(F.count(F.lit(1)).alias("occ"), *[F.first(c).alias(c) for c in ("did", "tid", "lo", "wins", "off")])
+    counted = cut(items(docs, length).groupBy("gram", "item").agg(F.count(F.lit(1)).alias("occ"), *[F.first(c).alias(c) for c in ("did", "tid", "lo", "wins", "off")]))
     kinds = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.max("occ").alias("most")).where("kinds > 1 or most > 1").select("gram", "kinds")
     found = cut(counted.join(kinds, "gram"))
+    del counted, kinds
     release(docs.sparkSession)
 
     body = F.substring("body", (F.col("lo") + 1).cast("int"), (F.col("wins") + length - 1).cast("int")).alias("body")
-    fetched = found.where("kinds > 1").join(docs, ["did", "tid"]).select("gram", "item", "did", "tid", "lo", "off", body, "occ", "kinds")
+    fetched = cut(found.where("kinds > 1").join(docs, ["did", "tid"]).select("gram", "item", "did", "tid", "lo", "off", body, "occ", "kinds"))
+    release(docs.sparkSession)
     columns = ["gram", "item", "did", "tid", "lo", "off", "body", "occ"]
-    dealt = fetched.where(F.col("kinds") <= heavy).select(columns).repartition("gram").sortWithinPartitions("gram", "item")
-    partial = dealt.mapInArrow(_transformed(length), _FOUND)
+    partial = fetched.where(F.col("kinds") <= heavy).select(columns).repartition("gram").sortWithinPartitions("gram", "item").mapInArrow(_transformed(length), _FOUND)
     if not found.where(F.col("kinds") > heavy).isEmpty():
-        single = fetched.where(F.col("kinds") > heavy).select(columns).mapInArrow(_windowed(length), "w1 long, w2 long, did long, tid long, first long, occ long")
+        # an anchor's items lie together after the join; their windows are many times more, so they are spread first
+        single = fetched.where(F.col("kinds") > heavy).select(columns).dropDuplicates(["gram", "item", "did", "tid", "lo"]).mapInArrow(_windowed(length), "w1 long, w2 long, did long, tid long, first long, occ long")
         twice = single.groupBy("w1", "w2").agg(F.sum("occ").alias("n")).where("n > 1").select("w1", "w2")
         partial = partial.union(single.where("occ = 1").join(twice, ["w1", "w2"]).select("did", "tid", "first", F.col("first").alias("last")))
     partial = cut(partial)
+    del fetched
     release(docs.sparkSession)
     whole = items(docs, length).join(found.where("occ > 1").select("gram", "item"), ["gram", "item"]).select("did", "tid", F.col("lo").alias("first"), (F.col("lo") + F.col("wins") - 1).alias("last"))
     return partial.union(whole)
