@@ -70,23 +70,24 @@ def traffic(spark: SparkSession, rules: DataFrame | str, n: int) -> DataFrame:
     return merged.select("src", "dst", (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(0)))).alias("probability"), "rule")
 
 
-def cheapest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
+def cheapest_paths(edges: DataFrame, sources: DataFrame, by: tuple[str, ...] = (), rounds: int = 64) -> DataFrame:
     """(src, dst, bytes) and (src) -> (src, dst, bytes, steps) of the cheapest path, fewest steps among equals.
 
-    An edge without bytes costs 1. Each round lengthens paths by one step and
-    keeps the best of each pair; lineage is cut where the session has a shared
-    folder for it.
+    An edge without bytes costs 1. Columns in ``by``, which edges and sources
+    share, keep graphs apart that are searched together. Each round lengthens
+    paths by one step and keeps the best of each pair; lineage is cut where the
+    session has a shared folder for it.
     """
-    w = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.coalesce("bytes", F.lit(1)).cast("long").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w"))
-    best = sources.select(F.col("src").cast("long").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("steps"))
+    w = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"), F.coalesce("bytes", F.lit(1)).cast("long").alias("w")).groupBy(*by, "u", "v").agg(F.min("w").alias("w"))
+    best = sources.select(*by, F.col("src").cast("long").alias("src")).distinct().select(*by, "src", F.col("src").alias("u"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("steps"))
     mark = None
     for _ in range(rounds):
-        longer = best.join(w, best["dst"] == w["u"]).select("src", F.col("v").alias("dst"), (F.col("bytes") + F.col("w")).alias("bytes"), (F.col("steps") + 1).alias("steps"))
-        best = best.unionByName(longer).groupBy("src", "dst").agg(F.min(F.struct("bytes", "steps")).alias("m")).select("src", "dst", "m.bytes", "m.steps")
+        longer = best.join(w, [*by, "u"]).select(*by, "src", F.col("v").alias("u"), (F.col("bytes") + F.col("w")).alias("bytes"), (F.col("steps") + 1).alias("steps"))
+        best = best.unionByName(longer).groupBy(*by, "src", "u").agg(F.min(F.struct("bytes", "steps")).alias("m")).select(*by, "src", "u", "m.bytes", "m.steps")
         best = _settled(best)
         now = best.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("steps")).first()
         if now == mark:
-            return best
+            return best.withColumnRenamed("u", "dst")
         mark = now
     raise RuntimeError("paths did not settle")
 

@@ -66,12 +66,11 @@ def explain_path(spark, sf_dir):
 
 def simulate_policy(spark, sf_dir):
     """The built-in adjacent-heavy traffic priced under each policy."""
-    sources, pol = spark.range(N).select(F.col("id").alias("src")), _policies(spark)
-    t, paths, queries = graph.traffic(spark, "adjacent-heavy", N), None, None
-    for name in ("adjacent", "ladder", "hot", "all"):
-        p = graph.cheapest_paths(_bytes(pol.where(F.col("policy") == name)), sources).withColumn("policy", F.lit(name))
-        q = t.withColumn("policy", F.lit(name))
-        paths, queries = (p, q) if paths is None else (paths.unionByName(p), queries.unionByName(q))
+    pol = _policies(spark).where("policy <> 'hub'")
+    names = ("adjacent", "ladder", "hot", "all")
+    each = lambda df: df.select("*", F.explode(F.array(*[F.lit(n) for n in names])).alias("policy"))
+    paths = graph.cheapest_paths(_bytes(pol), each(spark.range(N).select(F.col("id").alias("src"))), by=("policy",))
+    queries = each(graph.traffic(spark, "adjacent-heavy", N))
     return graph.policy_summary(graph.simulate(queries, paths, _nodes(spark)), USERS)
 
 

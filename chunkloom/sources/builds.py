@@ -19,13 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a table has fewer row groups than that; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def old_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return d.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.col("source").alias("depot"), F.col("lang").alias("language"))
 
 
 def new_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 11 <> 0")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").where("doc_id % 11 <> 0"))
     half = F.floor(F.length("text") / 2).cast("int")
     content = (
         F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(">>shift:"), "text"))
