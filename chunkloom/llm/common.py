@@ -66,3 +66,18 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+class Kept:
+    """The columns of ``df`` under names that can't clash with an operator's own.
+
+    Columns that start with ``prefix`` are renamed while the operator works.
+    ``columns`` gives them their names back, without those in ``own``: where an
+    operator adds a column of that name, its own replaces it.
+    """
+
+    def __init__(self, df: DataFrame, prefix: str, own: tuple[str, ...] = ()):
+        names = {c: f"kept {i} {c}" if c.lower().startswith(prefix) else c for i, c in enumerate(df.columns)}
+        self.df = df.withColumnsRenamed({c: n for c, n in names.items() if c != n})
+        taken = {o.lower() for o in own}
+        self.columns = [F.col(f"`{n}`").alias(c) for c, n in names.items() if c.lower() not in taken]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, whole_text_batches
+from .common import Kept, cut, release, whole_text_batches
 from .components import components
 from .decontaminate import shingles, word_hashes
 
@@ -172,10 +172,11 @@ def wide_candidates(texts: DataFrame) -> DataFrame:
     """(th, f0..f3, copies) -> (a, b): pairs of texts whose fingerprints come close.
 
     Segments that are equal, or share a variant with one position wiped out,
-    bring texts together. A text meets the leader of its own value and of each
-    neighbouring value, the text with the most copies, and not all others: near
-    copies of one text meet it in most of their segments, and pairs grow with
-    the texts and not with the square of a group.
+    bring texts together. In each segment a text meets two others at most: the
+    leader of its own value, which is the text with the most copies, and the
+    first of the leaders of neighbouring values. Near copies of one text meet it
+    in most of their segments, and pairs grow with the texts and not with the
+    square of a group.
     """
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,14 +184,16 @@ def wide_candidates(texts: DataFrame) -> DataFrame:
     halves = [h for k in range(WIDE // 64) for h in (F.shiftrightunsigned(f"f{k}", 32), F.col(f"f{k}").bitwiseAND(low))]
     members = texts.select("th", "copies", F.posexplode(F.array(*halves)).alias("seg", "value"))
     rank = F.shiftleft(F.least("copies", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned("th", 24))
-    values = cut(members.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("m"), F.max_by("th", rank).alias("leader")))
-    masks = F.array(*[F.lit(0xFFFFFFFF ^ (1 << i)) for i in range(32)])
-    variants = values.repartition(parts, "value", "seg").select("value", "seg", F.posexplode(masks).alias("i", "mask")).select("value", (F.col("seg") * 32 + F.col("i")).alias("at"), F.col("value").bitwiseAND(F.col("mask")).alias("variant"))
-    near = variants.groupBy("at", "variant").agg(F.min("value").alias("v"), F.max("value").alias("w")).where("v <> w").select(F.floor(F.col("at") / 32).cast("int").alias("seg"), "v", "w")
-    both = cut(near.unionByName(near.select("seg", F.col("w").alias("v"), F.col("v").alias("w"))))
+    values = cut(members.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("m"), F.max_by("th", rank).alias("leader"), F.max(rank).alias("rank")))
+    # a variant is one number, of segment, position and the other bits; its owners differ, so two rows are two neighbours
+    keys = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.shiftleft((F.col("seg") * 32 + i).cast("long"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
+    shared = values.repartition(parts, "value", "seg").select(F.explode(keys).alias("key")).groupBy("key").count().where("count = 2")
+    at = F.shiftrightunsigned("key", 32)
+    pair = shared.select(F.floor(at / 32).cast("int").alias("seg"), F.col("key").bitwiseAND(low).alias("v"), F.col("key").bitwiseAND(low).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("w"))
+    near = cut(pair.select("seg", F.explode(F.array(F.struct("v", "w"), F.struct(F.col("w").alias("v"), F.col("v").alias("w")))).alias("p")).select("seg", "p.v", "p.w"))
     release(spark)
     own = values.where("m > 1").select("seg", "value", "leader")
-    beside = both.join(values.select("seg", F.col("value").alias("w"), "leader"), ["seg", "w"]).select("seg", F.col("v").alias("value"), "leader")
+    beside = near.join(values.select("seg", F.col("value").alias("w"), "leader", "rank"), ["seg", "w"]).groupBy("seg", F.col("v").alias("value")).agg(F.max_by("leader", "rank").alias("leader"))
     met = members.join(own.unionByName(beside), ["seg", "value"]).where("th <> leader").select(F.col("th").alias("a"), F.col("leader").alias("b")).distinct()
     f = lambda n: texts.select(F.col("th").alias(n), *[F.col(f"f{k}").alias(f"{n}{k}") for k in range(WIDE // 64)])
     differ = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE // 64))
@@ -245,7 +248,8 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     found = near_copies(docs, words, least)
     first = found.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.doc_id", "r.th")
     # rows that agree in both are one document; ids are null-safe through a key of two parts
-    first = first.select(F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0)).alias("ki"), F.col("th").alias("kh"))
-    key = [F.col("doc_id").isNull().alias("kn"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("kh")]
-    x = docs.select("*", *key).join(first, ["kn", "ki", "kh"], "left_semi")
-    return x.withColumn("k", F.row_number().over(Window.partitionBy("kn", "ki", "kh").orderBy("kh"))).where("k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.select(F.col("doc_id").isNull().alias("near_null"), F.coalesce("doc_id", F.lit(0)).alias("near_id"), F.col("th").alias("near_hash"))
+    kept, key = Kept(docs, "near_"), ["near_null", "near_id", "near_hash"]
+    x = kept.df.select("*", F.col("doc_id").isNull().alias("near_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("near_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("near_hash"))
+    x = x.join(first, key, "left_semi").withColumn("near_row", F.row_number().over(Window.partitionBy(*key).orderBy("near_hash")))
+    return x.where("near_row = 1").select(*kept.columns)
