@@ -14,7 +14,8 @@ the sample's features and one document frequency per hashed feature.
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text when no row has a label; ties of probability go to the
 first label in order; repeated rows are predicted alike; an empty table gives
-an empty result; extra columns go along.
+an empty result; extra columns go along, and lang_pred or lang_score is
+replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text_batches
+from .common import Kept, whole_text_batches
 
 FEATURES = 1 << 15
 UNKNOWN = "und"
@@ -153,9 +154,12 @@ def train(labelled: DataFrame, per_label: int = 600, seed: int = 7) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts(t) for t in batch.column(0).to_pylist()]
-            at = [np.flatnonzero(c).astype(np.uint16) for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() for c, i in zip(found, at, strict=True)], pa.binary())], ["lang", "draw", "at", "n"])
+            found = []
+            for text in batch.column(0).to_pylist():
+                c = counts(text)
+                at = np.flatnonzero(c)
+                found.append((at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]], ["lang", "draw", "at", "n"])
 
     drawn = known.where(draw < share).select("text", "lang", draw.alias("draw")).mapInArrow(run, "lang string, draw long, at binary, n binary").toPandas().sort_values(["draw", "lang"])
     rows = []
@@ -177,7 +181,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("lang_guess", guess("text")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("lang_guess.lang_pred").alias("lang_pred"), F.col("lang_guess.score").alias("lang_score"))
+    kept = Kept(docs, "lang_", ("lang_pred", "lang_score"))
+    return kept.df.withColumn("lang_guess", guess("text")).select(*kept.columns, F.col("lang_guess.lang_pred").alias("lang_pred"), F.col("lang_guess.score").alias("lang_score"))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

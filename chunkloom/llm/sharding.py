@@ -17,7 +17,8 @@ exist; this bounds what is broadcast, and texts then move once.
 
 Defined results: a null text has no bytes (a record of 8); null ids share one
 shard; repeated rows get slots of their own; an empty table gives an empty
-result; extra columns go along, names that start with shard_ are reserved.
+result; extra columns go along (of any type that hashes, so not maps), and ones
+named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Kept, cut
 
 #: Bytes of text that a bucket should hold.
 BUCKET_BYTES = 8 << 20
@@ -78,6 +79,8 @@ def _shuffled(seed: int, columns: list[str]):
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 29, bucket_bytes: int = BUCKET_BYTES, heavy: int = 1000) -> DataFrame:
     """``docs`` with shard (0 to ``shards`` - 1) and slot, in shuffled order inside each shard."""
+    kept = Kept(docs.drop("shard", "slot"), "shard")
+    docs = kept.df
     names = docs.columns
     columns = [F.col(f"`{c}`") for c in names]
     content = F.xxhash64(F.lit(seed), *columns)
@@ -87,14 +90,14 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 29, bucket_bytes: int =
 
     sizes = {r["shard_id"]: (r["b"], r["n"]) for r in dealt(docs).groupBy("shard_id").agg(F.sum(record_bytes(F.col("text"))).alias("b"), F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
     heavy = max(heavy, sum(n for _, n in sizes.values()) // MANY)
-    many = cut(docs.select(content.alias("h")).groupBy("h").count().where(F.col("count") > heavy).select("h"))
+    many = cut(docs.select(content.alias("shard_h")).groupBy("shard_h").count().where(F.col("count") > heavy).select("shard_h"))
     once = docs.withColumn("shard_hash", content)
     again = None
     if not many.isEmpty():
         many = F.broadcast(many)  # at most rows / heavy <= MANY hashes
-        folded = once.join(many, F.col("shard_hash") == F.col("h"), "left_semi").groupBy(*columns, "shard_hash").agg(F.count(F.lit(1)).alias("n"))
-        again = folded.select(*columns, "shard_hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("shard_copy"))
-        once = once.join(many, F.col("shard_hash") == F.col("h"), "left_anti")
+        folded = once.join(many, F.col("shard_hash") == F.col("shard_h"), "left_semi").groupBy(*columns, "shard_hash").agg(F.count(F.lit(1)).alias("shard_n"))
+        again = folded.select(*columns, "shard_hash", F.explode(F.sequence(F.lit(1).cast("long"), "shard_n")).alias("shard_copy"))
+        once = once.join(many, F.col("shard_hash") == F.col("shard_h"), "left_anti")
     once = once.withColumn("shard_copy", F.lit(0).cast("long"))
     per_shard = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(s, (0, 0))[0] // bucket_bytes))) for s in range(shards)]), F.col("shard_id") + 1)
 
@@ -106,4 +109,5 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 29, bucket_bytes: int =
     before = Window.partitionBy("shard_id").orderBy("shard_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard_id", "shard_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     schema = docs.select(*columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
-    return both.join(starts, ["shard_id", "shard_bucket"]).groupBy("shard_id", "shard_bucket").applyInArrow(_shuffled(seed, names), schema)
+    out = both.join(starts, ["shard_id", "shard_bucket"]).groupBy("shard_id", "shard_bucket").applyInArrow(_shuffled(seed, names), schema)
+    return out.select(*kept.columns, "shard", "slot")

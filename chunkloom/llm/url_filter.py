@@ -11,7 +11,8 @@ the lower posterior bound of its rate of bad pages is above a threshold.
 Defined results: a null url or one without :// has an empty host and path and
 takes the prior of all pages; without labels every page that no rule fits is
 allowed; a page with several labels counts each; repeated rows stay; an empty
-table gives an empty result.
+table gives an empty result; extra columns go along, and one with the name of
+an added column is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 #: Second-level labels that, below a two-letter top level, belong to the suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Strengths that a fitted prior may take.
@@ -109,11 +112,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     """
     labelled = outcomes.where("bad is not null").select(url_host(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad"))
     hosts, domains, suffixes, rest = reputation(labelled, z)
-    x = pages.withColumns({"url_host": url_host(F.col("url")), "url_path": url_path(F.col("url"))})
+    kept = Kept(pages, "url_", ("url_host", "url_path", "url_rule", "url_verdict", "url_labels", "url_bound"))
+    x = kept.df.withColumns({"url_host": url_host(F.col("url")), "url_path": url_path(F.col("url"))})
     # every host once, with the bound of the nearest level that has labels; then one join to the pages
     known = x.select("url_host").distinct().withColumns({"domain": url_domain(F.col("url_host")), "suffix": url_suffix(F.col("url_host"))})
     known = known.join(hosts, F.col("url_host") == F.col("host"), "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-    known = known.select(F.col("url_host").alias("h"), F.coalesce("n", F.lit(0)).alias("url_labels"), F.round(F.coalesce("bound", "domain_bound", "suffix_bound", F.lit(rest)), 6).alias("url_bound"))
-    x = x.join(known, F.col("url_host") == F.col("h"), "left").drop("h").withColumn("url_fit", rule_of(F.col("url_host"), F.col("url_path"), rules))
+    known = known.select(F.col("url_host").alias("url_h"), F.coalesce("n", F.lit(0)).alias("url_labels"), F.round(F.coalesce("bound", "domain_bound", "suffix_bound", F.lit(rest)), 6).alias("url_bound"))
+    x = x.join(known, F.col("url_host") == F.col("url_h"), "left").withColumn("url_fit", rule_of(F.col("url_host"), F.col("url_path"), rules))
     by_host = F.when(F.col("url_bound") > F.lit(threshold), F.lit("block")).otherwise(F.lit("allow"))
-    return x.select(*pages.columns, "url_host", "url_path", F.col("url_fit.rule").alias("url_rule"), F.coalesce("url_fit.verdict", by_host).alias("url_verdict"), "url_labels", "url_bound")
+    return x.select(*kept.columns, "url_host", "url_path", F.col("url_fit.rule").alias("url_rule"), F.coalesce("url_fit.verdict", by_host).alias("url_verdict"), "url_labels", "url_bound")
