@@ -223,3 +223,25 @@ def test_unknown_language(spark):
     none = language_id.train(documents(spark, [(1, "x", None, "s")]))
     assert {r["lang_pred"] for r in language_id.identify(ask, none).collect()} == {"und"}
     assert language_id.identify(ask.limit(0), model).count() == 0
+
+
+# columns that clash with an operator's own
+
+
+def test_clashing_columns(spark):
+    from chunkloom.llm import decontaminate, edit_fingerprint, simhash_dedup, substring_dedup
+
+    names = "mix_size mix_copies mix_key shard slot shard_hash shard_h url_host url_h lang_pred lang_guess near_hash near_row h n k fp th did tid body count word grams kn spans formatted rows start".split()
+    df = documents(spark, [(i, f"the text of number {i} " * 9, "en", "s") for i in range(8)]).withColumns({c: F.lit("x") for c in names}).withColumn("url", F.lit("http://a.org/"))
+    model = language_id.train(df)
+    outs = [
+        mixing.mix(df), mixing.expand(mixing.mix(df)), sharding.shard(df, 3), sharding.shard(df.union(df).union(df), 3, heavy=2), url_filter.judge(df.withColumn("page_id", F.col("doc_id")), df.select("url", F.lit(1).alias("bad")), catalog.URL_RULES),
+        language_id.identify(df, model), simhash_dedup.one_of_each(df), simhash_dedup.near_duplicates(df), substring_dedup.remove_repeats(df), secret_scan.scan(df), edit_fingerprint.edited_fingerprints(df), edit_fingerprint.fingerprints(df), decontaminate.clean(df, df.select(F.col("doc_id").alias("item_id"), "text")),
+    ]
+    for out in outs:
+        assert len(set(out.columns)) == len(out.columns)
+        out.collect()
+    assert {"th", "near_hash", "shard_h"} <= set(outs[2].columns) and outs[2].schema["shard"].dataType.typeName() == "integer"
+    assert outs[6].columns == df.columns
+    turns = df.select("*", F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), chat_format.text_parts(F.col("text")).alias("parts"))
+    assert chat_format.format_chats(turns).first()["n_turns"] == 8
