@@ -102,7 +102,11 @@ def apply_plan(spark: SparkSession, old_root: str, plan_root: str, out: str) ->
 
 
 def write_files(files: DataFrame, out: str) -> DataFrame:
-    """Writes (path, content) below ``out``, each to a temporary name first; executors write, so ``out`` is a shared place."""
+    """Writes (path, content) below ``out``, each to a temporary name first; executors write, so ``out`` is a shared place.
+
+    A file that is there with the same content is left alone, so a run that was
+    stopped goes on where it was.
+    """
     if not files.where(~scalars.path_is_safe(F.col("path"))).isEmpty():
         raise EngineError("UNSAFE_PATH", "a path leaves the folder")
 
@@ -113,6 +117,11 @@ def write_files(files: DataFrame, out: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.path, batch.content, strict=True):
                 target = f"{base}/{path}"
+                there = store.get_file_info(target)
+                if there.is_file and there.size == len(content):
+                    with store.open_input_stream(target) as f:
+                        if f.read() == bytes(content):
+                            continue
                 store.create_dir(target.rpartition("/")[0], recursive=True)
                 with store.open_output_stream(f"{target}.part") as f:
                     f.write(bytes(content))
@@ -153,3 +162,15 @@ def benchmark(spark: SparkSession, old_root: str, new_root: str) -> list[tuple[s
         run().write.format("noop").mode("overwrite").save()
         out.append((name, time.monotonic() - began))
     return out
+
+
+def certify(spark: SparkSession, box_root: str, current: DataFrame | None = None, baseline: DataFrame | None = None, threshold: float = 0.05) -> DataFrame:
+    """(phase, result, checks): integrity of a container, that it unpacks, and metrics against a baseline if there is one."""
+    box = container.open_container(spark, box_root)
+    ok = lambda good: F.when(good, "pass").otherwise("fail")
+    checks = container.verify(box).select(F.lit("integrity").alias("phase"), ok(F.col("problems") == 0).alias("result"))
+    checks = checks.unionByName(container.unpack(box).agg(F.count_if(~F.col("sound")).alias("n")).select(F.lit("unpack").alias("phase"), ok(F.col("n") == 0).alias("result")))
+    if current is not None and baseline is not None:
+        r = cost.regressions(current, baseline, threshold).select(F.lit("regressions").alias("phase"), F.when(F.col("result").isin("pass", "fail"), F.col("result")).otherwise("skipped").alias("result"))
+        checks = checks.unionByName(r)
+    return integrity.worst(checks, "phase")

@@ -173,3 +173,21 @@ def regressions(current: DataFrame, baseline: DataFrame, threshold: float, excep
 
 def rebuild_score(network: Column, read: Column, seeks: Column, verify: Column) -> Column:
     return 100 * network + read + 4096 * seeks + 512 * verify
+
+
+#: Client states as keyword arguments of ``score_routes``, and whether an old build and a cache are there.
+CLIENT_STATES = {
+    "new": ({}, False, False), "previous": ({}, True, False), "warm": ({}, True, True), "cache-only": ({}, False, True),
+    "slow-hdd": ({"slow_hdd": True}, True, False), "low-disk": ({"low_disk": True}, True, False), "low-ram": ({"low_ram": True}, True, False),
+}
+
+
+def state_matrix(routes: DataFrame, policy: str) -> DataFrame:
+    """The chosen route of each client in each state; routes that need what a state lacks aren't available."""
+    out = None
+    for name, (flags, old, cache) in CLIENT_STATES.items():
+        needs_old, needs_cache = F.col("route").isin("plan", "patch", "hybrid"), F.col("route") == "chunks"
+        able = F.col("available") & (F.lit(old) | ~needs_old) & (F.lit(old or cache) | ~needs_cache)
+        x = score_routes(routes.withColumn("available", able), policy, **flags).where("chosen").select("client", F.lit(name).alias("state"), "route")
+        out = x if out is None else out.unionByName(x)
+    return out

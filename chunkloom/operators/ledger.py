@@ -127,3 +127,20 @@ def append_offsets(chunks: DataFrame) -> DataFrame:
     """(pack, ord, len) with the offset at which each chunk is appended."""
     w = Window.partitionBy("pack").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return chunks.withColumn("off", F.coalesce(F.sum("len").over(w), F.lit(0)))
+
+
+def quarantine(packs: DataFrame, live: DataFrame, now: int, period: int) -> DataFrame:
+    """(pack, quarantined_at) and (pack) with references -> what becomes of each pack.
+
+    A dead pack goes to quarantine, stays for ``period`` seconds and is then
+    swept; one that is referenced again comes back.
+    """
+    x = packs.join(live.select("pack").distinct().withColumn("used", F.lit(True)), "pack", "left")
+    held, used = F.col("quarantined_at").isNotNull(), F.col("used").isNotNull()
+    action = F.when(held & used, "restore").when(used, "keep").when(~held, "quarantine").when(F.lit(now) - F.col("quarantined_at") >= period, "sweep").otherwise("wait")
+    return x.select("pack", action.alias("action"), F.when(action == "quarantine", F.lit(now).cast("long")).when(action == "wait", F.col("quarantined_at")).alias("quarantined_at"))
+
+
+def request_accounting(requests: DataFrame) -> DataFrame:
+    """(format, bytes): requests and bytes of each format."""
+    return requests.groupBy("format").agg(F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("bytes"))

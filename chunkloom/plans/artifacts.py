@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, compare, delta, graph
+from ..operators import chunking, compare, cost, delta, graph, ledger
 from ..sources import builds, container, formats, synth
 from ..sources.builds import SQL, table
 from .content import _bytes
@@ -134,7 +134,71 @@ def static_export(spark, sf_dir):
     return spark.read.parquet(formats.static_url(root, "assets")).groupBy("asset").agg(F.count(F.lit(1)).alias("chunks"), F.sum("len").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (container_verify, container_unpack, container_manifest, container_ingest, cached_sources, run_expansion, synthetic_drift, synthetic_directory, version_stream_costs, plan_identity, project_history, settings_upsert, capabilities, static_export)}
+def layout_cases(spark, sf_dir):
+    """What each way of editing a pack costs: fixed chunks by place against content-defined ones, and who is cheaper by a quarter."""
+    old, new = synth.case_matrix(spark, 64, 9, 4096)
+    both = builds.fixed_chunks(old, 4096).withColumn("is_new", F.lit(0)).unionByName(builds.fixed_chunks(new, 4096).withColumn("is_new", F.lit(1)))
+    fixed = compare.file_estimates(both).select("path", F.col("download").alias("fixed"))
+    known = chunking.cdc_chunks(old, 256, 1024, 4096, 1).select("path", "hash").distinct()
+    cdc = chunking.cdc_chunks(new, 256, 1024, 4096, 1).join(known, ["path", "hash"], "left_anti").groupBy("path").agg(F.sum("len").alias("cdc"))
+    x = fixed.join(cdc, "path", "left").withColumn("cdc", F.coalesce("cdc", F.lit(0)))
+    better = F.when(F.col("fixed") * 4 < F.col("cdc") * 3, "fixed").when(F.col("cdc") * 4 < F.col("fixed") * 3, "content").otherwise("either")
+    return x.select("path", (F.col("fixed") == 0).alias("fixed_free"), better.alias("better"))
+
+
+def layout_case_fixed(spark, sf_dir):
+    """Blocks that the fixed model loads for each case."""
+    old, new = synth.case_matrix(spark, 64, 9, 4096)
+    both = builds.fixed_chunks(old, 4096).withColumn("is_new", F.lit(0)).unionByName(builds.fixed_chunks(new, 4096).withColumn("is_new", F.lit(1)))
+    return compare.file_estimates(both).where("path in ('same', 'localized', 'scattered', 'toc_start', 'toc_spread', 'appended', 'shuffled')").select("path", "status", "new_chunks")
+
+
+def version_nodes(spark, sf_dir):
+    """Documents of one source as versions: order, sizes and hashes, and that compression helps."""
+    x = builds.old_build(spark, sf_dir).where("depot = 'src1'").select(F.concat(F.lit("v1."), "path").alias("path"), F.col("content").cast("binary").alias("content"))
+    return builds.versions(x, "v1.*").select("idx", "id", "size_bytes", "hash", ((F.col("compressed_bytes") < F.col("size_bytes")) | (F.col("size_bytes") < 300)).alias("smaller"))
+
+
+def pack_quarantine(spark, sf_dir):
+    """Brands as packs, some in quarantine since their number of days; live are those with a large part."""
+    p = table(spark, sf_dir, "part")
+    packs = p.select(F.col("p_brand").alias("pack"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("n")).distinct()
+    packs = packs.select("pack", F.when(F.col("n") % 3 != 0, F.col("n") * 86400).alias("quarantined_at"))
+    live = p.where("p_partkey % 40 = 1").select(F.col("p_brand").alias("pack"))
+    return ledger.quarantine(packs, live, 60 * 86400, 30 * 86400)
+
+
+def request_accounting(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, "json").otherwise("binary").alias("format"), (F.col("event_id") % 500).alias("bytes"))
+    return ledger.request_accounting(e)
+
+
+def client_state_matrix(spark, sf_dir):
+    """Routes chosen in each client state, counted."""
+    from .cost import _routes
+
+    return cost.state_matrix(_routes(spark, sf_dir), "balanced").groupBy("state", "route").agg(F.count(F.lit(1)).alias("clients"))
+
+
+QUERIES = {f.__name__: f for f in (container_verify, container_unpack, container_manifest, container_ingest, cached_sources, run_expansion, synthetic_drift, synthetic_directory, version_stream_costs, plan_identity, project_history, settings_upsert, capabilities, static_export, layout_cases, layout_case_fixed, version_nodes, pack_quarantine, request_accounting, client_state_matrix)}
+
+
+
+def _states_sql() -> str:
+    from .cost import _ROUTES_SQL
+
+    net, apply, ram, temp, read, _ = cost.POLICIES["balanced"]
+    parts = []
+    for name, (flags, old, cache) in cost.CLIENT_STATES.items():
+        t, cap = (max(temp, 1.0) * 20 if "low_disk" in flags else temp), (128 << 20 if "low_ram" in flags else 1 << 30)
+        hdd = "+ 5 * (temp / 1048576.0::double + disk_read / 1048576.0::double)" if "slow_hdd" in flags else ""
+        able = f"available and ram <= {cap} and ({str(old).lower()} or route not in ('plan', 'patch', 'hybrid')) and ({str(old or cache).lower()} or route <> 'chunks')"
+        score = f"round(network_bytes / 1048576.0::double * {net}::double + apply_ms * {apply}::double + ram / 1048576.0::double * {ram}::double + temp / 1048576.0::double * {t}::double + disk_read / 1048576.0::double * {read}::double {hdd} + 25.0::double * greatest(steps - 1, 0), 9)"
+        parts.append(f"select client, '{name}' as state, arg_min(route, struct_pack(s := {score}, p := pos)) as route from r where {able} group by client")
+    return f"with {_ROUTES_SQL}, x as ({' union all '.join(parts)}) select state, route, count(*) as clients from x group by all"
+
+
+_STATES_SQL = _states_sql()
 
 ORACLE_SQL = {
     "container_verify": "select unnest(['chunks', 'segments', 'tiling', 'totals', 'merkle']) as \"check\", 0::bigint as problems",
@@ -151,4 +215,11 @@ ORACLE_SQL = {
     "settings_upsert": "select o_custkey % 100 as key, arg_max(o_orderpriority, struct_pack(d := o_orderdate, k := o_orderkey)) as value from orders group by 1",
     "capabilities": "select * from (values ('chunk-modes', 'fixed,cdc'), ('hash', 'sha256'), ('compression', 'none,zstd'), ('schema', '1')) t(feature, value)",
     "static_export": f"with {SQL} select depot as asset, count(*) as chunks, sum(len)::bigint as bytes from nc group by depot",
+    "layout_case_fixed": "select * from (values ('same', 'unchanged', 0::bigint), ('localized', 'modified', 1), ('scattered', 'modified', 16), ('toc_start', 'modified', 1), ('toc_spread', 'modified', 64), ('appended', 'modified', 16), ('shuffled', 'unchanged', 0)) t(path, status, new_chunks)",
+    "version_nodes": "select (row_number() over (order by doc_id) - 1)::int as idx, 'v1.' || doc_id as id, strlen(text)::bigint as size_bytes, sha256(text) as hash, true as smaller from documents where source = 'src1'",
+    "pack_quarantine": """with p as (select distinct p_brand as pack, regexp_extract(p_brand, '([0-9]+)', 1)::bigint as n from part), q as (select pack, case when n % 3 <> 0 then n * 86400 end as at_, pack in (select p_brand from part where p_partkey % 40 = 1) as used from p),
+        a as (select pack, at_, case when at_ is not null and used then 'restore' when used then 'keep' when at_ is null then 'quarantine' when 5184000 - at_ >= 2592000 then 'sweep' else 'wait' end as action from q)
+        select pack, action, case action when 'quarantine' then 5184000 when 'wait' then at_ end as quarantined_at from a""",
+    "request_accounting": "select case when event_id % 3 = 0 then 'json' else 'binary' end as format, count(*) as requests, sum(event_id % 500)::bigint as bytes from events group by 1",
+    "client_state_matrix": _STATES_SQL,
 }

@@ -99,6 +99,17 @@ def read_range(files: DataFrame, offset: Column, length: Column) -> DataFrame:
     return files.withColumn("bytes", F.when(inside, F.substr("content", (offset + 1).cast("int"), length.cast("int"))))
 
 
+def versions(files: DataFrame, glob: str = "*", level: int = 3) -> DataFrame:
+    """(path, content) of artifacts -> nodes of a version graph in natural order of their names: idx, id, sizes and hash."""
+    from pyspark.sql import Window
+
+    from ..functions import scalars
+
+    x = files.where(F.col("path").rlike(scalars.version_glob(glob))).select(F.col("path").alias("id"), F.length("content").cast("long").alias("size_bytes"), scalars.compressed_length(F.col("content"), level).alias("compressed_bytes"), F.sha2("content", 256).alias("hash"))
+    order = Window.orderBy(scalars.natural_key(F.col("id")), "id")  # a row per version, content left behind
+    return x.select((F.row_number().over(order) - 1).alias("idx"), "id", "size_bytes", "compressed_bytes", "hash")
+
+
 #: DuckDB counterpart of the builds and their chunks.
 SQL = f"""
 old as (select doc_id::varchar as path, text as content, source as depot, lang as language from documents),

@@ -208,3 +208,30 @@ def static_url(base: str, *parts: str) -> str:
     if any(p in ("..", "/") for p in safe):
         raise ValueError("path leaves the tree")
     return "/".join([base.rstrip("/"), *safe])
+
+
+def prometheus(counters: DataFrame, prefix: str = "chunkloom") -> str:
+    """(name, help, value) as a page of counters; a name a row, a bounded set."""
+    lines = []
+    for r in counters.orderBy("name").collect():
+        name = f"{prefix}_{r['name']}"
+        lines += [f"# HELP {name} {r['help']}", f"# TYPE {name} counter", f"{name} {r['value']}"]
+    return "\n".join(lines) + "\n"
+
+
+def bundle(files: dict[str, bytes]) -> bytes:
+    """A reproducible archive (tar, zstd) of small files with a list of their hashes: equal files give equal bytes."""
+    import hashlib
+    import io
+    import tarfile
+
+    import zstandard
+
+    listing = "".join(f"{hashlib.sha256(v).hexdigest()}  {k}\n" for k, v in sorted(files.items()))
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+        for name, data in sorted((files | {"SHA256SUMS": listing.encode()}).items()):
+            info = tarfile.TarInfo(name)
+            info.size, info.mtime, info.mode = len(data), 0, 0o644
+            tar.addfile(info, io.BytesIO(data))
+    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())

@@ -78,3 +78,44 @@ def version_stream(spark: SparkSession, versions: int, blocks: int, seed: int, d
             yield pd.DataFrame({"version": batch.version, "content": out})
 
     return spark.range(versions).select(F.col("id").cast("int").alias("version")).repartition(max(1, min(versions, 64))).mapInPandas(run, "version int, content binary")
+
+
+#: Pairs of packs, each with a way in which edits land in a file.
+CASES = ("same", "localized", "scattered", "shifted", "shuffled", "toc_start", "toc_spread", "appended", "new_noise")
+
+
+def case_pair(case: str, blocks: int, seed: int, size: int = 4096) -> tuple[bytes, bytes]:
+    """Old and new bytes of a pack of ``blocks`` assets."""
+    assets = [block_bytes(seed, b, 0, size) for b in range(blocks)]
+    new, rng = list(assets), np.random.Generator(np.random.PCG64([seed, 7]))
+    if case == "localized":
+        new[blocks // 2] = block_bytes(seed, blocks // 2, 1, size)
+    elif case == "scattered":
+        for b in range(0, blocks, 4):
+            new[b] = block_bytes(seed, b, 1, size)
+    elif case == "shifted":
+        new.insert(0, block_bytes(seed, 1 << 21, 0, 100))
+    elif case == "shuffled":
+        new = [assets[i] for i in rng.permutation(blocks)]
+    elif case == "toc_start":
+        new[0] = block_bytes(seed, 0, 1, size)
+    elif case == "toc_spread":
+        new = [bytes([65 + i % 26]) * 8 + a[8:] for i, a in enumerate(assets)]
+    elif case == "appended":
+        new += [block_bytes(seed, blocks + i, 0, size) for i in range(blocks // 4)]
+    elif case == "new_noise":
+        new = [block_bytes(seed, 2 * b + 1, 5, size) for b in range(blocks)]
+    return b"".join(assets), b"".join(new)
+
+
+def case_matrix(spark: SparkSession, blocks: int = 64, seed: int = 9, size: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of the old and the new pack of every case."""
+
+    def made(side: int):
+        def run(batches):
+            for batch in batches:
+                yield pd.DataFrame({"path": batch.path, "content": [case_pair(c, blocks, seed, size)[side] for c in batch.path]})
+
+        return spark.createDataFrame([(c,) for c in CASES], "path string").repartition(len(CASES)).mapInPandas(run, "path string, content binary")
+
+    return made(0), made(1)

@@ -127,3 +127,28 @@ def test_ledger_applies_a_batch_once(spark, tmp_path):
     put([(1, "z", "publish"), (2, None, "remove")], 2)
     assert run() == [(1, "z")]
     assert run() == [(1, "z")]
+
+
+def test_certify_and_resume(spark, pair, tmp_path):
+    _, new, files = pair
+    api.pack_directory(spark, new, f"{tmp_path}/box", least=256, mean=1024, most=4096)
+    m = lambda v: spark.createDataFrame([("size", v)], "name string, value double")
+    got = {r["phase"]: r["result"] for r in api.certify(spark, f"{tmp_path}/box", m(120.0), m(100.0)).collect()}
+    assert got == {"integrity": "pass", "unpack": "pass", "regressions": "fail"}
+    api.fetch_static(spark, f"{tmp_path}/box", f"{tmp_path}/out")
+    kept = (tmp_path / "out" / "same.pak").stat().st_mtime_ns
+    (tmp_path / "out" / "a.bin").write_bytes(b"torn")
+    api.fetch_static(spark, f"{tmp_path}/box", f"{tmp_path}/out")
+    assert (tmp_path / "out" / "same.pak").stat().st_mtime_ns == kept and (tmp_path / "out" / "a.bin").read_bytes() == files["a.bin"]
+
+
+def test_pages_and_bundles(spark):
+    df = spark.createDataFrame([("b", "bees", 2), ("a", "ants", 1)], "name string, help string, value long")
+    assert formats.prometheus(df).splitlines()[2] == "chunkloom_a 1"
+    assert formats.bundle({"x": b"1", "y": b"2"}) == formats.bundle({"y": b"2", "x": b"1"}) != formats.bundle({"x": b"1"})
+
+
+@pytest.mark.parametrize("case", synth.CASES)
+def test_cases_are_edits(case):
+    old, new = synth.case_pair(case, 16, 9, 512)
+    assert (old == new) == (case == "same") and len(old) == 16 * 512
