@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core up to which a table is dealt anew.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where a table has fewer row groups than that; large tables stay as they are read."""
+    """A small table, which may be one row group, over all cores; others stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL else df
 
 
 def old_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,14 +50,19 @@ def new_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixed_chunks(build: DataFrame, size: int = CHUNK, content: str = "content") -> DataFrame:
     """A row per ``size`` units of content: ord, off, len, hash beside the build's other columns.
 
-    The last chunk is short; empty content has none. Nothing is shuffled.
+    The last chunk is short; empty content has none. Nothing is shuffled. Bytes
+    are cut by position; a string, in which a position takes a scan from its
+    start, is cut in one pass.
     """
-    n = F.length(content)
-    at = F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
-    cut = build.select("*", at.alias("ord"))
-    body = F.substr(F.col(content), F.col("ord") * size + 1, F.lit(size))
     others = [c for c in build.columns if c != content]
-    return cut.select(*others, F.col("ord"), (F.col("ord") * F.lit(size)).cast("long").alias("off"), F.length(body).cast("long").alias("len"), F.sha2(body, 256).alias("hash"))
+    if build.schema[content].dataType.typeName() == "string":
+        pieces = F.regexp_extract_all(F.col(content), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        cut = build.select(*others, F.posexplode(pieces).alias("ord", "body"))
+    else:
+        n = F.length(content)
+        at = F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
+        cut = build.select("*", at.alias("ord")).withColumn("body", F.substr(F.col(content), F.col("ord") * size + 1, F.lit(size)))
+    return cut.select(*others, "ord", (F.col("ord") * F.lit(size)).cast("long").alias("off"), F.length("body").cast("long").alias("len"), F.sha2("body", 256).alias("hash"))
 
 
 def old_chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame:
