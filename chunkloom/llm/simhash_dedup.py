@@ -200,8 +200,8 @@ def wide_candidates(texts: DataFrame) -> DataFrame:
     return met.join(f("a"), "a").join(f("b"), "b").where(differ <= int(CLOSE * WIDE)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, th and group (a text hash) of every row: texts of a group are linked by near copies.
+def text_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id and th, and of each different text its th, least doc_id and group (a text hash).
 
     Texts are compared by words in lower case without ASCII punctuation. A
     candidate pair is a link if its sets of shingles of ``words`` words (of all
@@ -239,14 +239,23 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     g = lambda n: grams.select(F.col("th").alias(n), F.col("grams").alias(f"g{n}"))
     links_ = pairs.join(g("a"), "a").join(g("b"), "b").where(alike("ga", "gb")).select("a", "b")
     roots = components(links_)
-    named = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("group"))
-    return every.select("doc_id", "th").join(named, "th")
+    named = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("group"))
+    return every.select("doc_id", "th"), named
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, th and group (a text hash) of every row: texts of a group are linked by near copies."""
+    every, named = text_groups(docs, words, least)
+    return every.join(named.drop("least"), "th")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near copies: its smallest (doc_id, text hash)."""
-    found = near_copies(docs, words, least)
-    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.doc_id", "r.th")
+    """``docs`` with one row of each group of near copies: its smallest (doc_id, text hash).
+
+    The choice is among different texts with their least ids, so copies aren't joined.
+    """
+    _, named = text_groups(docs, words, least)
+    first = named.groupBy("group").agg(F.min(F.struct("least", "th")).alias("r")).select(F.col("r.least").alias("doc_id"), "r.th")
     # rows that agree in both are one document; ids are null-safe through a key of two parts
     first = first.select(F.col("doc_id").isNull().alias("near_null"), F.coalesce("doc_id", F.lit(0)).alias("near_id"), F.col("th").alias("near_hash"))
     kept, key = Kept(docs, "near_"), ["near_null", "near_id", "near_hash"]
