@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,17 +37,20 @@ def two_stage_match(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
 
 
 def _greedy(data: bytes, blocks: pd.DataFrame, size: int) -> list[tuple]:
-    """Left to right: copy where a window has a full old block's hashes, else move on one byte."""
+    """Left to right: copy where a window has a full old block's hashes, else move on to the next that may."""
     by_weak: dict[int, list[tuple]] = defaultdict(list)
     for r in blocks.itertuples(index=False):
         if r.len == size:
             by_weak[r.weak].append((r.strong, r.path, r.off))
     ops, at, pending, weak = [], 0, 0, rolling_weak32(data, size)
-    while at + size <= len(data):
-        hit = None
-        if int(weak[at]) in by_weak:
-            strong = hashlib.sha256(data[at : at + size]).hexdigest()
-            hit = next(((p, o) for s, p, o in by_weak[int(weak[at])] if s == strong), None)
+    likely = np.flatnonzero(np.isin(weak, np.fromiter(by_weak, np.int64, len(by_weak))))  # windows with a known weak hash
+    while True:
+        k = int(np.searchsorted(likely, at))
+        if k == len(likely):
+            break
+        at = int(likely[k])
+        strong = hashlib.sha256(data[at : at + size]).hexdigest()
+        hit = next(((p, o) for s, p, o in by_weak[int(weak[at])] if s == strong), None)
         if hit is None:
             at += 1
             continue
