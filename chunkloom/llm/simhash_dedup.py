@@ -113,113 +113,89 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 256) -> DataFra
     return every.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-# The same method for near copies of whole texts, which differ in more than two of 64 bits.
+# Near copies of whole texts, which differ in more than two of 64 bits, are found by their sets of shingles.
 
-#: Bits of a wide fingerprint, cut into segments of 32.
-WIDE = 256
-#: Share of differing bits up to which two wide fingerprints are worth an exact look.
-CLOSE = 0.25
-#: Hashed words whose document frequencies weigh the wide fingerprints.
-WORDS = 1 << 18
+#: Bands of a sketch, and the smallest hashes that make up a band. Texts of similarity s share a band with a
+#: probability of 1 - (1 - s^BAND)^BANDS: 0.99993 at 0.8, whatever was edited, cut or appended.
+BANDS, BAND = 24, 5
+#: Standard deviations by which a sketch may fall below the least similarity before a pair is given up.
+SLACK = 5
+#: Shingles whose hashes are held at a time.
+PIECE = 4096
+_RNG = np.random.Generator(np.random.PCG64(20020519))
+_SALT, _ODD = (_RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) for _ in range(2))
+_ODD = _ODD * np.uint64(2) + np.uint64(1)
 
 
-def word_weights(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each hashed word over all rows of ``text``; one number a bucket comes to the driver."""
+def gram_set(text: str, words: int) -> np.ndarray:
+    """The different shingles of ``words`` words in order; of all words of a shorter text."""
+    w = word_hashes(text)
+    return np.unique(shingles(w, min(words, len(w)))) if len(w) else np.zeros(0, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(WORDS + 1, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df[np.unique(word_hashes(text or "") & np.uint64(WORDS - 1)).astype(np.int64)] += 1
-                df[-1] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["word", "n"])
-
-    df = np.zeros(WORDS + 1)
-    for word, n in texts.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n")).toPandas().itertuples(index=False):
-        df[word] = n
-    return np.log((df[-1] + 1) / (df[:-1] + 1)).astype(np.float32)
-
-
-def wide_simhash(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Four 64-bit numbers: bits that over half the weight of the different words has."""
-    words = np.unique(words)
-    w = weights[(words & np.uint64(WORDS - 1)).astype(np.int64)]
-    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-    h = words[:, None] * salts[None, :]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    bits = np.unpackbits(h.view(np.uint8), axis=1)
-    return np.packbits(w @ bits.astype(np.float32) * 2 > w.sum()).view(np.uint64)
-
-
-def wide_fingerprints(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, th (hash of the text), f0 to f3 and the number of words of every row; a null text is an empty one."""
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The smallest of each of BANDS * BAND hashes of the shingles; every shingle counts alike."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(grams), PIECE):
+        h = (grams[k : k + PIECE, None] ^ _SALT) * _ODD
+        np.minimum(least, h.min(axis=0), out=least)
+    return least
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, th (hash of the text), n (different shingles), low (a byte of each smallest hash) and bands of every row; a null text is an empty one."""
     whole_text_batches(docs.sparkSession)
+    place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_hashes(t) for t in batch.column(2).to_pylist()]
-            f = np.array([wide_simhash(w, weights) if len(w) else np.zeros(4, np.uint64) for w in words], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f[:, k]) for k in range(4)], pa.array([len(w) for w in words], pa.int64())], ["doc_id", "th", "f0", "f1", "f2", "f3", "n"])
+            n, low, bands = [], [], []
+            for text in batch.column(2).to_pylist():
+                grams = gram_set(text, words)
+                least = sketch(grams)
+                key = place.copy()
+                for x in least.reshape(BANDS, BAND).T:
+                    key = (key ^ x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    key ^= key >> np.uint64(31)
+                n.append(len(grams))
+                low.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+                bands.append(key.view(np.int64) if len(grams) else key[:0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "n", "low", "bands"])
 
     x = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return x.mapInArrow(run, "doc_id long, th long, f0 long, f1 long, f2 long, f3 long, n long")
+    return x.mapInArrow(run, "doc_id long, th long, n long, low binary, bands array<long>")
 
 
-def wide_candidates(texts: DataFrame) -> DataFrame:
-    """(th, f0..f3, copies) -> (a, b): pairs of texts whose fingerprints come close.
+def shared_bands(texts: DataFrame) -> DataFrame:
+    """(th, bands) -> (key, th, rank) for every band that two texts have; the text that meets most others ranks first."""
+    members = cut(texts.select("th", F.explode("bands").alias("key")))
+    met = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key")
+    rank = met.groupBy("th").agg(F.struct(F.sum("m").alias("m"), F.xxhash64("th").alias("h"), F.col("th")).alias("rank"))
+    return cut(met.select("key", "th").join(rank, "th").select("key", "th", "rank"))
 
-    Segments that are equal, or share a variant with one position wiped out,
-    bring texts together. In each segment a text meets two others at most: the
-    leader of its own value, which is the text with the most copies, and the
-    first of the leaders of neighbouring values. Near copies of one text meet it
-    in most of their segments, and pairs grow with the texts and not with the
-    square of a group.
-    """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low = F.lit(0xFFFFFFFF)
-    halves = [h for k in range(WIDE // 64) for h in (F.shiftrightunsigned(f"f{k}", 32), F.col(f"f{k}").bitwiseAND(low))]
-    members = texts.select("th", "copies", F.posexplode(F.array(*halves)).alias("seg", "value"))
-    rank = F.shiftleft(F.least("copies", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned("th", 24))
-    values = cut(members.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("m"), F.max_by("th", rank).alias("leader"), F.max(rank).alias("rank")))
-    # a variant is one number, of segment, position and the other bits; its owners differ, so two rows are two neighbours
-    keys = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.shiftleft((F.col("seg") * 32 + i).cast("long"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
-    shared = values.repartition(parts, "value", "seg").select(F.explode(keys).alias("key")).groupBy("key").count().where("count = 2")
-    at = F.shiftrightunsigned("key", 32)
-    pair = shared.select(F.floor(at / 32).cast("int").alias("seg"), F.col("key").bitwiseAND(low).alias("v"), F.col("key").bitwiseAND(low).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("w"))
-    near = cut(pair.select("seg", F.explode(F.array(F.struct("v", "w"), F.struct(F.col("w").alias("v"), F.col("v").alias("w")))).alias("p")).select("seg", "p.v", "p.w"))
-    release(spark)
-    own = values.where("m > 1").select("seg", "value", "leader")
-    beside = near.join(values.select("seg", F.col("value").alias("w"), "leader", "rank"), ["seg", "w"]).groupBy("seg", F.col("v").alias("value")).agg(F.max_by("leader", "rank").alias("leader"))
-    met = members.join(own.unionByName(beside), ["seg", "value"]).where("th <> leader").select(F.col("th").alias("a"), F.col("leader").alias("b")).distinct()
-    f = lambda n: texts.select(F.col("th").alias(n), *[F.col(f"f{k}").alias(f"{n}{k}") for k in range(WIDE // 64)])
-    differ = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE // 64))
-    return met.join(f("a"), "a").join(f("b"), "b").where(differ <= int(CLOSE * WIDE)).select("a", "b")
 
+def leaders(shared: DataFrame) -> DataFrame:
+    """(key, th, rank) -> (key, leader): the first text of each band."""
+    return shared.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.th").alias("leader"))
 
-def text_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Every row's doc_id and th, and of each different text its th, least doc_id and group (a text hash).
 
-    Texts are compared by words in lower case without ASCII punctuation. A
-    candidate pair is a link if its sets of shingles of ``words`` words (of all
-    words of a shorter text) have a Jaccard similarity of at least ``least``.
-    Texts without words are only grouped with equal ones.
-    """
-    every = cut(wide_fingerprints(docs, word_weights(docs)))
-    texts = cut(every.groupBy("th").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")]))
-    pairs = cut(wide_candidates(texts.where("n > 0").select("th", "copies", "f0", "f1", "f2", "f3")))
-    release(docs.sparkSession)
+def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of texts whose sets of shingles have a Jaccard similarity of at least ``least``."""
+    enough = least - SLACK * (least * (1 - least) / (BANDS * BAND)) ** 0.5
+
+    @F.pandas_udf("boolean")
+    def promising(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BANDS * BAND) for s in (a, b))
+        return pd.Series((x == y).mean(axis=1) >= enough)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                w = word_hashes(text or "")
-                found.append(np.unique(shingles(w, min(words, len(w)))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["th", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gram_set(t or "", words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["th", "grams"])
+
+    f = lambda n: texts.select(F.col("th").alias(n), F.col("n").alias(f"n{n}"), F.col("low").alias(f"low{n}"))
+    sized = pairs.join(f("a"), "a").join(f("b"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+    pairs = cut(sized.where(promising("lowa", "lowb")).select("a", "b"))
+    release(docs.sparkSession)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(texts.select("th", "least"), "th")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
@@ -237,8 +213,23 @@ def text_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[Da
         return pd.Series(out, dtype=bool)
 
     g = lambda n: grams.select(F.col("th").alias(n), F.col("grams").alias(f"g{n}"))
-    links_ = pairs.join(g("a"), "a").join(g("b"), "b").where(alike("ga", "gb")).select("a", "b")
-    roots = components(links_)
+    return cut(pairs.join(g("a"), "a").join(g("b"), "b").where(alike("ga", "gb")).select("a", "b"))
+
+
+def text_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id and th, and of each different text its th, least doc_id and group (a text hash).
+
+    Texts are compared by words in lower case without ASCII punctuation. A
+    candidate pair is a link if its sets of shingles of ``words`` words (of all
+    words of a shorter text) have a Jaccard similarity of at least ``least``.
+    Texts without words are only grouped with equal ones.
+    """
+    every = cut(sketches(docs, words))
+    texts = cut(every.groupBy("th").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "bands")]))
+    release(docs.sparkSession)
+    shared = shared_bands(texts.where("n > 0"))
+    met = shared.join(leaders(shared), "key").where("th <> leader").select(F.col("th").alias("a"), F.col("leader").alias("b")).distinct()
+    roots = components(verified(docs, texts, met, words, least))
     named = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("group"))
     return every.select("doc_id", "th"), named
 
