@@ -71,3 +71,13 @@ def test_appended_cut_and_edited_copies(spark):
     got = found_groups(spark, texts)
     assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
     assert partition(got) == partition(brute_groups(texts))
+
+
+def test_family_of_a_third_of_the_rows(spark):
+    """How often a family occurs doesn't change how it is found."""
+    rng = random.Random(6)
+    base = prose(rng, 300)
+    family = [base, *[edited(rng, base, 4) for _ in range(60)]]
+    texts = [*family, *[prose(rng, rng.randint(50, 400)) for _ in range(2 * len(family))]]
+    got = found_groups(spark, texts)
+    assert partition(got) == partition(brute_groups(texts)) and len(set(got[: len(family)])) == 1
