@@ -120,6 +120,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 256) -> DataFra
 BANDS, BAND = 24, 5
 #: Standard deviations by which a sketch may fall below the least similarity before a pair is given up.
 SLACK = 5
+#: Rounds in which the texts of a band meet one of them, before those that are left meet by their rarest shingles.
+LEAD = 1
 #: Shingles whose hashes are held at a time.
 PIECE = 4096
 _RNG = np.random.Generator(np.random.PCG64(20020519))
@@ -174,9 +176,77 @@ def shared_bands(texts: DataFrame) -> DataFrame:
     return cut(met.select("key", "th").join(rank, "th").select("key", "th", "rank"))
 
 
-def leaders(shared: DataFrame) -> DataFrame:
-    """(key, th, rank) -> (key, leader): the first text of each band."""
-    return shared.groupBy("key").agg(F.max("rank").alias("rank")).select("key", F.col("rank.th").alias("leader"))
+def gram_sets(docs: DataFrame, texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """th and grams (the different shingles in order, as bytes) of the texts in ``asked`` (th)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gram_set(t or "", words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["th", "grams"])
+
+    named = asked.join(texts.select("th", "least"), "th").select("th", F.coalesce("least", F.lit(0)).alias("ki"))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
+    grams = docs.select(*key, "text").join(named, ["th", "ki"], "left_semi").select("th", "text").mapInArrow(sets, "th long, grams binary")
+    return grams.groupBy("th").agg(F.first("grams").alias("grams"))
+
+
+def rare_pairs(docs: DataFrame, texts: DataFrame, asked: DataFrame, words: int, least: float) -> DataFrame:
+    """(th, root) -> (th, b): pairs of texts with different roots, among them all whose similarity is at least ``least``.
+
+    Such a text has at least that share of its shingles in common with the
+    other one. So of the rest of them and one more, taken from the rarest on,
+    the two share one (prefix filtering, Chaudhuri et al., 2006), and the first
+    one they share leaves enough behind it in both (Xiao et al., 2008). Shingles
+    of one text alone count without being joined.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for th, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g = np.frombuffer(grams, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), th)), pa.array(np.full(len(g), len(g))), pa.array(g)], ["th", "n", "gram"])
+
+    every = cut(gram_sets(docs, texts, asked.select("th"), words).mapInArrow(exploded, "th long, n long, gram long"))
+    common = every.join(every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "gram")
+    mine = Window.partitionBy("th")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("c", "gram"))
+    rare = common.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1)
+    rare = cut(rare.select("gram", "th", "n", F.expr("n - place").alias("after")).join(asked, "th"))
+    other = rare.select("gram", F.col("th").alias("b"), F.col("n").alias("nb"), F.col("after").alias("afterb"), F.col("root").alias("other"))
+    both = 1 + F.least("after", "afterb")  # that two texts have in common at most, if this shingle is their first
+    return rare.join(other, "gram").where("th < b and root <> other").where(both * (1 + least) >= least * (F.col("n") + F.col("nb")) - 1e-6).select("th", "b").distinct()
+
+
+def band_links(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): links that connect whatever pairs of similar texts that share a band connect.
+
+    In a round each text meets the first text of each of its bands, unless
+    links join the two already. The first text has then met all of its band and
+    leaves it, and bands whose texts are all joined are done. After ``LEAD``
+    rounds, the texts that are left meet by ``rare_pairs``, which misses no
+    link. So a pair that shares a band stays unseen only where it would link
+    texts of one group, and a group that its first texts join costs a row a text
+    and not a pair of its texts.
+    """
+    shared = shared_bands(texts).withColumn("root", F.col("th"))
+    links_ = None
+    for k in range(LEAD + 1):
+        if k < LEAD:
+            first = shared.groupBy("key").agg(F.max(F.struct("rank", "root")).alias("r")).select("key", F.col("r.rank.th").alias("b"), F.col("r.root").alias("other"))
+            pairs = shared.join(first, "key").where("root <> other")
+        else:
+            pairs = rare_pairs(docs, texts, shared.select("th", "root").distinct(), words, least)
+        found = verified(docs, texts, pairs.select(F.least("th", "b").alias("a"), F.greatest("th", "b").alias("b")).distinct(), words, least)
+        links_ = found if links_ is None else cut(links_.union(found))
+        if k == LEAD:
+            break
+        roots = components(links_).withColumnRenamed("root", "joined")
+        rest = shared.join(first.select("key", F.col("b").alias("th")), ["key", "th"], "left_anti").join(roots, F.col("th") == F.col("node"), "left")
+        rest = cut(rest.select("key", "th", "rank", F.coalesce("joined", "th").alias("root")))
+        shared = cut(rest.join(rest.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key"), "key", "left_semi"))
+        release(docs.sparkSession)
+        if shared.isEmpty():
+            break
+    return links_
 
 
 def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -188,19 +258,12 @@ def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, le
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BANDS * BAND) for s in (a, b))
         return pd.Series((x == y).mean(axis=1) >= enough)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([gram_set(t or "", words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["th", "grams"])
-
     f = lambda n: texts.select(F.col("th").alias(n), F.col("n").alias(f"n{n}"), F.col("low").alias(f"low{n}"))
     sized = pairs.join(f("a"), "a").join(f("b"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
     pairs = cut(sized.where(promising("lowa", "lowb")).select("a", "b"))
     release(docs.sparkSession)
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(texts.select("th", "least"), "th")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("ki"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
-    grams = docs.select(*key, "text").join(asked.select("th", F.coalesce("least", F.lit(0)).alias("ki")), ["th", "ki"], "left_semi").select("th", "text").mapInArrow(sets, "th long, grams binary")
-    grams = cut(grams.groupBy("th").agg(F.first("grams").alias("grams")))
+    grams = cut(gram_sets(docs, texts, pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), words))
     release(docs.sparkSession)
 
     @F.pandas_udf("boolean")
@@ -227,9 +290,7 @@ def text_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[Da
     every = cut(sketches(docs, words))
     texts = cut(every.groupBy("th").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "bands")]))
     release(docs.sparkSession)
-    shared = shared_bands(texts.where("n > 0"))
-    met = shared.join(leaders(shared), "key").where("th <> leader").select(F.col("th").alias("a"), F.col("leader").alias("b")).distinct()
-    roots = components(verified(docs, texts, met, words, least))
+    roots = components(band_links(docs, texts.where("n > 0"), words, least))
     named = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("group"))
     return every.select("doc_id", "th"), named
 

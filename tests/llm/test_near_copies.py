@@ -81,3 +81,20 @@ def test_family_of_a_third_of_the_rows(spark):
     texts = [*family, *[prose(rng, rng.randint(50, 400)) for _ in range(2 * len(family))]]
     got = found_groups(spark, texts)
     assert partition(got) == partition(brute_groups(texts)) and len(set(got[: len(family)])) == 1
+
+
+@pytest.mark.parametrize("rounds", [2, 1, 0])
+def test_families_around_texts_that_do_not_lead(spark, monkeypatch, rounds):
+    """Members are like a hidden base or like one member of a chain alone; others share bands and are no links."""
+    monkeypatch.setattr(simhash_dedup, "LEAD", rounds, raising=False)
+    rng = random.Random(7)
+    base = prose(rng, 400)
+    star = [base, *[edited(rng, base, 6) for _ in range(100)]]
+    chain = [prose(rng, 300)]
+    for _ in range(40):
+        chain.append(edited(rng, chain[-1], 5))
+    crowd = prose(rng, 400)  # around a text that is missing, with few links and many pairs that come close
+    crowd = [edited(rng, crowd, 5) for _ in range(60)]
+    texts = [*star, *chain, *crowd, *[edited(rng, t, 1) for t in crowd[:30]]]
+    texts = [texts[i] for i in rng.sample(range(len(texts)), len(texts))]
+    assert partition(found_groups(spark, texts)) == partition(brute_groups(texts))
