@@ -124,9 +124,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated strings of 400 bytes."""
-    x = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return x.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """What is left of every document without its repeated strings of 400 bytes, and its repeated passages of over 50 words."""
+    x = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, words=51)
+    digests = ["doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return x.select(*digests, F.size("passages").cast("long").alias("n_passages"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

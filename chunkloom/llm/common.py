@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six ASCII characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Rows that one Arrow batch holds at most: whole texts travel in it.
-BATCH_ROWS = 256
+#: Rows and bytes that one Arrow batch holds at most: whole texts travel in it.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +43,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended, and nothing can reach the folder
+        drop_folder(spark, path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder; its columns compress better than a checkpoint's rows.
+
+    The folder goes with the returned frame, so keep that until all that reads it has run.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/chunkloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    weakref.finalize(out, _dropped, spark, path).atexit = False
+    return out
+
+
 def whole_text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small; never raises a smaller setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keeps Arrow batches of whole texts small for the session; never raises a smaller setting.
+
+    Plans run after they are returned, so the setting has to outlast the call.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a size with a unit is the caller's own
+            spark.conf.set(key, str(most))
 
 
 def text_bytes(text: Column) -> Column:

@@ -137,20 +137,65 @@ def brute_removed(bodies, length):
     return gone
 
 
-@pytest.mark.parametrize("heavy", [5000, 1])
-def test_repeated_substrings_match_brute_force(spark, texts, heavy):
+def brute_passages(bodies, words):
+    found, where = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in bodies], {}
+    for d, w in enumerate(found):
+        for i in range(len(w) - words + 1):
+            where.setdefault(tuple(x[2] for x in w[i : i + words]), []).append((d, i))
+    spans = [[] for _ in bodies]
+    for d, i in sorted(p for places in where.values() if len(places) > 1 for p in places):
+        a, b = found[d][i][0], found[d][i + words - 1][1]
+        if spans[d] and a <= spans[d][-1][1]:
+            spans[d][-1][1] = b
+        else:
+            spans[d].append([a, b])
+    return spans
+
+
+@pytest.mark.parametrize(("heavy", "words"), [(5000, 51), (1, 51), (3, 9), (5000, 7)])
+def test_repeated_substrings_match_brute_force(spark, texts, heavy, words):
     rng = random.Random(3)
     base = [t for _, t in texts[:60] if len(t) < 6000]
     passage = base[0][:700]
     made = [base[i % len(base)][: rng.randint(0, 300)] + passage[rng.randint(0, 200) :] + base[(i * 7) % len(base)][:200] for i in range(12)]
-    bodies = [*base, *made, "ab" * 900, "x" * 1300, "x" * 399, None, "", base[3], passage + passage]
-    found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, bodies), 400, heavy).collect()}
+    bodies = [*base, *made, "ab" * 900, "x" * 1300, "x" * 399, None, "", base[3], passage + passage, "\n".join(passage.split()[:60]), "Head " + "  ".join(passage.split()[5:56]), "so it is " * 40]
+    found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, bodies), 400, words, heavy).collect()}
     raw = [(b or "").encode() for b in bodies]
     assert len(found) == len(raw)
     for i, (b, gone) in enumerate(zip(raw, brute_removed(raw, 400), strict=True)):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         runs = int((np.diff(np.concatenate([[False], gone]).astype(int)) == 1).sum())
         assert (found[i]["n_bytes"], bytes(found[i]["kept"]), len(found[i]["spans"])) == (len(b), kept, runs), i
+    assert [[list(s) for s in found[i]["passages"]] for i in range(len(raw))] == brute_passages(raw, words)
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    passage = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, passage), (1, passage), (1, "Other " + passage[:300]), (None, passage[20:]), (None, "alone"), (2, None)]
+    found = substring_dedup.remove_repeats(frame(spark, [t for _, t in rows], [i for i, _ in rows]), 400, 51).collect()
+    gone = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"] - len(r["kept"]), len(r["passages"])) for r in found)
+    n = len(passage)
+    assert gone == [(-1, 0, 0), (-1, n - 20, 1), (1, 0, 1), (1, n, 1), (1, n, 1), (2, 0, 0)]
+    assert substring_dedup.remove_repeats(frame(spark, []), 400, 51).count() == 0
+
+
+def test_words_of_long_texts():
+    piece = substring_dedup.PIECE
+    for text in (b"ab  c\td " * (piece // 4), b"x" * (2 * piece + 5) + b" y", b" " * (piece + 3) + b"z", b"a " + b"q" * piece, b""):
+        starts, ends, hashes = substring_dedup.words_of(text)
+        want = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want
+        assert len(set(hashes.tolist())) == len({text[a:b] for a, b in want})
+
+
+def test_repeats_in_a_text_of_several_pieces(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(substring_dedup.PIECE + 5000))
+    at = substring_dedup.PIECE - 300
+    bodies = [long, "Before#" + long[at : at + 900] + "#after"]
+    found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, bodies), 400, 51).collect()}
+    assert [tuple(s) for s in found[0]["spans"]] == [(at, at + 900)] and [tuple(s) for s in found[1]["spans"]] == [(7, 907)]
+    assert len(found[0]["passages"]) == len(found[1]["passages"]) == 1
 
 
 def test_transform_rounds_match_brute_force():
@@ -204,15 +249,14 @@ def test_edit_fingerprints_of_next_and_edited(spark, texts):
 
 def brute_walk(text):
     """The sampled symbols, one character at a time."""
-    s, bits, out = edit_fingerprint.symbols(text).tolist(), edit_fingerprint.walk_bits(), []
-    for steps in edit_fingerprint.slot_steps():
-        at = max(x for x in steps.tolist() if x < max(1, 2 * len(s)))
-        block, step = divmod(at, 2 * edit_fingerprint.BLOCK)
-        piece, p = s[block * edit_fingerprint.BLOCK :][: edit_fingerprint.BLOCK], 0
-        for j in range(step):
-            p += int(bits[j][piece[p] if p < len(piece) else 0])
-        out.append(piece[p] if p < len(piece) else 0)
-    return out
+    s, walks = edit_fingerprint.symbols(text).tolist(), []
+    for bits in edit_fingerprint.walk_bits():
+        read, p = [], 0
+        for j in range(max(1, 2 * len(s))):
+            read.append(s[p] if p < len(s) else 0)
+            p += int(bits[j % edit_fingerprint.PERIOD][read[-1]])
+        walks.append(read)
+    return [walks[k % edit_fingerprint.WALKS][max(x for x in steps.tolist() if x < len(walks[0]))] for k, steps in enumerate(edit_fingerprint.slot_steps())]
 
 
 def test_embedding_matches_a_walk_by_hand(texts):
