@@ -4,15 +4,19 @@ A random walk shared by all documents reads a text: at step j it puts out the
 character under the pointer and moves on, or stays, as a random bit of (j,
 character) says. Texts within a small edit distance fall into step with each
 other, so their outputs differ in few places (Chakraborty, Goldenberg and
-Koucky, 2016). The walk starts anew every ``BLOCK`` characters, which keeps
-blocks independent: they are walked side by side, and a text of any length
-takes memory for its sampled blocks alone.
-
-A fingerprint holds ``SLOTS`` sampled symbols of the output. Each slot takes
+Koucky, 2016). A text is walked once from its start, for twice as many steps
+as it has characters, so an edit is paid for where it stands and texts are in
+step again behind it, however long they are. How soon is a matter of chance
+with a long tail, so each text is walked ``WALKS`` times with different bits.
+Walks of many texts go side by side; each needs no more than its pointer
+beside the text. The random bits repeat after ``PERIOD`` steps.
+
+A fingerprint holds ``SLOTS`` sampled symbols of the outputs, taken from the walks in turn. Each slot takes
 the step with the smallest random number among the steps that a text has, so
 texts of different lengths mostly sample the same steps. Likeness is the share
 of slots that agree. For search, slots are banded: texts that agree on all
-slots of a band are candidates, and likeness verifies them.
+slots of a band are candidates, and likeness verifies them. Bands that hold
+padding alone make no candidates: all short texts would share them.
 
 Defined results: a null or empty text has the fingerprint of padding alone;
 equal texts have equal fingerprints; ids are ordered descending with nulls
@@ -35,19 +39,20 @@ from pyspark.sql import functions as F
 
 from .common import whole_text_batches
 
-BLOCK = 2048
+PERIOD = 1 << 14
+WALKS = 2
 SLOTS = 64
 BAND = 4
 SEED = 20160619
-#: Pairs of texts that are embedded together.
-CHUNK = 512
+#: Characters of texts that are embedded together with their edited texts.
+CHUNK = 12 << 20
 
 
 @cache
 def walk_bits() -> np.ndarray:
-    """A bit for each step and symbol; padding (0) never moves."""
-    bits = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (2 * BLOCK, 256), dtype=np.int64)
-    bits[:, 0] = 0
+    """A bit for each walk, step and symbol; padding (0) never moves."""
+    bits = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, (WALKS, PERIOD, 256), dtype=np.uint8)
+    bits[..., 0] = 0
     return bits
 
 
@@ -77,34 +82,30 @@ def embed(texts: list[str]) -> np.ndarray:
         return np.zeros((0, SLOTS), np.uint8)
     coded = [symbols(t) for t in texts]
     size = np.array([len(c) for c in coded], np.int64)
-    reach = np.maximum(1, 2 * size)
-    at = np.stack([s[np.searchsorted(s, reach, "left") - 1] for s in slot_steps()], axis=1)
-    doc = np.repeat(np.arange(len(texts)), SLOTS)
-    block, step = (at // (2 * BLOCK)).ravel(), (at % (2 * BLOCK)).ravel()
-    _, first, row = np.unique(doc * (int(block.max()) + 1) + block, return_index=True, return_inverse=True)
-    last = np.zeros(len(first), np.int64)
-    np.maximum.at(last, row, step)
-    order = np.argsort(-last, kind="stable")  # rows that stop early come last
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    width = BLOCK + 1
-    cells = np.zeros((len(order), width), np.uint8)
-    for r, f in enumerate(first[order].tolist()):
-        piece = coded[doc[f]][block[f] * BLOCK : (block[f] + 1) * BLOCK]
-        cells[r, : len(piece)] = piece
-    flat, pointer = cells.ravel(), np.arange(len(order), dtype=np.int64) * width
-    live = np.searchsorted(-last[order], -np.arange(int(last.max()) + 1), "right")  # rows that go on to step j
-    asked = np.argsort(step, kind="stable")
-    bounds = np.searchsorted(step[asked], np.arange(int(last.max()) + 2))
-    bits, wanted, out = walk_bits(), rank[row[asked]], np.zeros(len(step), np.uint8)
-    for j in range(int(last.max()) + 1):
-        n = live[j]
-        seen = flat.take(pointer[:n])
-        lo, hi = bounds[j], bounds[j + 1]
-        if hi > lo:
-            out[asked[lo:hi]] = seen[wanted[lo:hi]]
-        pointer[:n] += bits[j].take(seen)
-    return out.reshape(len(texts), SLOTS)
+    # for each text the step of every slot; texts that are walked longest come first
+    at = np.stack([s[np.searchsorted(s, np.maximum(1, 2 * size), "left") - 1] for s in slot_steps()], axis=1)
+    last = at.max(axis=1)
+    order = np.argsort(-last, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(size[order] + 1)])
+    flat = np.zeros(begin[-1], np.uint8)  # each text with a symbol of padding behind it
+    for b, k in zip(begin.tolist(), order.tolist(), strict=False):
+        flat[b : b + len(coded[k])] = coded[k]
+    del coded
+    live = np.searchsorted(-last[order], -np.arange(int(last.max()) + 1), "right").tolist()  # texts that go on to a step
+    out = np.zeros((len(texts), SLOTS), np.uint8)
+    for w, bits in enumerate(walk_bits()):
+        pointer, asked = begin[:-1].copy(), at[order, w::WALKS]
+        by_step = np.argsort(asked, axis=None, kind="stable")
+        steps, first = np.unique(asked.ravel()[by_step], return_index=True)
+        wanted = dict(zip(steps.tolist(), np.split(by_step, first[1:]), strict=True))
+        read = np.zeros(asked.size, np.uint8)
+        for j, n in enumerate(live):
+            seen = flat.take(pointer[:n])
+            if j in wanted:
+                read[wanted[j]] = seen[wanted[j] // asked.shape[1]]
+            pointer[:n] += bits[j % PERIOD].take(seen)
+        out[order, w::WALKS] = read.reshape(asked.shape)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +167,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_candidate", "next_candidate"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, part, closed = [], None, False
+        rows, held, part, closed = [], 0, None, False
         for batch in batches:
             for p, tail, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
                 if p != part:
@@ -175,12 +176,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                     continue  # more heads that tie with the first
                 if tail:
                     yield finished(rows, text)
-                    rows, closed = [], True
-                elif len(rows) == CHUNK:
+                    rows, held, closed = [], 0, True
+                    continue
+                if held > CHUNK:
                     yield finished(rows, text)
-                    rows = [(doc_id, text)]
-                else:
-                    rows.append((doc_id, text))
+                    rows, held = [], 0
+                rows.append((doc_id, text))
+                held += len(text)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_candidate boolean, next_candidate boolean"
     return with_next(docs).mapInArrow(run, schema)
@@ -207,7 +209,8 @@ def search(queries: DataFrame, docs: DataFrame, least: float = 0.7) -> DataFrame
 
     def banded(x: DataFrame, name: str) -> DataFrame:
         bands = F.array(*[F.struct(F.lit(b).alias("band"), F.substring("edit_fp", b * BAND + 1, BAND).alias("part")) for b in range(SLOTS // BAND)])
-        return x.select("edit_fp").distinct().select(F.col("edit_fp").alias(name), F.explode(bands).alias("b")).select(name, "b.band", "b.part")
+        each = x.select("edit_fp").distinct().select(F.col("edit_fp").alias(name), F.explode(bands).alias("b")).select(name, "b.band", "b.part")
+        return each.where(F.col("part") != F.lit(bytes(BAND)))
 
     met = banded(queries, "query_fp").join(banded(docs, "doc_fp"), ["band", "part"]).select("query_fp", "doc_fp").distinct()
     same = sum((F.substring("query_fp", i + 1, 1) == F.substring("doc_fp", i + 1, 1)).cast("int") for i in range(SLOTS))

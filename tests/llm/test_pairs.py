@@ -260,10 +260,19 @@ def brute_walk(text):
 
 
 def test_embedding_matches_a_walk_by_hand(texts):
-    some = ["", "a", "abc" * 50, texts[3][1][:900], texts[0][1]]
+    some = ["", "a", "abc" * 50, texts[3][1][:900], texts[0][1], "x" * 30000, max((t for _, t in texts), key=len)]
     assert edit_fingerprint.embed(some).tolist() == [brute_walk(t) for t in some]
 
 
+def test_early_edits_of_long_texts_are_paid_for_once():
+    rng = random.Random(6)
+    text = "".join(rng.choice("etaoin shrdlu") for _ in range(60000))
+    for n in (1, 10, 30):
+        new = text[:500] + "".join(rng.choice("etaoin shrdlu") for _ in range(n)) + text[500:]
+        a, b, c = edit_fingerprint.embed([text, new, "".join(rng.sample(text, len(text)))])
+        assert edit_fingerprint.likeness(a, b) > 0.85 and edit_fingerprint.likeness(a, c) < 0.4
+
+
 def test_search_finds_edited_texts(spark, texts):
     own = [t for _, t in texts[:40] if len(t) > 300]
     edits = [t[:50] + "X" + t[51:200] + t[202:] for t in own]
