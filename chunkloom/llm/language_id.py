@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed n-grams of one to three bytes of the lower-cased text, in
-which all ASCII characters but letters are blanks; counts are damped, weighted
+Features are hashed n-grams of one to three characters (code points) of the
+lower-cased text, in which all ASCII characters but letters are blanks; counts are damped, weighted
 by inverse document frequency and scaled to length one. Document frequencies
 come from all labelled texts. Weights are learned by FTRL-proximal with
 elastic-net penalties on a bounded sample (``per_label`` texts of each label,
@@ -9,13 +9,18 @@ chosen by a hash of the text), and a fifth of that sample sets the temperature
 of the probabilities.
 
 Labels are a small set (languages): their counts come to the driver, as do
-the sample's features and one document frequency per hashed feature.
+the sample's features and one document frequency per hashed feature. Copies of
+a text are one text of the sample, and only one leaves the executors.
+
+A probability is among the learned languages alone. What a text has in common
+with any of them is told by ``lang_known``, the share of its n-grams that
+some labelled text has; a caller that rejects texts goes by it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
-0; so is every text when no row has a label; ties of probability go to the
+and known share 0; so is every text when no row has a label; ties of probability go to the
 first label in order; repeated rows are predicted alike; an empty table gives
-an empty result; extra columns go along, and lang_pred or lang_score is
-replaced.
+an empty result; extra columns go along, and lang_pred, lang_score or
+lang_known is replaced. Very long texts are counted in pieces of ``PIECE`` characters.
 """
 
 from __future__ import annotations
@@ -33,17 +38,29 @@ from .common import Kept, whole_text_batches
 
 FEATURES = 1 << 15
 UNKNOWN = "und"
-_BLANKED = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
+#: Characters of an n-gram at most, and of a text that are counted together.
+GRAM, PIECE = 3, 1 << 20
+_SALT, _ODD = np.uint32(0x9E3779B1), np.uint32(2654435761)
+#: ASCII characters but letters as blanks.
+_FOLDED = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
 
 
 def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram occurs."""
-    a = np.frombuffer(b" " + text.lower().encode(errors="replace").translate(_BLANKED) + b" ", np.uint8).astype(np.uint32)
-    two = (a[:-1] << np.uint32(8)) | a[1:]
-    three = ((two[:-1] << np.uint32(8)) | a[2:]) if len(a) > 2 else a[:0]
+    """How often each hashed n-gram of the text, with a blank before and after it, occurs."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", errors="surrogatepass"), "<u4").copy()
+    low = points < 128
+    points[low] = _FOLDED[points[low]]
     shift = np.uint32(32 - FEATURES.bit_length() + 1)
-    hashed = [((x + np.uint32(salt)) * np.uint32(2654435761)) >> shift for x, salt in ((a, 1 << 24), (two, 1 << 25), (three, 1 << 26))]
-    return np.bincount(np.concatenate(hashed), minlength=FEATURES)
+    out = np.zeros(FEATURES, np.int64)
+    for k in range(0, len(points), PIECE):
+        key = np.zeros(min(PIECE, len(points) - k), np.uint32)
+        for n in range(GRAM):
+            # n-grams that begin in this piece; those of n + 1 characters extend those of n
+            after = points[k + n : k + n + len(key)]
+            key = (key[: len(after)] + after + _SALT) * _ODD
+            key ^= key >> np.uint32(15)
+            out += np.bincount((key * _ODD) >> shift, minlength=FEATURES)
+    return out
 
 
 def has_letter(text: str | None) -> bool:
@@ -60,20 +77,22 @@ class Model:
     labels: list[str]
     idf: np.ndarray
     weights: np.ndarray
+    seen: np.ndarray
     temperature: float = 1.0
 
     def logits(self, index: np.ndarray, n: np.ndarray) -> np.ndarray:
         return weighted(index, n, self.idf) @ self.weights[index] + self.weights[-1]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its probability, and the share of n-grams that are known."""
         if not self.labels or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         c = counts(text)
         index = np.flatnonzero(c)
         z = self.logits(index, c[index]) / self.temperature
         p = np.exp(z - z.max())
         k = int(np.argmax(p))
-        return self.labels[k], float(p[k] / p.sum())
+        return self.labels[k], float(p[k] / p.sum()), float(c[self.seen].sum() / c.sum())
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: int, rounds: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
@@ -144,7 +163,7 @@ def train(labelled: DataFrame, per_label: int = 600, seed: int = 7) -> Model:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     labels = sorted(sizes)
     if not labels:
-        return Model([], np.ones(FEATURES), np.zeros((FEATURES + 1, 0)))
+        return Model([], np.ones(FEATURES), np.zeros((FEATURES + 1, 0)), np.zeros(FEATURES, bool))
     df = document_frequencies(known)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
@@ -159,30 +178,32 @@ def train(labelled: DataFrame, per_label: int = 600, seed: int = 7) -> Model:
                 c = counts(text)
                 at = np.flatnonzero(c)
                 found.append((at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]], ["lang", "draw", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]], ["lang", "hash", "at", "n"])
 
-    drawn = known.where(draw < share).select("text", "lang", draw.alias("draw")).mapInArrow(run, "lang string, draw long, at binary, n binary").toPandas().sort_values(["draw", "lang"])
+    drawn = known.where(draw < share).select("text", "lang", F.xxhash64("text").alias("hash")).mapInArrow(run, "lang string, hash long, at binary, n binary")
+    drawn = drawn.groupBy("hash", "lang").agg(F.first("at").alias("at"), F.first("n").alias("n")).toPandas().sort_values(["hash", "lang"])
     rows = []
-    for r in drawn.drop_duplicates(["draw", "lang"]).itertuples():
+    for r in drawn.itertuples():
         index = np.frombuffer(r.at, np.uint16).astype(np.int64)
         rows.append((index, np.frombuffer(r.n, np.uint32), labels.index(r.lang)))
     held, used = rows[::5] if len(rows) >= 50 else [], [r for i, r in enumerate(rows) if len(rows) < 50 or i % 5]
-    model = Model(labels, idf, ftrl([(i, weighted(i, n, idf), k) for i, n, k in used], len(labels)).astype(np.float32))
+    model = Model(labels, idf, ftrl([(i, weighted(i, n, idf), k) for i, n, k in used], len(labels)).astype(np.float32), df[:-1] > 0)
     if held:
         model.temperature = temperature_of(np.array([model.logits(i, n) for i, n, _ in held]), np.array([k for *_, k in held]))
     return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
+    """``docs`` with lang_pred, lang_score and lang_known."""
     whole_text_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, lang_score double, lang_known double")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score", "lang_known"])
 
-    kept = Kept(docs, "lang_", ("lang_pred", "lang_score"))
-    return kept.df.withColumn("lang_guess", guess("text")).select(*kept.columns, F.col("lang_guess.lang_pred").alias("lang_pred"), F.col("lang_guess.score").alias("lang_score"))
+    own = ("lang_pred", "lang_score", "lang_known")
+    kept = Kept(docs, "lang_", own)
+    return kept.df.withColumn("lang_guess", guess("text")).select(*kept.columns, *[F.col(f"lang_guess.{c}").alias(c) for c in own])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

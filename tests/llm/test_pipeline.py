@@ -33,6 +33,14 @@ def test_stages_by_hand(spark):
     assert ids <= set(left) - held and out.groupBy("doc_id").count().where("count > 3").isEmpty()
 
 
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = ["Это русский текст о погоде и о том, что было вчера", "日本語のテキストです。天気がいいです", "ここに文字がある", "1234 5678", ""]
+    made = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify(spark, docs.unionByName(made), SF).collect()}
+    assert not kept & {10_000 + i for i in range(len(strange))} and len(kept) > 0.99 * docs.count()
+
+
 def test_empty_corpus(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
