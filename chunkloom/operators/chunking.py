@@ -56,21 +56,23 @@ def cut_points(data: bytes, least: int, mean: int, most: int, norm: int = 1) ->
     return [*ends, n]
 
 
-def cdc_chunks(files: DataFrame, least: int, mean: int, most: int, norm: int = 1) -> DataFrame:
-    """(path, content binary) -> path, ord, off, len, hash. A file is one row and is cut in one pass."""
+def cdc_chunks(files: DataFrame, least: int, mean: int, most: int, norm: int = 1, data: bool = False) -> DataFrame:
+    """(path, content binary) -> path, ord, off, len, hash, and the bytes if asked for. A file is one row and is cut in one pass."""
+    keep = data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = 0
                 for k, end in enumerate(cut_points(data or b"", least, mean, most, norm)):
-                    for o, v in zip(out, (path, k, at, end - at, hashlib.sha256(data[at:end]).hexdigest()), strict=True):
+                    for o, v in zip(out, (path, k, at, end - at, hashlib.sha256(data[at:end]).hexdigest(), data[at:end] if keep else None), strict=True):
                         o.append(v)
                     at = end
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "ord", "off", "len", "hash"])
+            n = 5 + keep
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out[:n], (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())[:n], strict=True)], ["path", "ord", "off", "len", "hash", "data"][:n])
 
-    return files.select("path", "content").mapInArrow(run, "path string, ord int, off long, len long, hash string")
+    return files.select("path", "content").mapInArrow(run, "path string, ord int, off long, len long, hash string" + (", data binary" if keep else ""))
 
 
 def signature(files: DataFrame, size: int) -> DataFrame:
@@ -85,6 +87,84 @@ def signature(files: DataFrame, size: int) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, block int, off long, len long, weak long, strong string")
 
 
+#: Bytes of an anchor at most, and windows of a file that are looked at together at least.
+ANCHOR, PIECE = 32, 1 << 20
+
+
+def _gram_hashes(data: bytes, gram: int) -> np.ndarray:
+    """A hash of each run of ``gram`` bytes, of eight bytes at a time."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    word, n = a, 1
+    while 2 * n <= min(gram, 8):
+        word, n = word[:-n] | (word[n:] << np.uint64(8 * n)), 2 * n
+    places = len(a) - gram + 1
+    h = np.zeros(places, np.uint64)
+    for k in [*range(0, gram - n, n), gram - n]:
+        h = (h ^ word[k : k + places]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _anchors(data: bytes, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each window of ``size`` bytes the hash and the place of its smallest gram by hash, the leftmost of equals.
+
+    Windows come in pieces that begin at multiples of ``size``, with the place of the piece.
+    """
+    step = max(1, PIECE // size) * size
+    for base in range(0, len(data) - size + 1, step):
+        yield base, *_anchors_of(data[base : base + step + size - 1], size)
+
+
+def _anchors_of(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    gram = min(ANCHOR, size)
+    span, h = size - gram + 1, _gram_hashes(data, gram)
+    windows = len(h) - span + 1
+    # the lowest bits make room for places within two spans, so that one minimum gives both
+    low = (1 << (2 * span).bit_length()) - 1
+    rank = h & ~np.uint64(low)
+    padded = np.full(-(-len(h) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[: len(h)] = rank
+    blocks = padded.reshape(-1, span)
+    inner = np.arange(span, dtype=np.uint64)
+    left = np.minimum.accumulate(blocks | inner, axis=1).ravel()
+    right = np.minimum.accumulate((blocks | inner)[:, ::-1], axis=1)[:, ::-1].ravel()
+    first = np.arange(windows)
+    a, b = right[:windows], left[span - 1 : span - 1 + windows]
+    block = first // span
+    ahead = (b & ~np.uint64(low)) < (a & ~np.uint64(low))
+    place = np.where(ahead, (first + span - 1) // span * span + (b & np.uint64(low)).astype(np.int64), block * span + (a & np.uint64(low)).astype(np.int64))
+    return h[place], place
+
+
+def block_anchors(files: DataFrame, size: int) -> DataFrame:
+    """(path, content binary) -> the full blocks with their strong hash, anchor and its place in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for base, grams, places in _anchors(data or b"", size):
+                    grams, places = grams[::size].view(np.int64).tolist(), places[::size].tolist()
+                    rows += [(path, base + k, hashlib.sha256(data[base + k : base + k + size]).hexdigest(), g, p - k) for k, g, p in zip(range(0, len(grams) * size, size), grams, places, strict=True)]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["path", "off", "strong", "gram", "at"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, off long, strong string, gram long, at long")
+
+
+def window_anchors(files: DataFrame, size: int) -> DataFrame:
+    """(path, content binary) -> the different anchors of a file's windows with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for base, grams, places in _anchors(data or b"", size):
+                    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(first)), pa.array(grams[first].view(np.int64)), pa.array(base + places[first])], ["path", "gram", "pos"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, gram long, pos long")
+
+
 def sample_windows(files: DataFrame, samples: int, window: int) -> DataFrame:
     """Up to ``samples`` evenly spread windows of each file (path, size); all of a small file is one."""
     small = F.col("size") <= samples * window

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import rolling_weak32
-from .chunking import signature
+from .chunking import block_anchors, window_anchors
 
 OP = "path string, seq int, op string, entry string, old_off long, new_off long, len long, data binary"
 
@@ -19,68 +18,90 @@ OP = "path string, seq int, op string, entry string, old_off long, new_off long,
 def candidate_pick(matches: DataFrame) -> DataFrame:
     """Of several old blocks with a new block's hash, the one to copy from.
 
-    (path, new_off, entry, old_off, block, continues): the same path counts
-    1000, continuing the copy before 500, and a low offset up to 500 more; of
-    equals the last block wins.
+    (path, new_off, entry, old_off, continues): an old file of the same path
+    comes first, then a block that continues the copy before, then the lowest
+    offset, then the first entry.
     """
-    score = F.when(F.col("entry") == F.col("path"), 1000).otherwise(0) + F.when(F.col("continues"), 500).otherwise(0) + F.greatest(F.lit(0), 500 - F.floor(F.col("old_off") / 1000))
-    w = Window.partitionBy("path", "new_off").orderBy(F.desc("score"), F.desc("block"), F.desc("entry"))
-    return matches.withColumn("score", score).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-
-
-def two_stage_match(old_blocks: DataFrame, new_blocks: DataFrame) -> DataFrame:
-    """Aligned blocks that match by weak and strong hash, the best old block for each; short tails never match."""
-    full = old_blocks.groupBy().agg(F.max("len").alias("size"))
-    old = old_blocks.join(F.broadcast(full), F.col("len") == F.col("size")).select("weak", "strong", F.col("path").alias("entry"), F.col("off").alias("old_off"), F.col("block").alias("block"))
-    new = new_blocks.select("path", F.col("off").alias("new_off"), "len", "weak", "strong")
-    return candidate_pick(new.join(old, ["weak", "strong"]).withColumn("continues", F.lit(False)))
-
-
-def _greedy(data: bytes, blocks: pd.DataFrame, size: int) -> list[tuple]:
-    """Left to right: copy where a window has a full old block's hashes, else move on to the next that may."""
-    by_weak: dict[int, list[tuple]] = defaultdict(list)
-    for r in blocks.itertuples(index=False):
-        if r.len == size:
-            by_weak[r.weak].append((r.strong, r.path, r.off))
-    ops, at, pending, weak = [], 0, 0, rolling_weak32(data, size)
-    likely = np.flatnonzero(np.isin(weak, np.fromiter(by_weak, np.int64, len(by_weak))))  # windows with a known weak hash
-    while True:
-        k = int(np.searchsorted(likely, at))
-        if k == len(likely):
-            break
-        at = int(likely[k])
-        strong = hashlib.sha256(data[at : at + size]).hexdigest()
-        hit = next(((p, o) for s, p, o in by_weak[int(weak[at])] if s == strong), None)
-        if hit is None:
-            at += 1
+    w = Window.partitionBy("path", "new_off").orderBy((F.col("entry") == F.col("path")).cast("int").desc(), F.col("continues").cast("int").desc(), "old_off", "entry")
+    return matches.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+def _first_places(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of full old blocks: the places of each content in each file, and its first place in the build (lowest offset, then first entry).
+
+    A content that is everywhere costs a row a file, and no two of its copies are ever paired.
+    """
+    own = blocks.groupBy("strong", "path").agg(F.array_sort(F.collect_list("off")).alias("offs"), F.first("gram").alias("gram"), F.first("at").alias("at"))
+    anywhere = own.groupBy("strong").agg(F.min(F.struct(F.col("offs")[0].alias("off"), F.col("path").alias("entry"))).alias("any"), F.first("gram").alias("gram"), F.first("at").alias("at"))
+    return own.select("strong", "path", "offs"), anywhere
+
+
+def two_stage_match(old: DataFrame, new: DataFrame, size: int) -> DataFrame:
+    """Aligned blocks of new files that an old block equals, and the one to copy: of the same path if there is one, else anywhere; short tails never match."""
+    own, anywhere = _first_places(block_anchors(old, size))
+    x = block_anchors(new, size).select("path", F.col("off").alias("new_off"), "strong").join(own, ["strong", "path"], "left").join(anywhere, "strong")
+    same = F.col("offs").isNotNull()
+    return x.select("path", "new_off", F.when(same, F.col("path")).otherwise(F.col("any.entry")).alias("entry"), F.when(same, F.col("offs")[0]).otherwise(F.col("any.off")).alias("old_off"))
+
+
+def _greedy(path: str, data: bytes, size: int, candidates: list[dict], places: dict[str, list[int]]) -> list[tuple]:
+    """Left to right: copy where a window is an old block, else move on to the next candidate.
+
+    Among the blocks of the same path the one that continues the copy before
+    comes first, then the lowest offset; else the first place in the build is taken.
+    """
+    ops, pending, strong, at = [], 0, None, -1
+    for c in sorted(candidates, key=lambda c: c["new_off"]):
+        if c["new_off"] < pending:
+            continue
+        if c["new_off"] != at:
+            at, strong = c["new_off"], hashlib.sha256(data[c["new_off"] : c["new_off"] + size]).hexdigest()
+        if c["strong"] != strong:
             continue
+        last = ops[-1] if ops and ops[-1][0] == "copy" and pending == at else None
+        own = places.get(strong)
+        if own:
+            i = bisect_left(own, last[2] + last[4]) if last and last[1] == path else len(own)
+            entry, off = path, own[i] if i < len(own) and own[i] == last[2] + last[4] else own[0]
+        else:
+            entry, off = c["entry"], c["old_off"]
         if pending < at:
             ops.append(("inline", None, None, pending, at - pending, data[pending:at]))
-        last = ops[-1] if ops else None
-        if last and last[0] == "copy" and last[1] == hit[0] and last[2] + last[4] == hit[1] and last[3] + last[4] == at:
-            ops[-1] = ("copy", last[1], last[2], last[3], last[4] + size, None)
+        if last and last[1] == entry and last[2] + last[4] == off:
+            ops[-1] = ("copy", entry, last[2], last[3], last[4] + size, None)
         else:
-            ops.append(("copy", hit[0], hit[1], at, size, None))
-        at += size
-        pending = at
+            ops.append(("copy", entry, off, at, size, None))
+        pending = at + size
     if pending < len(data):
         ops.append(("inline", None, None, pending, len(data) - pending, data[pending:]))
     return ops
 
 
 def block_diff(old: DataFrame, new: DataFrame, size: int) -> DataFrame:
-    """(path, content binary) of both builds -> operations that make each new file from the old file of its path.
+    """(path, content binary) of both builds -> operations that make each new file from old blocks of any file.
 
-    Blocks are matched within a path, so a file and its old signature meet in
-    one task, and nothing larger than a file does.
+    Every window of ``size`` bytes of a new file has an anchor, its smallest
+    gram by hash, and so has every old block; a window that equals a block has
+    the same anchor at the same place. So anchors, two a block on average, are
+    joined to the different old blocks, and what they suggest for a file meets
+    the file, where hashes decide. Nothing larger than a file is in one task.
     """
-    blocks = signature(old, size)
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], k, *op) for content in left.content for k, op in enumerate(_greedy(bytes(content), right, size))]
-        return pd.DataFrame(rows, columns=["path", "seq", "op", "entry", "old_off", "new_off", "len", "data"]).astype({"old_off": "Int64"})
-
-    return new.select("path", "content").groupBy("path").cogroup(blocks.groupBy("path")).applyInPandas(run, OP)
+    own, anywhere = _first_places(block_anchors(old, size))
+    met = window_anchors(new, size).join(anywhere, "gram").select("path", (F.col("pos") - F.col("at")).alias("new_off"), "strong", F.col("any.entry").alias("entry"), F.col("any.off").alias("old_off")).where("new_off >= 0").distinct()
+    places = own.join(met.select("path", "strong").distinct(), ["path", "strong"], "left_semi").groupBy("path").agg(F.collect_list(F.struct("strong", "offs")).alias("places"))
+    found = met.groupBy("path").agg(F.collect_list(F.struct("new_off", "strong", "entry", "old_off")).alias("candidates"))
+    files = new.select("path", "content").join(found, "path", "left").join(places, "path", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for batch in batches:
+            rows = []
+            for path, content, candidates, own_places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ops = _greedy(path, content or b"", size, candidates or [], {p["strong"]: p["offs"] for p in own_places or []})
+                rows += [(path, k, *op) for k, op in enumerate(ops)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], [c.split()[0] for c in OP.split(", ")])
+
+    return files.select("path", "content", "candidates", "places").mapInArrow(run, OP)
 
 
 def plan_summary(ops: DataFrame) -> DataFrame:

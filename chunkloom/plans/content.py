@@ -21,14 +21,13 @@ def byte_entropy(spark, sf_dir):
 
 
 def weak32_blocks(spark, sf_dir):
-    """Block signatures of small files: weak and strong hashes of 256-byte blocks."""
-    small = builds.old_build(spark, sf_dir).where("octet_length(content) < 3000")
-    return chunking.signature(_bytes(small), 256)
+    """Block signatures: weak and strong hashes of 256-byte blocks of every old file."""
+    return chunking.signature(_bytes(builds.old_build(spark, sf_dir)), 256)
 
 
 def candidate_blocks(spark, sf_dir):
     """Aligned blocks of 512 bytes that the new build can copy, from the best old block of each."""
-    return delta.two_stage_match(chunking.signature(_bytes(builds.old_build(spark, sf_dir)), 512), chunking.signature(_bytes(builds.new_build(spark, sf_dir)), 512)).select("path", "new_off", "entry", "old_off", "block")
+    return delta.two_stage_match(_bytes(builds.old_build(spark, sf_dir)), _bytes(builds.new_build(spark, sf_dir)), 512)
 
 
 def cdc_chunks(spark, sf_dir):
@@ -54,7 +53,7 @@ def cdc_coverage(spark, sf_dir):
 
 
 def block_diff(spark, sf_dir):
-    """Copies and inline bytes that make each new file from the old one of its path."""
+    """Copies and inline bytes that make each new file from the old build."""
     ops = delta.block_diff(_bytes(builds.old_build(spark, sf_dir)), _bytes(builds.new_build(spark, sf_dir)), 256)
     return delta.plan_summary(ops)
 
@@ -86,8 +85,8 @@ def tree_hash(spark, sf_dir):
 
 
 def bloom_have(spark, sf_dir):
-    """Chunks of the new build that a filter over the old one's even files takes for known: all known ones are among them."""
-    known = builds.old_chunks(spark, sf_dir).where("cast(path as bigint) % 10 = 0").select("hash").distinct()
+    """Chunks of the new build that a filter over the old one's takes for known: all known ones are among them."""
+    known = builds.old_chunks(spark, sf_dir).select("hash").distinct()
     n = known.count()
     if 10 * n > 64 << 23:
         raise ValueError("the filter would exceed 64 MiB; use a semi join")
@@ -237,19 +236,19 @@ _SIG = """{name} as (select path, i::int as block, (i * {size})::bigint as off,
 ORACLE_SQL = {
     "byte_entropy": f"""with {SQL}, h as (select path, hex(encode(content)) as h from old), u as (select path, unnest(regexp_extract_all(h, '..')) as b from h), b as (select path, b, count(*) as n from u group by all),
         t as (select path, sum(n) as t from b group by path), e as (select path, sum(-(n / t::double) * log2(n / t::double)) as e from b join t using (path) group by path) select path, round(coalesce(e, 0.0), 9) as entropy from old left join e using (path)""",
-    "weak32_blocks": f"""with {SQL}, {_SIG.format(name='s', size=256, build='old', where='where strlen(content) < 3000')}, l as (select *, list_transform(regexp_extract_all(b, '..'), lambda v: ('0x' || v)::bigint) as x from s)
+    "weak32_blocks": f"""with {SQL}, {_SIG.format(name='s', size=256, build='old', where='')}, l as (select *, list_transform(regexp_extract_all(b, '..'), lambda v: ('0x' || v)::bigint) as x from s)
         select path, block, off, len(x)::bigint as len, (list_sum(x) % 65536)::bigint + ((list_sum(list_transform(x, lambda v, i: v * (len(x) - i + 1))) % 65536)::bigint << 16) as weak, sha256(unhex(b)) as strong from l""",
     "candidate_blocks": f"""with {SQL}, {_SIG.format(name='o', size=512, build='old', where='')}, {_SIG.format(name='n', size=512, build='new', where='')},
-        m as (select n.path, n.off as new_off, o.path as entry, o.off as old_off, o.block, case when n.path = o.path then 1000 else 0 end + greatest(0, 500 - o.off // 1000) as score from n join o on n.b = o.b and length(o.b) = 1024),
-        k as (select *, row_number() over (partition by path, new_off order by score desc, block desc, entry desc) as k from m) select path, new_off, entry, old_off, block from k where k = 1""",
+        m as (select n.path, n.off as new_off, o.path as entry, o.off as old_off from n join o on n.b = o.b and length(o.b) = 1024),
+        k as (select *, row_number() over (partition by path, new_off order by (path = entry) desc, old_off, entry) as k from m) select path, new_off, entry, old_off from k where k = 1""",
     "cdc_coverage": f"with {SQL} select count(*) as files, count(*) as sound from new where length(content) > 0",
     "delta_round_trip": f"with {SQL} select count(*) as files, count(*) filter (length(content) > 0) as equal from new",
     "reconstruct_files": f"with {SQL} select path, sha256(content) as digest, true as sound from new where length(content) > 0",
     "tree_hash": f"""with {SQL}, f as (select path, sha256(content) as hash, length(content) as size from new), p as (select substr(sha256(path), 1, 2) as part, sha256(string_agg(path || chr(10) || hash, chr(10) order by path, hash)) as h, count(*) as n, sum(size) as b from f group by 1)
         select sha256(string_agg(h, '' order by part, h)) as tree, sum(n)::bigint as files, sum(b)::bigint as bytes from p""",
-    "bloom_have": f"with {SQL}, k as (select distinct hash from oc where path::bigint % 10 = 0), n as (select distinct hash from nc) select count(*) as known, count(*) as found, true as few_false from n where hash in (select hash from k)",
+    "bloom_have": f"with {SQL}, k as (select distinct hash from oc), n as (select distinct hash from nc) select count(*) as known, count(*) as found, true as few_false from n where hash in (select hash from k)",
     "stored_forms": f"with {SQL} select count(*) as files, count(*) as equal, count(*) filter (strlen(content) < 512) as small_raw from old",
-    "path_predicates": f"with {_PATHS_SQL} select id, ext, ext in ('pak', 'pck') as pack, path not like '../%' as safe, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') as name from p",
+    "path_predicates": f"with {_PATHS_SQL} select id, ext, ext in ('pak', 'pck', 'zip') as pack, path not like '../%' as safe, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') as name from p",
     "ignore_rules": f"with {_PATHS_SQL} select id, path from p where not (path like 'logs/%' or path like 'data/sub/%' or path like '%.txt' or regexp_full_match(path, 'bin/[^/]*7\\.zip') or regexp_full_match(path, '(.*/)?f1[^/]\\.json'))",
     "glob_filter": "select page_id, regexp_full_match(url, 'http[^/]*://[^/]*/en/[^/]*') as by_path, regexp_full_match(url, 'http[^/]*://(.*/)?[^/]*\\.html') as deep, url like 'http%//%.org%' as by_version from pages",
     "natural_sort_versions": "with x as (select source, n_chars // 100 as a, doc_id as b, 'v' || n_chars // 100 || '.' || doc_id as version from documents) select source, version, row_number() over (partition by source order by a, b)::int as place from x",

@@ -111,7 +111,9 @@ def test_merkle_roots():
 def test_block_diff_rebuilds(spark, seed):
     rng = random.Random(seed)
     base = {f"f{i}": rng.randbytes(rng.randint(0, 3000)) for i in range(6)}
-    new = {"f0": base["f0"], "f1": b"123" + base["f1"], "f2": base["f2"][:500] + b"X" + base["f2"][500:], "f3": base["f3"][::-1], "f9": rng.randbytes(700)}
+    new = {"f0": base["f0"], "f1": b"123" + base["f1"], "f2": base["f2"][:500] + b"X" + base["f2"][500:], "f3": base["f3"][::-1], "f9": rng.randbytes(700), "moved": base["f4"], "f5": base["f5"][64:] + base["f4"] + bytes(300)}
+    base["f2"] += bytes(400)
+    base["f5"] += bytes(200)
     df = lambda d: spark.createDataFrame([(k, bytearray(v)) for k, v in d.items()], "path string, content binary")
     ops = delta.block_diff(df(base), df(new), 64)
     got = {r["path"]: bytes(r["content"]) for r in delta.apply_plan(df(base), ops).collect()}
@@ -119,12 +121,37 @@ def test_block_diff_rebuilds(spark, seed):
     s = {r["path"]: r for r in delta.plan_summary(ops).collect()}
     if len(base["f1"]) > 500:
         assert s["f1"]["reused"] > 0.8 * len(base["f1"])
+    got = {k: [] for k in new if new[k]}
+    for r in ops.orderBy("path", "seq").collect():
+        got[r["path"]].append((r["op"], r["entry"], r["old_off"], r["new_off"], r["len"]))
+    assert got == {k: brute_diff(base, k, v, 64) for k, v in new.items() if v}
+
+
+def brute_diff(old, path, data, size):
+    """Greedy from left to right, all old blocks looked at in order of preference: same path going on, same path, lowest offset, first entry."""
+    blocks = [(p, o, b[o : o + size]) for p, b in sorted(old.items()) for o in range(0, len(b) - size + 1, size)]
+    ops, at, pending = [], 0, 0
+    while at + size <= len(data):
+        hits = [(p, o) for p, o, b in blocks if b == data[at : at + size]]
+        if not hits:
+            at += 1
+            continue
+        last = ops[-1] if ops and ops[-1][0] == "copy" and pending == at else None
+        entry, off = min(hits, key=lambda h: (h[0] != path, not (last and h[0] == path == last[1] and h[1] == last[2] + last[4]), h[1], h[0]))
+        if pending < at:
+            ops.append(("inline", None, None, pending, at - pending))
+        if last and (last[1], last[2] + last[4]) == (entry, off):
+            ops[-1] = ("copy", entry, last[2], last[3], last[4] + size)
+        else:
+            ops.append(("copy", entry, off, at, size))
+        at = pending = at + size
+    return ops + ([("inline", None, None, pending, len(data) - pending)] if pending < len(data) else [])
 
 
 def test_candidate_score(spark):
     rows = [("p", 0, "p", 9000, 1, False), ("p", 0, "q", 0, 2, False), ("p", 64, "q", 0, 1, True), ("p", 64, "q", 900_000, 5, False), ("p", 128, "q", 600_000, 3, False), ("p", 128, "q", 700_000, 4, False)]
     df = spark.createDataFrame(rows, "path string, new_off long, entry string, old_off long, block int, continues boolean")
-    assert {r["new_off"]: (r["entry"], r["old_off"]) for r in delta.candidate_pick(df).collect()} == {0: ("p", 9000), 64: ("q", 0), 128: ("q", 700_000)}
+    assert {r["new_off"]: (r["entry"], r["old_off"]) for r in delta.candidate_pick(df).collect()} == {0: ("p", 9000), 64: ("q", 0), 128: ("q", 600_000)}
 
 
 def test_range_groups_caps(spark):
