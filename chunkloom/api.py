@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import chunking, compare, cost, delta, integrity, islands
+from .operators import analysis, chunking, compare, cost, delta, integrity
 from .sources import builds, container
 
 MIB = 1 << 20
@@ -38,27 +38,16 @@ def _both(old: DataFrame, new: DataFrame, size: int) -> DataFrame:
     return builds.fixed_chunks(old, size).withColumn("is_new", F.lit(0)).unionByName(builds.fixed_chunks(new, size).withColumn("is_new", F.lit(1)))
 
 
-def analyze(spark: SparkSession, old_root: str, new_root: str, ignore: list[str] | None = None, fixed: int = FIXED, window: int = 64 << 10, cdc: tuple[int, int, int, int] = CDC) -> dict[str, DataFrame]:
+def analyze(spark: SparkSession, old_root: str, new_root: str, ignore: list[str] | None = None, engine: str = "auto", thresholds: analysis.Thresholds = analysis.Thresholds(), fixed: int = FIXED, fine: int = 64 << 10, coarse: int = MIB, cdc: tuple[int, int, int, int] = CDC) -> dict[str, DataFrame]:
     """Per file: status, downloads under fixed and content-defined chunks, heat of changes and entropy; with totals, findings and advice."""
     old, new = _files(spark, old_root, ignore), _files(spark, new_root, ignore)
-    files = compare.file_estimates(_both(old, new, fixed))
-    changed = files.where("status in ('added', 'modified')").select("path")
-    old_cdc, new_cdc = chunking.cdc_chunks(old, *cdc), chunking.cdc_chunks(new, *cdc)
-    fresh = new_cdc.join(changed, "path", "left_semi").join(old_cdc.select("hash").distinct(), "hash", "left_anti").groupBy("path").agg(F.sum("len").alias("cdc_download"))
-    stays = new.select("path").join(old.select("path"), "path", "left_semi")
-    windows = islands.changed_windows(_both(old, new, window).select("path", "ord", "len", "hash", "is_new").join(stays, "path", "left_semi"))
-    heat = islands.heatmap(windows).select("path", "changed", "runs", "scatteredness", "span", "mean_run")
-    bytes_ = new.select("path", scalars.entropy(F.col("content")).alias("entropy"), scalars.archive_kind(F.col("content")).alias("archive"))
-    x = files.join(fresh, "path", "left").join(heat, "path", "left").join(bytes_, "path", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    signals = x.select(
-        "path", "status", scalars.is_pack(F.col("path")).alias("is_pack"), "new_size", "old_size", zero("runs").alias("runs"), zero("mean_run").alias("mean_run"), (zero("changed") * window / F.greatest("new_size", F.lit(1))).alias("density"), zero("span").alias("span"),
-        zero("changed").alias("changed"), zero("scatteredness").alias("scatteredness"), F.greatest(F.lit(0.0), 1 - F.col("download") / F.greatest("new_size", F.lit(1))).alias("fixed_reuse"), F.greatest(F.lit(0.0), 1 - zero("cdc_download") / F.greatest("new_size", F.lit(1))).alias("cdc_reuse"),
-        zero("entropy").alias("entropy"), F.col("download").alias("fixed_download"), zero("cdc_download").alias("cdc_download"),
-    )
-    findings = cost.detector_findings(signals)
-    totals = compare.build_estimate(_both(old, new, fixed))
-    return {"files": signals, "totals": totals, "findings": findings, "advice": cost.layout_plan(findings)}
+    files = analysis.signals(old, new, fixed, fine, coarse, lambda b: chunking.cdc_chunks(b, *cdc))
+    findings = analysis.detector_findings(files, thresholds).unionByName(analysis.build_findings(files, thresholds))
+    deleted = old.select("path").join(new.select("path"), "path", "left_anti")
+    return {
+        "files": files, "totals": compare.build_estimate(_both(old, new, fixed)), "rollup": analysis.rollup(files, deleted), "findings": findings.orderBy(F.desc("severity"), F.desc("wasted"), "path"),
+        "advice": analysis.layout_plan(findings, files), "engine": analysis.engine_hint(files, engine),
+    }
 
 
 def preview_update(spark: SparkSession, old_root: str, new_root: str, fixed: int = FIXED, cdc: tuple[int, int, int, int] = CDC, block: int = 64 << 10) -> DataFrame:

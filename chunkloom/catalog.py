@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import artifacts, compare, content, cost, graph, sessions, store
+from .plans import analysis, artifacts, compare, content, cost, graph, sessions, store
 
-_AREAS = (compare, store, content, artifacts, graph, cost, sessions)
+_AREAS = (analysis, compare, store, content, artifacts, graph, cost, sessions)
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions of pack files.
-PACK_EXTENSIONS = ("pak", "ucas", "utoc", "pck", "bundle", "assets", "ress", "archive", "big", "dat", "blob")
+PACK_EXTENSIONS = ("pak", "ucas", "utoc", "pck", "bundle", "assets", "ress", "archive", "big", "dat", "blob", "pack", "zip")
 #: Leading bytes (hex) of archives, with their names.
 ARCHIVE_MAGIC = [("504b0304", "zip"), ("504b0506", "zip"), ("1f8b", "gzip"), ("28b52ffd", "zstd"), ("fd377a585a00", "xz"), ("425a68", "bzip2"), ("377abcaf271c", "7z"), ("52617221", "rar"), ("04224d18", "lz4"), ("89504e47", "png")]
 #: Leading bytes (hex) of payload kinds.

@@ -105,53 +105,6 @@ def savings(updates: DataFrame, price_per_gib: float, downloads: int) -> DataFra
     return x.select("item", F.round("full_cost", 9).alias("full_cost"), F.round("update_cost", 9).alias("update_cost"), F.round(F.col("full_cost") - F.col("update_cost"), 9).alias("saved"), F.round(pct, 6).alias("saved_pct"))
 
 
-def detector_findings(files: DataFrame, interesting: int = 16 * MIB, advisory: int = 1 << 30, warning: int = 2 << 30, critical: int = 8 << 30) -> DataFrame:
-    """Per file the patterns that make its updates dear, most severe first (3 critical, 2 warning, 1 info).
-
-    files: path, status, is_pack, new_size, runs, mean_run, density, span (fine
-    windows), changed, scatteredness (coarse windows), fixed_reuse, cdc_reuse,
-    entropy, fixed_download, cdc_download. Churn of a table of contents is the
-    more specific diagnosis, and hides the scattered one.
-    """
-    c = F.col
-    wasted = F.greatest(c("fixed_download") - c("cdc_download"), F.lit(0)).cast("long")
-    looked_at = (c("status") == "modified") & (c("new_size") >= interesting)
-    toc = looked_at & (c("runs") >= 24) & (c("mean_run") <= 2.0) & (c("density") < 0.15) & (c("span") >= 0.5)
-    size_severity = F.when(c("new_size") > critical, 3).when(c("new_size") > warning, 2).when(c("new_size") > advisory, 1)
-    found = lambda ok, kind, severity, bytes_: F.when(ok, F.struct(F.lit(kind).alias("kind"), severity.cast("int").alias("severity"), bytes_.cast("long").alias("wasted")))
-    tests = F.array(
-        found(c("is_pack") & size_severity.isNotNull(), "oversized_pack", size_severity, F.lit(0)),
-        found(toc, "toc_churn", F.lit(3), wasted),
-        found(looked_at & ~toc & c("is_pack") & (c("changed") >= 16) & (c("scatteredness") >= 0.5), "scattered_pack_churn", F.when(c("new_size") > advisory, 3).otherwise(2), wasted),
-        found(looked_at & (c("cdc_reuse") - c("fixed_reuse") > 0.25), "asset_shuffling", F.lit(3), wasted),
-        found(looked_at & (c("entropy") >= 7.5) & (c("fixed_reuse") < 0.20) & (c("cdc_reuse") < 0.25), "compressed_blob", F.lit(2), c("fixed_download")),
-    )
-    return files.select("path", F.explode(F.array_compact(tests)).alias("f")).select("path", "f.kind", "f.severity", "f.wasted")
-
-
-def build_findings(files: DataFrame, growth: int = 16 * MIB) -> DataFrame:
-    """Findings over a whole build: many tiny edits at equal size, and packs that grew where new files would do."""
-    edits = F.count_if((F.col("status") == "modified") & (F.col("new_size") == F.col("old_size")) & (F.col("changed") <= 2))
-    one = files.agg(edits.alias("n")).where("n >= 5").select(F.lit("metadata_churn").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("n").alias("value"))
-    added = files.agg(F.coalesce(F.sum(F.when(F.col("status") == "added", F.col("new_size"))), F.lit(0)).alias("added"))
-    grown = files.where(F.col("is_pack") & (F.col("status") == "modified")).withColumn("growth", F.col("new_size") - F.col("old_size")).where(F.col("growth") >= growth)
-    two = grown.join(F.broadcast(added), F.col("added") < F.floor(F.col("growth") / 4)).select(F.lit("new_content_in_old_pack").alias("kind"), "path", F.col("growth").alias("value"))
-    return one.unionByName(two)
-
-
-#: What to do about each finding, and the share of its bytes that remains after.
-ADVICE = [
-    ("oversized_pack", "split the pack by content and update cadence", 1.0), ("toc_churn", "keep the table of contents in one place with relative offsets", 0.1), ("scattered_pack_churn", "group assets that change together", 0.25),
-    ("asset_shuffling", "keep a stable asset order and alignment", 0.1), ("compressed_blob", "compress each asset by itself", 0.2),
-]
-
-
-def layout_plan(findings: DataFrame) -> DataFrame:
-    """Advice for each finding with its bytes now and after."""
-    advice = findings.sparkSession.createDataFrame(ADVICE, "kind string, advice string, remains double")
-    return findings.join(F.broadcast(advice), "kind").select("path", "kind", "severity", "advice", F.col("wasted").alias("now"), F.floor(F.col("wasted") * F.col("remains")).alias("after"))
-
-
 def best_strategy(candidates: DataFrame) -> DataFrame:
     """(file, strategy, bytes): the smallest per file; among equals plan, then xdelta, then the full data, then bsdiff."""
     rank = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(k)) for k, s in enumerate(("copy-old", "plan-ops", "xdelta3", "full-data", "bsdiff"))], F.lit(9))

@@ -62,29 +62,6 @@ def io_estimate(spark, sf_dir):
     return cost.io_estimate(x.withColumn("new_size", F.col("write") * 4), spark.createDataFrame(cost.DEVICES, "device string, read_mbs double, write_mbs double, seek_ms double"))
 
 
-def _profile_chunks(spark, sf_dir):
-    """Chunk counts of the pages under each profile, scaled down to kilobytes as bytes."""
-    size = table(spark, sf_dir, "pages").select(F.length("html").cast("long").alias("size"))
-    p = cost.profiles(spark).select("profile", "avg_kib")
-    x = size.crossJoin(F.broadcast(p))  # ten profiles
-    n = F.ceil(F.col("size") / F.col("avg_kib"))
-    return x.groupBy("profile").agg(F.sum(n).cast("long").alias("chunks"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("size") % 3 == 0, F.col("size")).otherwise(F.col("avg_kib"))).cast("long").alias("new_bytes"))
-
-
-_PROFILE_SQL = f"""pr(profile, avg_kib) as (values {', '.join(f"('{p[0]}', {p[3]})" for p in cost.PROFILES)}),
-pc as (select profile, sum(ceil(length(html) / avg_kib::double))::bigint as chunks, sum(length(html))::bigint as bytes, sum(case when length(html) % 3 = 0 then length(html) else avg_kib end)::bigint as new_bytes from pages, pr group by profile),
-pe as (select profile, chunks, bytes * 0.4::double as storage, bytes * 0.4::double + chunks * 78 as cold, new_bytes * 0.4::double + chunks * 78 as update_, chunks * 36 as manifest, round(1 - new_bytes / bytes::double, 9) as reuse from pc)"""
-
-
-def profile_estimates(spark, sf_dir):
-    x = cost.profile_estimates(_profile_chunks(spark, sf_dir), 0.4)
-    return x.select("profile", "chunks", F.round("storage", 3).alias("storage"), F.round("cold", 3).alias("cold"), F.round("update", 3).alias("update_bytes"), "manifest", "reuse")
-
-
-def profile_score(spark, sf_dir):
-    return cost.score_profiles(cost.profile_estimates(_profile_chunks(spark, sf_dir), 0.4), "live").select("profile", "score", "best")
-
-
 def auto_profile(spark, sf_dir):
     """The profile that each customer's volume of orders would get."""
     x = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.floor(F.col("o_totalprice")) * 200).cast("long").alias("size"))
@@ -96,46 +73,6 @@ def savings_estimate(spark, sf_dir):
     return cost.savings(x, 0.08, 100_000)
 
 
-def _files(spark, sf_dir):
-    """Parts as files of a build with signals from their attributes."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    size = F.col("p_size").cast("long") * 200_000_000
-    return p.select(
-        F.concat(F.lit("f"), k.cast("string")).alias("path"), F.when(k % 5 == 0, "added").when(k % 7 == 0, "unchanged").otherwise("modified").alias("status"), (k % 2 == 0).alias("is_pack"), size.alias("new_size"), (size - (k % 4) * 10_000_000).alias("old_size"),
-        (k % 40).alias("runs"), (k % 5 / 2.0).alias("mean_run"), (k % 9 / 50.0).alias("density"), (k % 10 / 10.0).alias("span"), (k % 30).alias("changed"), (k % 8 / 8.0).alias("scatteredness"),
-        (k % 11 / 11.0).alias("fixed_reuse"), (k % 13 / 13.0).alias("cdc_reuse"), (k % 17 / 2.0).alias("entropy"), (k * 1000).alias("fixed_download"), (k * (k % 3) * 600).alias("cdc_download"),
-    )
-
-
-_FILES_SQL = """f as (select 'f' || p_partkey as path, case when p_partkey % 5 = 0 then 'added' when p_partkey % 7 = 0 then 'unchanged' else 'modified' end as status, p_partkey % 2 = 0 as is_pack, p_size::bigint * 200000000 as new_size,
-  p_size::bigint * 200000000 - (p_partkey % 4) * 10000000 as old_size, p_partkey % 40 as runs, (p_partkey % 5) / 2.0::double as mean_run, (p_partkey % 9) / 50.0::double as density, (p_partkey % 10) / 10.0::double as span, p_partkey % 30 as changed,
-  (p_partkey % 8) / 8.0::double as scatteredness, (p_partkey % 11) / 11.0::double as fixed_reuse, (p_partkey % 13) / 13.0::double as cdc_reuse, (p_partkey % 17) / 2.0::double as entropy, p_partkey * 1000 as fixed_download, p_partkey * (p_partkey % 3) * 600 as cdc_download from part),
-g as (select *, status = 'modified' and new_size >= 16777216 as seen, greatest(fixed_download - cdc_download, 0)::bigint as w from f),
-t as (select *, seen and runs >= 24 and mean_run <= 2 and density < 0.15 and span >= 0.5 as toc from g),
-fi as (select path, 'oversized_pack' as kind, case when new_size > 8589934592 then 3 when new_size > 2147483648 then 2 else 1 end as severity, 0::bigint as wasted from t where is_pack and new_size > 1073741824
-  union all select path, 'toc_churn', 3, w from t where toc union all select path, 'scattered_pack_churn', case when new_size > 1073741824 then 3 else 2 end, w from t where seen and not toc and is_pack and changed >= 16 and scatteredness >= 0.5
-  union all select path, 'asset_shuffling', 3, w from t where seen and cdc_reuse - fixed_reuse > 0.25 union all select path, 'compressed_blob', 2, fixed_download from t where seen and entropy >= 7.5 and fixed_reuse < 0.2 and cdc_reuse < 0.25)"""
-
-
-def detector_findings(spark, sf_dir):
-    """Most severe first."""
-    return cost.detector_findings(_files(spark, sf_dir)).orderBy(F.desc("severity"), "path", "kind")
-
-
-def build_findings(spark, sf_dir):
-    return cost.build_findings(_files(spark, sf_dir).where("status <> 'added'"))
-
-
-def layout_plan(spark, sf_dir):
-    return cost.layout_plan(cost.detector_findings(_files(spark, sf_dir)))
-
-
-def engine_hint(spark, sf_dir):
-    """The first pack by path that reuses little and is large."""
-    x = _files(spark, sf_dir).where("is_pack and status = 'modified' and fixed_reuse < 0.6 and new_size > 16777216")
-    return x.agg(F.min("path").alias("path"))
-
-
 def best_strategy(spark, sf_dir):
     """Per order the cheapest way to patch, with lines as candidates."""
     name = F.element_at(F.array(*[F.lit(s) for s in ("copy-old", "plan-ops", "xdelta3", "full-data", "bsdiff")]), ((F.col("l_linenumber") - 1) % 5 + 1).cast("int"))
@@ -151,7 +88,7 @@ def regression_compare(spark, sf_dir):
     return cost.regressions(of(F.col("l_orderkey") % 2 == 0), of(F.col("l_orderkey") % 2 == 1), 0.05, ("m7_ram",))
 
 
-QUERIES = {f.__name__: f for f in (route_scoring, route_scoring_slow_disk, near_tie_routes, client_profile_plan, io_estimate, profile_estimates, profile_score, auto_profile, savings_estimate, detector_findings, build_findings, layout_plan, engine_hint, best_strategy, regression_compare)}
+QUERIES = {f.__name__: f for f in (route_scoring, route_scoring_slow_disk, near_tie_routes, client_profile_plan, io_estimate, auto_profile, savings_estimate, best_strategy, regression_compare)}
 
 ORACLE_SQL = {
     "route_scoring": _scored_sql("balanced", False, False, False),
@@ -161,16 +98,9 @@ ORACLE_SQL = {
         b as (select client, min(struct_pack(score := score, pos := pos, route := route)) as b, bool_or(same) as same from s group by client) select client, case when same then 'no-op' when b.score = 'inf'::double then 'none' else b.route end as route, case when same then 0.0 else b.score end as score from b""",
     "io_estimate": """with x as (select l_suppkey::varchar as route, sum(l_quantity::bigint * 1000000)::bigint as read, sum(floor(l_extendedprice) * 1000)::bigint as write, sum(l_linenumber::bigint * 50000)::bigint as download, count(*) as seeks from lineitem group by 1)
         select route, device, round(read / 1048576.0::double / r + (write / 1048576.0::double + download / 1048576.0::double) / w + seeks * s / 1000, 9) as seconds, read + write > greatest(write * 4, 1) as dominates from x, (values ('hdd', 120.0::double, 100.0::double, 8.0::double), ('sata_ssd', 500.0, 450.0, 0.1), ('nvme', 3500.0, 2500.0, 0.02)) d(device, r, w, s)""",
-    "profile_estimates": f"with {_PROFILE_SQL} select profile, chunks, round(storage, 3) as storage, round(cold, 3) as cold, round(update_, 3) as update_bytes, manifest, reuse from pe",
-    "profile_score": f"with {_PROFILE_SQL}, s as (select profile, round(cold * 0.2::double + update_ * 0.4::double + storage * 0.15::double + manifest * 0.1::double + 64000.0::double * 3 * 0.1::double, 6) as score from pe) select *, row_number() over (order by score, profile) = 1 as best from s",
     "auto_profile": "with x as (select o_custkey, sum(floor(o_totalprice) * 200)::bigint as size from orders group by 1) select o_custkey, case when size < 134217728 then 'fastcdc-16k' when size < 536870912 then 'fastcdc-64k' else 'fastcdc-128k' end as profile from x",
     "savings_estimate": """with x as (select o_orderpriority as item, sum(floor(o_totalprice))::bigint / 1073741824.0::double * 100000 * 0.08::double as f, sum(o_orderkey % 1000)::bigint / 1073741824.0::double * 100000 * 0.08::double as u from orders group by 1)
         select item, round(f, 9) as full_cost, round(u, 9) as update_cost, round(f - u, 9) as saved, round(case when f > 0 then (f - u) / f * 100 else 0 end, 6) as saved_pct from x""",
-    "detector_findings": f"with {_FILES_SQL} select * from fi",
-    "build_findings": f"""with {_FILES_SQL}, y as (select * from f where status <> 'added') select 'metadata_churn' as kind, null::varchar as path, count(*)::bigint as value from y where status = 'modified' and new_size = old_size and changed <= 2 having count(*) >= 5
-        union all select 'new_content_in_old_pack', path, new_size - old_size from y where is_pack and status = 'modified' and new_size - old_size >= 16777216""",
-    "layout_plan": f"with {_FILES_SQL} select path, kind, severity, a.advice, wasted as now, floor(wasted * a.remains)::bigint as after from fi join (values {', '.join(f"('{k}', '{a}', {r}::double)" for k, a, r in cost.ADVICE)}) a(kind, advice, remains) using (kind)",
-    "engine_hint": f"with {_FILES_SQL} select min(path) as path from f where is_pack and status = 'modified' and fixed_reuse < 0.6 and new_size > 16777216",
     "best_strategy": """with x as (select l_orderkey as file, (l_linenumber - 1) % 5 as rank, floor(l_quantity / 10)::bigint as bytes from lineitem), m as (select file, min(struct_pack(b := bytes, r := rank)) as m from x group by file)
         select file, case m.r when 0 then 'copy-old' when 1 then 'plan-ops' when 2 then 'xdelta3' when 3 then 'full-data' else 'bsdiff' end as strategy, m.b as bytes from m""",
     "regression_compare": """with x as (select 'm' || l_suppkey || case l_suppkey % 3 when 0 then '_ms' when 1 then '_ram' else '_bytes' end as name, round(sum(l_quantity * 1000000) filter (l_orderkey % 2 = 0), 0) as value, round(sum(l_quantity * 1000000) filter (l_orderkey % 2 = 1), 0) as base from lineitem where l_suppkey <= 60 group by 1)
