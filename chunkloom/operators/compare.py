@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def is_new():
     return F.col("is_new") == 1
 
 
-
 def by_chunk(both: DataFrame, *keys: str) -> DataFrame:
     """Counts of each chunk (with ``keys``) in either build."""
     return both.groupBy(*keys, "hash").agg(F.max("len").alias("len"), F.count_if(~is_new()).alias("n_old"), F.count_if(is_new()).alias("n_new"))
@@ -66,18 +66,19 @@ def global_estimate(both: DataFrame) -> DataFrame:
 
 
 def sharing_matrix(chunks: DataFrame, least_reuse: float = 0.3, least_shared: int = 1 << 20) -> DataFrame:
-    """For each pair of depots: distinct bytes shared and unique to either, and the reuse ratio.
+    """For each pair of depots: distinct bytes shared and unique to either, and the share of all their bytes that both hold.
 
-    Pairs come from the depots that hold a chunk, so their number is bounded by
-    the depots and not by the chunks. A pair with no shared chunk isn't listed.
+    Shared bytes come from the depots that hold a chunk, so a chunk costs as
+    many rows as it has pairs of depots. Every pair of depots is listed; their
+    number is that of an app's depots, squared.
     """
     held = chunks.groupBy("hash").agg(F.max("len").alias("len"), F.sort_array(F.collect_set("depot")).alias("ds"))
     sizes = held.select("len", F.explode("ds").alias("depot")).groupBy("depot").agg(F.sum("len").alias("total"))
-    pairs = held.where(F.size("ds") > 1).select("len", "ds", F.posexplode("ds").alias("i", "a")).select("len", "a", F.explode(F.slice("ds", F.col("i") + 2, F.size("ds"))).alias("b"))
-    shared = pairs.groupBy("a", "b").agg(F.sum("len").alias("shared"), F.count(F.lit(1)).alias("shared_chunks"))
+    met = held.where(F.size("ds") > 1).select("len", "ds", F.posexplode("ds").alias("i", "a")).select("len", "a", F.explode(F.slice("ds", F.col("i") + 2, F.size("ds"))).alias("b"))
+    shared = met.groupBy("a", "b").agg(F.sum("len").alias("shared"), F.count(F.lit(1)).alias("shared_chunks"))
     a, b = sizes.select(F.col("depot").alias("a"), F.col("total").alias("ta")), sizes.select(F.col("depot").alias("b"), F.col("total").alias("tb"))
-    x = shared.join(a, "a").join(b, "b")
-    reuse = F.col("shared") / F.least("ta", "tb")
+    x = a.join(b, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").fillna(0, ["shared", "shared_chunks"])
+    reuse = F.coalesce(F.col("shared") / F.nullif(F.col("ta") + F.col("tb") - F.col("shared"), F.lit(0)), F.lit(0.0))
     return x.select("a", "b", "shared", "shared_chunks", (F.col("ta") - F.col("shared")).alias("unique_a"), (F.col("tb") - F.col("shared")).alias("unique_b"), F.round(reuse, 6).alias("reuse"), ((reuse > least_reuse) & (F.col("shared") > least_shared)).alias("suggested"))
 
 
@@ -91,8 +92,10 @@ def classify(both: DataFrame) -> DataFrame:
     """NEW, MODIFIED, DELETED or SAME for each path, with the bytes that no chunk of the old build covers."""
     f = fingerprints(both).groupBy("path").agg(*[F.max(F.when(F.col("is_new") == k, F.col(c))).alias(f"{n}_{c}") for k, n in ((0, "old"), (1, "new")) for c in ("size", "content_id")])
     state = F.when(F.col("old_size").isNull(), "NEW").when(F.col("new_size").isNull(), "DELETED").when(F.col("old_content_id") == F.col("new_content_id"), "SAME").otherwise("MODIFIED")
-    known = by_chunk(both).select("hash", F.col("n_old").alias("anywhere"))
-    fresh = both.where(is_new()).join(known.where("anywhere > 0").select("hash"), "hash", "left_anti").groupBy("path").agg(F.sum("len").alias("fresh"))
+    # only chunks that the old file of the path lacks are looked up elsewhere, each once a path
+    per = by_chunk(both, "path")
+    unknown = per.groupBy("hash").agg(F.sum("n_old").alias("anywhere")).where("anywhere = 0").select("hash")
+    fresh = per.where("n_old = 0").join(unknown, "hash", "left_semi").groupBy("path").agg(F.sum(F.col("len") * F.col("n_new")).alias("fresh"))
     x = f.select("path", state.alias("state"), F.coalesce("old_size", F.lit(0)).alias("old_size"), F.coalesce("new_size", F.lit(0)).alias("new_size")).join(fresh, "path", "left")
     return x.select("path", "state", "old_size", "new_size", F.coalesce("fresh", F.lit(0)).alias("fresh_bytes"), (F.col("new_size") - F.coalesce("fresh", F.lit(0))).alias("reused_bytes"))
 

@@ -7,9 +7,11 @@ over one group's rows in order; groups are packs, whose size is bounded.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,31 @@ def contiguous_runs(chunks: DataFrame) -> DataFrame:
 
 
 def _folded(df: DataFrame, by: str, order: list[str], start: Callable, extend: Callable) -> DataFrame:
-    """Numbers groups within each ``by``: a row joins the group before it if ``extend(state, row)`` gives a new state."""
+    """Numbers groups within each ``by``: a row joins the group before it if ``extend(state, row)`` gives a new state.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        state, group, out = None, -1, []
-        for r in rows.itertuples(index=False):
-            grown = extend(state, r) if state is not None else None
-            if grown is None:
-                group, state = group + 1, start(r)
-            else:
-                state = grown
-            out.append(group)
-        return rows.assign(grp=out)
+    Rows stream by in order, so a task holds one state and one batch.
+    """
+    names, row = df.columns, namedtuple("row", df.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, group = None, None, -1
+        at = names.index(by)
+        for batch in batches:
+            out = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = row(*values)
+                if (values[at],) != key:
+                    key, state, group = (values[at],), None, -1
+                grown = extend(state, r) if state is not None else None
+                if grown is None:
+                    group, state = group + 1, start(r)
+                else:
+                    state = grown
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "grp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", grp long"
-    return df.groupBy(by).applyInPandas(fold, schema)
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(fold, schema)
 
 
 def range_groups(chunks: DataFrame, gap: int = GAP, span: int = SPAN, waste_pct: int | None = WASTE_PCT) -> DataFrame:
@@ -84,9 +95,14 @@ def bounded_runs(chunks: DataFrame, most: int = SPAN) -> DataFrame:
     return x.groupBy("pack", "grp").agg(F.min("off").alias("off"), F.sum("len").alias("len"), F.count(F.lit(1)).alias("chunks")).drop("grp")
 
 
+def pack_numbers(chunks: DataFrame, target: int) -> DataFrame:
+    """(stream, ord, len): ``grp`` is the pack each appended chunk falls into; a new one opens once the last has reached ``target``."""
+    return _folded(chunks, "stream", ["ord"], lambda r: r.len, lambda s, r: s + r.len if s < target else None)
+
+
 def pack_rollover(chunks: DataFrame, target: int) -> DataFrame:
-    """(stream, ord, len): the pack each appended chunk falls into; a new one opens once the last has reached ``target``."""
-    x = _folded(chunks.select("stream", "ord", "len"), "stream", ["ord"], lambda r: r.len, lambda s, r: s + r.len if s < target else None)
+    """Packs that ``pack_numbers`` fills, with their bytes and chunks."""
+    x = pack_numbers(chunks.select("stream", "ord", "len"), target)
     return x.groupBy("stream", F.col("grp").alias("pack_no")).agg(F.sum("len").alias("bytes"), F.count(F.lit(1)).alias("chunks"), F.min("ord").alias("first_ord"))
 
 
@@ -124,6 +140,23 @@ def heatmap(windows: DataFrame) -> DataFrame:
     )
 
 
+def rebuild_ops(plan: DataFrame, most: int = SPAN) -> DataFrame:
+    """(file, ord, hash, len, source, entry, source_off) -> operations that write each file in order.
+
+    Chunks of the previous build are read from it even where the cache has
+    them: one file read on is never dearer than many small ones. Reads that
+    continue each other in the old file and in the new one become one, up to
+    ``most`` bytes; chunks of the cache and of the network stay single.
+    """
+    w = Window.partitionBy("file").orderBy("ord")
+    x = plan.withColumn("out_off", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = lambda c: F.lag(c).over(w)
+    on = (F.col("source") == "previous") & (last("source") == "previous") & (last("entry") == F.col("entry")) & (last(F.col("source_off") + F.col("len")) == F.col("source_off"))
+    x = runs(x.withColumn("breaks", ~F.coalesce(on, F.lit(False))), ["file"], ["ord"], F.col("breaks"))
+    x = _folded(x.select("file", "run", "ord", "len", "source", "entry", "source_off", "out_off"), "file", ["ord"], lambda r: (r.run, r.len), lambda s, r: (r.run, s[1] + r.len) if r.run == s[0] and s[1] + r.len <= most else None)
+    return x.groupBy("file", "grp").agg(F.first("source").alias("source"), F.min_by("entry", "ord").alias("entry"), F.min("source_off").alias("source_off"), F.min("out_off").alias("out_off"), F.sum("len").alias("len"), F.count(F.lit(1)).alias("parts")).drop("grp")
+
+
 def tiling(ops: DataFrame) -> DataFrame:
     """(file, size, off, len): whether the operations cover each file from 0 to size without gap or overlap."""
     w = Window.partitionBy("file").orderBy("off")

@@ -43,18 +43,21 @@ def store_stats(ledger: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def fragmentation(ledger: DataFrame, refs: DataFrame, small: int = SMALL_PACK) -> DataFrame:
-    """Per pack: live and dead bytes and chunks, dead ratio, and whether it is small."""
-    live = F.col("refcount") > 0
-    x = refcounts(ledger, refs).groupBy("pack").agg(
-        F.sum("len_stored").alias("disk_bytes"), F.sum(F.when(live, F.col("len_stored")).otherwise(0)).alias("live_bytes"), F.count_if(live).alias("live_chunks"), F.count_if(~live).alias("dead_chunks"),
-    )
-    return x.withColumn("dead_ratio", F.round((F.col("disk_bytes") - F.col("live_bytes")) / F.col("disk_bytes"), 6)).withColumn("small", F.col("disk_bytes") < small)
+def fragmentation(ledger: DataFrame, packs: DataFrame, small: int = SMALL_PACK) -> DataFrame:
+    """Per pack that the ledger names: bytes on disk, bytes and chunks that the ledger has in it, dead ratio, and whether it is small.
+
+    packs: (pack, disk_bytes). Chunks that left the ledger stay in their pack's file until it is rewritten.
+    """
+    live = ledger.groupBy("pack").agg(F.sum("len_stored").alias("live_bytes"), F.count(F.lit(1)).alias("live_chunks"))
+    x = live.join(packs, "pack", "left").withColumn("disk_bytes", F.coalesce("disk_bytes", F.lit(0)))
+    dead = F.when(F.col("disk_bytes") == 0, 0.0).otherwise(1 - F.least("live_bytes", "disk_bytes") / F.col("disk_bytes"))
+    return x.select("pack", "disk_bytes", "live_bytes", "live_chunks", F.round(dead, 6).alias("dead_ratio"), (F.col("disk_bytes") < small).alias("small"))
 
 
 def fragmentation_score(frag: DataFrame) -> DataFrame:
-    dead = F.sum(F.col("disk_bytes") - F.col("live_bytes"))
-    return frag.agg(F.count(F.lit(1)).alias("packs"), F.count_if("small").alias("small_packs"), dead.alias("dead_bytes"), F.round(F.count_if("small") / F.count(F.lit(1)) + dead / F.sum("disk_bytes"), 6).alias("score"))
+    """One row: the share of small packs plus the share of dead bytes."""
+    dead = F.greatest(F.sum("disk_bytes") - F.sum("live_bytes"), F.lit(0))
+    return frag.agg(F.count(F.lit(1)).alias("packs"), F.count_if("small").alias("small_packs"), dead.alias("dead_bytes"), F.round(F.count_if("small") / F.count(F.lit(1)) + F.coalesce(dead / F.nullif(F.sum("disk_bytes"), F.lit(0)), F.lit(0.0)), 6).alias("score"))
 
 
 def repack_plan(frag: DataFrame, target: int = PACK_TARGET, dead_ratio: float = DEAD_RATIO) -> DataFrame:
@@ -62,7 +65,8 @@ def repack_plan(frag: DataFrame, target: int = PACK_TARGET, dead_ratio: float =
 
     Packs come by falling dead ratio. A group closes when the next pack would
     exceed the target and it holds two at least; a last group of one is left
-    alone. The fold needs all small packs in order, a row each.
+    alone. Each decision depends on those before, so the fold takes all small
+    packs in order: a row of numbers for a pack of many megabytes.
     """
     import pandas as pd
 
@@ -82,6 +86,39 @@ def repack_plan(frag: DataFrame, target: int = PACK_TARGET, dead_ratio: float =
     return merged.select("pack", F.lit("merge").alias("action"), "grp", "live_bytes").unionByName(compact.select("pack", F.lit("compact").alias("action"), "grp", "live_bytes"))
 
 
+def repack_run(ledger: DataFrame, plan: DataFrame, target: int = PACK_TARGET) -> DataFrame:
+    """The ledger after a plan: chunks of each group lie in new packs in their old order, all others where they were.
+
+    A new pack closes once it has reached ``target``. The old packs hold nothing then, and can go to quarantine.
+    """
+    from .islands import pack_numbers
+
+    groups = plan.select("pack", F.coalesce(F.concat(F.lit("merge-"), F.col("grp").cast("string")), F.concat(F.lit("compact-"), "pack")).alias("stream"))
+    moved = ledger.join(groups, "pack").withColumn("len", F.col("len_stored"))
+    order = Window.partitionBy("stream").orderBy("pack", "off")
+    dealt = pack_numbers(moved.withColumn("ord", F.row_number().over(order).cast("long")), target)
+    dealt = dealt.withColumn("pack", F.concat("stream", F.lit("-"), F.col("grp").cast("string")))
+    placed = append_offsets(dealt.drop("off")).select(*ledger.columns)
+    return ledger.join(groups, "pack", "left_anti").select(*ledger.columns).unionByName(placed)
+
+
+def publish_batch(refs: DataFrame, ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """References after a whole batch (asset, hash) is published, or as they were if any chunk of it is unknown to the ledger."""
+    lost = unknown_references(batch, ledger).agg(F.count(F.lit(1)).alias("lost"))
+    ok = batch.join(lost, F.col("lost") == 0).drop("lost")  # against one row
+    return publish(refs, ok)
+
+
+def compact_index(deltas: DataFrame, most: int = 8, share_pct: int = 25) -> DataFrame:
+    """(index, hash, generation, is_base, tombstone, bytes): indexes that have too much in deltas become one base of their live rows; others stay."""
+    due = needs_compaction(deltas.groupBy("index", "generation", "is_base").agg(F.sum("bytes").alias("bytes")), most, share_pct).where("compact").select("index")
+    live = deltas.join(due, "index", "left_semi").groupBy("index", "hash").agg(F.max_by(F.struct("generation", "tombstone", "bytes"), "generation").alias("r")).where("not r.tombstone")
+    based = live.select("index", "hash", F.col("r.generation").alias("generation"), F.lit(True).alias("is_base"), F.lit(False).alias("tombstone"), F.col("r.bytes").alias("bytes"))
+    top = deltas.join(due, "index", "left_semi").groupBy("index").agg(F.max("generation").alias("top"))
+    based = based.join(top, "index").withColumn("generation", F.col("top")).select(*deltas.columns)
+    return deltas.join(due, "index", "left_anti").select(*deltas.columns).unionByName(based)
+
+
 def gc_candidates(counted: DataFrame, now: int, grace: int) -> DataFrame:
     """Unreferenced chunks whose grace is over; one never published has no time and is over at once."""
     return counted.where((F.col("refcount") == 0) & (F.lit(now) - F.coalesce("zero_since", F.lit(0)) >= grace))

@@ -49,7 +49,7 @@ def container_ingest(spark, sf_dir):
 def cached_sources(spark, sf_dir):
     """First place in the old build of each fixed chunk that the new build needs."""
     old = builds.old_chunks(spark, sf_dir).select("path", "off", "hash")
-    return container.needed_from_previous(old, builds.new_chunks(spark, sf_dir).where("cast(regexp_extract(path, '([0-9]+)$', 1) as bigint) % 9 = 0"))
+    return container.needed_from_previous(old, builds.new_chunks(spark, sf_dir))
 
 
 def run_expansion(spark, sf_dir):
@@ -150,13 +150,13 @@ def layout_case_fixed(spark, sf_dir):
     """Blocks that the fixed model loads for each case."""
     old, new = synth.case_matrix(spark, 64, 9, 4096)
     both = builds.fixed_chunks(old, 4096).withColumn("is_new", F.lit(0)).unionByName(builds.fixed_chunks(new, 4096).withColumn("is_new", F.lit(1)))
-    return compare.file_estimates(both).where("path in ('same', 'localized', 'scattered', 'toc_start', 'toc_spread', 'appended', 'shuffled')").select("path", "status", "new_chunks")
+    return compare.file_estimates(both).select("path", "status", "new_chunks")
 
 
 def version_nodes(spark, sf_dir):
-    """Documents of one source as versions: order, sizes and hashes, and that compression helps."""
-    x = builds.old_build(spark, sf_dir).where("depot = 'src1'").select(F.concat(F.lit("v1."), "path").alias("path"), F.col("content").cast("binary").alias("content"))
-    return builds.versions(x, "v1.*").select("idx", "id", "size_bytes", "hash", ((F.col("compressed_bytes") < F.col("size_bytes")) | (F.col("size_bytes") < 300)).alias("smaller"))
+    """Documents of each source as its versions: order, sizes and hashes, and that compression helps."""
+    x = builds.old_build(spark, sf_dir).select("depot", F.concat(F.lit("v1."), "path").alias("path"), F.col("content").cast("binary").alias("content"))
+    return builds.versions(x, "v1.*", by=("depot",)).select("depot", "idx", "id", "size_bytes", "hash", ((F.col("compressed_bytes") < F.col("size_bytes")) | (F.col("size_bytes") < 300)).alias("smaller"))
 
 
 def pack_quarantine(spark, sf_dir):
@@ -205,8 +205,8 @@ ORACLE_SQL = {
     "container_unpack": f"with {SQL} select path, sha256(content) as digest, true as sound from new",
     "container_manifest": f"with {SQL} select path, strlen(content)::bigint as size, true as whole from new",
     "container_ingest": "select unnest([0, 0])::bigint as lost",
-    "cached_sources": f"with {SQL}, f as (select hash, min(struct_pack(p := path, o := off)) as m from oc where hash in (select hash from nc where regexp_extract(path, '([0-9]+)$', 1)::bigint % 9 = 0) group by hash) select hash, m.p as path, m.o::bigint as off from f",
-    "run_expansion": "with led as (select p_partkey as hash, p_brand as pack, p_size::bigint * 640 as len, coalesce(sum(p_size::bigint * 640) over (partition by p_brand order by p_partkey rows between unbounded preceding and 1 preceding), 0)::bigint as off from part) select pack, off, hash, len from led where hash % 3 <> 0",
+    "cached_sources": f"with {SQL}, f as (select hash, min(struct_pack(p := path, o := off)) as m from oc where hash in (select hash from nc) group by hash) select hash, m.p as path, m.o::bigint as off from f",
+    "run_expansion": "with led as (select p_partkey as hash, p_brand as pack, p_size::bigint * 640 as len, coalesce(sum(p_size::bigint * 640) over (partition by p_brand order by p_partkey rows between unbounded preceding and 1 preceding), 0)::bigint as off from part) select pack, off, hash, len from led where len <= 20480",
     "synthetic_drift": "select unnest(['small', 'medium', 'large', 'shifted', 'reordered']) as path, true as shares_enough",
     "synthetic_directory": "select unnest(['modified', 'deleted', 'added', 'unchanged']) as status, unnest([2, 2, 3, 37])::bigint as files",
     "version_stream_costs": "select 15::bigint as pairs, 15::bigint as within, 5::bigint as cheap_neighbours",
@@ -215,8 +215,8 @@ ORACLE_SQL = {
     "settings_upsert": "select o_custkey % 100 as key, arg_max(o_orderpriority, struct_pack(d := o_orderdate, k := o_orderkey)) as value from orders group by 1",
     "capabilities": "select * from (values ('chunk-modes', 'fixed,cdc'), ('hash', 'sha256'), ('compression', 'none,zstd'), ('schema', '1')) t(feature, value)",
     "static_export": f"with {SQL} select depot as asset, count(*) as chunks, sum(len)::bigint as bytes from nc group by depot",
-    "layout_case_fixed": "select * from (values ('same', 'unchanged', 0::bigint), ('localized', 'modified', 1), ('scattered', 'modified', 16), ('toc_start', 'modified', 1), ('toc_spread', 'modified', 64), ('appended', 'modified', 16), ('shuffled', 'unchanged', 0)) t(path, status, new_chunks)",
-    "version_nodes": "select (row_number() over (order by doc_id) - 1)::int as idx, 'v1.' || doc_id as id, strlen(text)::bigint as size_bytes, sha256(text) as hash, true as smaller from documents where source = 'src1'",
+    "layout_case_fixed": "select * from (values ('same', 'unchanged', 0::bigint), ('localized', 'modified', 1), ('scattered', 'modified', 16), ('toc_start', 'modified', 1), ('toc_spread', 'modified', 64), ('appended', 'modified', 16), ('shuffled', 'unchanged', 0), ('new_noise', 'modified', 64), ('shifted', 'modified', 65)) t(path, status, new_chunks)",
+    "version_nodes": "select source as depot, (row_number() over (partition by source order by doc_id) - 1)::int as idx, 'v1.' || doc_id as id, strlen(text)::bigint as size_bytes, sha256(text) as hash, true as smaller from documents",
     "pack_quarantine": """with p as (select distinct p_brand as pack, regexp_extract(p_brand, '([0-9]+)', 1)::bigint as n from part), q as (select pack, case when n % 3 <> 0 then n * 86400 end as at_, pack in (select p_brand from part where p_partkey % 40 = 1) as used from p),
         a as (select pack, at_, case when at_ is not null and used then 'restore' when used then 'keep' when at_ is null then 'quarantine' when 5184000 - at_ >= 2592000 then 'sweep' else 'wait' end as action from q)
         select pack, action, case action when 'quarantine' then 5184000 when 'wait' then at_ end as quarantined_at from a""",

@@ -157,9 +157,9 @@ ORACLE_SQL = {
     "global_scope_estimate": f"{BOTH}, {_BY_HASH} select sum(n_new)::bigint as chunks, sum(case when n_old = 0 then n_new else 0 end)::bigint as new_chunks, sum(case when n_old = 0 then n_new * len else 0 end)::bigint as new_bytes from c",
     "distinct_fetch_bytes": f"with {SQL}, m as (select distinct hash, len from nc where hash not in (select hash from oc)) select count(*) as fetch_chunks, sum(len)::bigint as fetch_bytes from m",
     "depot_sharing_matrix": f"""with {SQL}, d as (select distinct depot, hash, len from oc), t as (select depot, sum(len) as total from d group by depot),
-        p as (select x.depot as a, y.depot as b, sum(x.len)::bigint as shared, count(*) as shared_chunks from d x join d y on x.hash = y.hash and x.depot < y.depot group by all)
-        select a, b, shared, shared_chunks, (ta.total - shared)::bigint as unique_a, (tb.total - shared)::bigint as unique_b, round(shared / least(ta.total, tb.total)::double, 6) as reuse,
-        shared / least(ta.total, tb.total)::double > 0.3 and shared > 1024 as suggested from p join t ta on ta.depot = a join t tb on tb.depot = b""",
+        p as (select x.depot as a, y.depot as b, sum(x.len)::bigint as shared, count(*) as shared_chunks from d x join d y on x.hash = y.hash and x.depot < y.depot group by all),
+        m as (select ta.depot as a, tb.depot as b, ta.total as ta, tb.total as tb, coalesce(shared, 0) as shared, coalesce(shared_chunks, 0) as shared_chunks from t ta join t tb on ta.depot < tb.depot left join p on p.a = ta.depot and p.b = tb.depot)
+        select a, b, shared, shared_chunks, (ta - shared)::bigint as unique_a, (tb - shared)::bigint as unique_b, round(shared / (ta + tb - shared)::double, 6) as reuse, shared / (ta + tb - shared)::double > 0.3 and shared > 1024 as suggested from m""",
     "classify_build": f"{_CLASSIFY} select * from x",
     "changes_only_preview": f"{_CLASSIFY} select state, count(*) as files, sum(fresh_bytes)::bigint as fresh_bytes, sum(reused_bytes)::bigint as reused_bytes from x where state <> 'SAME' group by state",
     "managed_deletions": f"with {SQL} select path from old where path not in (select path from new)",

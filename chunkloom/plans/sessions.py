@@ -36,7 +36,7 @@ def next_build_id(spark, sf_dir):
 
 
 def _promotions(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 40).cast("string")).alias("branch"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("r"), (F.col("o_orderkey") * 31 % 17).cast("string")).alias("build"))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 40).cast("string")).alias("branch"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("r"), (F.col("o_orderkey") * 31 % 1700).cast("string")).alias("build"))
 
 
 def branch_history(spark, sf_dir):
@@ -44,26 +44,26 @@ def branch_history(spark, sf_dir):
 
 
 def branch_rollback(spark, sf_dir):
-    p = _promotions(spark, sf_dir).where("seq % 40 = 0")
+    p = _promotions(spark, sf_dir)
     targets = spark.range(40).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("branch"), F.concat(F.lit("r"), (F.col("id") % 17).cast("string")).alias("build"))
     return workspace.rollback(p, targets)
 
 
 def asof_salt(spark, sf_dir):
-    """For each tenth event the value of its user's latest purchase at or before it."""
+    """For each other event the value of its user's latest purchase at or before it."""
     e = table(spark, sf_dir, "events")
-    releases = e.where("event_id % 10 < 5").groupBy(F.col("user_id").alias("key"), F.col("ts").alias("version")).agg(F.max("value").alias("value"))
-    asked = e.where("event_id % 10 = 7").select(F.col("user_id").alias("key"), F.col("ts").alias("version"))
+    releases = e.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("key"), F.col("ts").alias("version")).agg(F.max("value").alias("value"))
+    asked = e.where("event_type <> 'purchase'").select(F.col("user_id").alias("key"), F.col("ts").alias("version"))
     return workspace.content_as_of(releases, asked)
 
 
 def range_overlap_resources(spark, sf_dir):
-    """Windows of 64 KiB that changed, with the chunks of each pack that they touch."""
+    """Windows of 64 KiB of each pack in which a chunk begins, with the chunks that they touch."""
     from .store import _ledger
 
     led = _ledger(spark, sf_dir)
     r = led.select(F.col("pack").alias("grp"), F.col("off").alias("r_start"), (F.col("off") + F.col("len_stored")).alias("r_end"), F.col("hash").alias("name"))
-    w = led.where("hash % 23 = 0").select(F.col("pack").alias("grp"), (F.floor(F.col("off") / 65536) * 65536).alias("w_start")).distinct().withColumn("w_end", F.col("w_start") + 65536)
+    w = led.select(F.col("pack").alias("grp"), (F.floor(F.col("off") / 65536) * 65536).alias("w_start")).distinct().withColumn("w_end", F.col("w_start") + 65536)
     return workspace.overlapping(w, r, 65536)
 
 
@@ -89,7 +89,7 @@ def nth_segment(spark, sf_dir):
 
 def _manifests(spark, sf_dir):
     """Orders as assets: lines are segments of three tracks, each with two chunks."""
-    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     part = lambda n: F.concat(F.lit("c"), ((F.col("l_partkey") * n) % 50).cast("string"))
     seg = F.struct(F.col("l_linenumber").alias("id"), (F.col("l_linenumber") % 3).alias("track"), (F.col("l_suppkey") % 5).alias("pts"), F.lit(1).cast("long").alias("duration"), F.array(part(1), part(2)).alias("chunks"))
     track = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.alias("id"), F.lit("video").alias("kind"), F.lit("t").alias("name"), F.lit(1).alias("timescale"), F.array(F.concat(F.lit("i"), i.cast("string"))).alias("init")))
@@ -182,21 +182,21 @@ def language_contents(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (eligible_depots, next_build_id, branch_history, branch_rollback, asof_salt, range_overlap_resources, session_batch_plan, session_route, nth_segment, manifest_segments, manifest_summaries, playlist, transfer_loop, json_envelope, streaming_sessions, streaming_windows, streaming_ledger, concurrency_replay, snapshot_round_trip, language_contents)}
 
 _PLAN = "p as (select user_id as session, event_id as seq, sha256((event_id % 97)::varchar) as hash, case when row_number() over (partition by user_id, event_id % 97 order by event_id) = 1 then 'inline' else 'ref' end as kind from events)"
-_SEGS = """l as (select l_orderkey::varchar as asset, l_linenumber as segment, l_linenumber % 3 as track, min(l_suppkey) % 5 as pts, min(l_partkey) as k from lineitem where l_orderkey % 10 = 0 group by l_orderkey, l_linenumber),
+_SEGS = """l as (select l_orderkey::varchar as asset, l_linenumber as segment, l_linenumber % 3 as track, min(l_suppkey) % 5 as pts, min(l_partkey) as k from lineitem group by l_orderkey, l_linenumber),
 s as (select asset, track, segment, pts, 0 as ord, 'c' || (k % 50) as hash from l union all select asset, track, segment, pts, 1, 'c' || (k * 2 % 50) from l union all select distinct asset, t, -1, -1, 0, 'i' || t from l, range(0, 3) r(t))"""
 
 ORACLE_SQL = {
     "eligible_depots": """with d as (select 'd' || s_suppkey as depot, case s_suppkey % 3 when 0 then 'linux' when 1 then 'windows' end as platform, case s_suppkey % 4 when 0 then 'de' when 1 then 'en' end as language, s_suppkey % 2 = 0 as optional from supplier)
         select * from d where (platform is null or platform = 'linux') and (language is null or language = 'de') and (not optional or depot in ('d12', 'd24', 'd36'))""",
     "next_build_id": "select o_custkey as app, coalesce(max(case when o_orderkey % 5 <> 0 then o_orderkey % 5000 end), 1000) + 1 as next from orders group by 1",
-    "branch_history": """with p as (select 'b' || (o_custkey % 40) as branch, o_orderkey as seq, 'r' || (o_orderkey * 31 % 17) as build from orders), c as (select branch, arg_max(build, seq) as current, count(*)::int as promotions from p group by branch)
+    "branch_history": """with p as (select 'b' || (o_custkey % 40) as branch, o_orderkey as seq, 'r' || (o_orderkey * 31 % 1700) as build from orders), c as (select branch, arg_max(build, seq) as current, count(*)::int as promotions from p group by branch)
         select branch, current, promotions, (count(*) filter (build = current) - 1)::int as before from p join c using (branch) group by all""",
-    "branch_rollback": """with p as (select distinct 'b' || (o_custkey % 40) as branch, 'r' || (o_orderkey * 31 % 17) as build from orders where o_orderkey % 40 = 0), t as (select 'b' || i as branch, 'r' || (i % 17) as build from range(0, 40) r(i))
+    "branch_rollback": """with p as (select distinct 'b' || (o_custkey % 40) as branch, 'r' || (o_orderkey * 31 % 1700) as build from orders), t as (select 'b' || i as branch, 'r' || (i % 17) as build from range(0, 40) r(i))
         select branch, build, (branch, build) in (select (branch, build) from p) as known from t""",
-    "asof_salt": """with r as (select user_id as key, ts as version, max(value) as value from events where event_id % 10 < 5 group by all), a as (select user_id as key, ts as version from events where event_id % 10 = 7)
+    "asof_salt": """with r as (select user_id as key, ts as version, max(value) as value from events where event_type = 'purchase' group by all), a as (select user_id as key, ts as version from events where event_type <> 'purchase')
         select a.key, a.version, r.value from a asof left join r on a.key = r.key and a.version >= r.version""",
     "range_overlap_resources": """with led as (select p_partkey as hash, p_brand as grp, p_size::bigint * 640 as len, coalesce(sum(p_size::bigint * 640) over (partition by p_brand order by p_partkey rows between unbounded preceding and 1 preceding), 0)::bigint as off from part),
-        w as (select distinct grp, off // 65536 * 65536 as w_start from led where hash % 23 = 0) select w.grp, w_start, w_start + 65536 as w_end, off as r_start, off + len as r_end, hash as name from w join led on w.grp = led.grp and w_start < off + len and off < w_start + 65536""",
+        w as (select distinct grp, off // 65536 * 65536 as w_start from led) select w.grp, w_start, w_start + 65536 as w_end, off as r_start, off + len as r_end, hash as name from w join led on w.grp = led.grp and w_start < off + len and off < w_start + 65536""",
     "session_batch_plan": f"with {_PLAN} select session, seq, hash, kind, ((greatest(sum(case when kind = 'inline' then 1 else 0 end) over (partition by session order by seq), 1) - 1) // 4)::bigint as batch from p",
     "session_route": """with e as (select user_id as session, case when user_id % 3 = 0 then 0 else count(*) filter (value > 50) end as known, count(*) as total, case when user_id % 11 = 0 then 0 else sum(event_id % 1000) end::bigint as estimate, user_id * 40 as bootstrap_bytes from events group by user_id)
         select *, case when estimate = 0 then 'references' when known / total::double < 0.05 and bootstrap_bytes <= 0.98::double * estimate then 'bootstrap' else 'chunks' end as route from e""",
@@ -212,8 +212,9 @@ ORACLE_SQL = {
     "streaming_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as value from events group by all",
     "streaming_ledger": "select (event_id % 13)::varchar as hash, count(distinct user_id) as refcount from events where user_id % 7 <> 0 group by 1",
     "concurrency_replay": """with recursive s as (select event_type as grp, epoch(ts)::bigint // 3600 as second, bool_or(value > 180) as pressure from events group by all), o as (select *, row_number() over (partition by grp order by second) as rn from s),
-        r as (select grp, rn, second, case when pressure then 4 else 9 end::bigint as lim, case when pressure then second + 1 end as rest from o where rn = 1
-          union all select o.grp, o.rn, o.second, case when r.rest is null or o.second > r.rest then case when o.pressure then greatest(2, r.lim // 2) else least(64, r.lim + 1) end else r.lim end, case when (r.rest is null or o.second > r.rest) and o.pressure then o.second + 1 else r.rest end from r join o on o.grp = r.grp and o.rn = r.rn + 1)
+        r as (select grp, rn, second, case when pressure then 4 else 9 end::bigint as lim, case when pressure then second end as cut from o where rn = 1
+          union all select o.grp, o.rn, o.second, case when not o.pressure then least(64, r.lim + 1) when (r.cut is null or o.second - r.cut >= 1) and r.lim > 2 then greatest(2, r.lim // 2) else r.lim end,
+            case when o.pressure and (r.cut is null or o.second - r.cut >= 1) and greatest(2, r.lim // 2) < r.lim then o.second else r.cut end from r join o on o.grp = r.grp and o.rn = r.rn + 1)
         select grp, second, lim as "limit" from r""",
     "snapshot_round_trip": "select p_brand, sum(p_size)::bigint as size from part group by p_brand",
     "language_contents": f"with {SQL}, o as (select hash, max(len) as len, min(language) as language from oc group by hash having count(distinct path) = 1) select language, sum(len)::bigint as own from o group by language",

@@ -1,7 +1,7 @@
 """Registered queries over a chunk store and over ordered ranges, with their SQL.
 
-Parts are chunks of a store whose packs are brands; orders with an id
-divisible by 50 are its assets, and their lines the references.
+Parts are chunks of a store whose packs are brands; customers are its assets,
+and the lines of their latest order the references.
 """
 
 from __future__ import annotations
@@ -19,21 +19,35 @@ def _ledger(spark, sf_dir):
     return x.select("hash", "len_raw", "len_stored", "pack", "off")
 
 
+def _latest(spark, sf_dir):
+    """Each customer's latest order."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey")).alias("o"))
+    return o.select(F.col("o_custkey").alias("asset"), "o.*")
+
+
+def _lines(spark, sf_dir):
+    """Lines of the latest orders: asset, hash, l_linenumber and o_orderpriority."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("hash"), "l_linenumber")
+    return lines.join(_latest(spark, sf_dir), "o_orderkey").drop("o_orderkey")
+
+
 def _refs(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("asset"), F.col("l_partkey").alias("hash")).distinct()
+    return _lines(spark, sf_dir).select("asset", "hash").distinct()
 
 
 def _wanted(spark, sf_dir):
-    return _ledger(spark, sf_dir).where("hash % 3 <> 0").select("hash", "pack", "off", F.col("len_stored").alias("len"))
+    """Chunks that a client lacks: it has those of over 32 KiB."""
+    return _ledger(spark, sf_dir).where("len_raw <= 32768").select("hash", "pack", "off", F.col("len_stored").alias("len"))
 
 
 _STORE = """led as (select p_partkey as hash, p_size::bigint * 1024 as len_raw, p_size::bigint * 640 as len_stored, p_brand as pack,
   (coalesce(sum(p_size::bigint * 640) over (partition by p_brand order by p_partkey rows between unbounded preceding and 1 preceding), 0))::bigint as off from part),
-refs as (select distinct l_orderkey as asset, l_partkey as hash from lineitem where l_orderkey % 50 = 0),
+latest as (select o_custkey as asset, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as o, arg_max(o_orderpriority, struct_pack(d := o_orderdate, k := o_orderkey)) as priority from orders group by 1),
+lines as (select asset, l_partkey as hash, l_linenumber, priority from lineitem join latest on o = l_orderkey), refs as (select distinct asset, hash from lines),
 cnt as (select led.*, coalesce(n, 0) as refcount from led left join (select hash, count(*) as n from refs group by hash) using (hash)),
-wanted as (select hash, pack, off, len_stored as len from led where hash % 3 <> 0)"""
-_FRAG = """frag as (select pack, sum(len_stored)::bigint as disk_bytes, sum(case when refcount > 0 then len_stored else 0 end)::bigint as live_bytes, count(*) filter (refcount > 0) as live_chunks,
-  count(*) filter (refcount = 0) as dead_chunks from cnt group by pack), fr as (select *, round((disk_bytes - live_bytes) / disk_bytes::double, 6) as dead_ratio, disk_bytes < {small} as small from frag)"""
+wanted as (select hash, pack, off, len_stored as len from led where len_raw <= 32768)"""
+_FRAG = """frag as (select pack, sum(len_stored)::bigint as disk_bytes, sum(case when refcount > 0 then len_stored else 0 end)::bigint as live_bytes, count(*) filter (refcount > 0) as live_chunks
+  from cnt group by pack), fr as (select pack, disk_bytes, live_bytes, live_chunks, round(1 - live_bytes / disk_bytes::double, 6) as dead_ratio, disk_bytes < {small} as small from frag where live_chunks > 0)"""
 
 
 def refcounts(spark, sf_dir):
@@ -44,33 +58,75 @@ def store_stats(spark, sf_dir):
     return ledger.store_stats(_ledger(spark, sf_dir), _refs(spark, sf_dir))
 
 
+SMALL, TARGET, DEAD = 1_300_000, 2_000_000, 0.03
+
+
+def _collected(spark, sf_dir):
+    """The ledger after a collection: chunks without references have left it."""
+    return _ledger(spark, sf_dir).join(_refs(spark, sf_dir).select("hash").distinct(), "hash", "left_semi")
+
+
+def _fragmentation(spark, sf_dir):
+    packs = _ledger(spark, sf_dir).groupBy("pack").agg(F.sum("len_stored").alias("disk_bytes"))
+    return ledger.fragmentation(_collected(spark, sf_dir), packs, small=SMALL)
+
+
 def fragmentation(spark, sf_dir):
-    """Packs by falling dead ratio."""
-    return ledger.fragmentation(_ledger(spark, sf_dir), _refs(spark, sf_dir), small=1_300_000).orderBy(F.desc("dead_ratio"), "pack")
+    """Packs by falling dead ratio, after a collection."""
+    return _fragmentation(spark, sf_dir).orderBy(F.desc("dead_ratio"), "pack")
 
 
 def fragmentation_score(spark, sf_dir):
-    return ledger.fragmentation_score(ledger.fragmentation(_ledger(spark, sf_dir), _refs(spark, sf_dir), small=1_300_000))
+    return ledger.fragmentation_score(_fragmentation(spark, sf_dir))
 
 
 def repack_plan(spark, sf_dir):
-    frag = ledger.fragmentation(_ledger(spark, sf_dir), _refs(spark, sf_dir), small=1_300_000)
-    return ledger.repack_plan(frag, target=2_000_000, dead_ratio=0.3)
+    return ledger.repack_plan(_fragmentation(spark, sf_dir), target=TARGET, dead_ratio=DEAD)
+
+
+def repack_run(spark, sf_dir):
+    """Where every chunk lies after the plan was carried out."""
+    return ledger.repack_run(_collected(spark, sf_dir), repack_plan(spark, sf_dir), target=TARGET // 2)
+
+
+def publish_batch(spark, sf_dir):
+    """References after a batch with all lines of urgent latest orders, and after one that also names a lost chunk and so changes nothing."""
+    refs, led = _refs(spark, sf_dir), _ledger(spark, sf_dir)
+    urgent = _lines(spark, sf_dir).where("o_orderpriority = '1-URGENT'").select((-F.col("asset") - 1).alias("asset"), "hash").distinct()
+    done = ledger.publish_batch(refs, led, urgent)
+    broken = urgent.select((F.col("asset") - 10_000_000).alias("asset"), "hash").unionByName(spark.range(1).select(F.lit(-20_000_000).cast("long").alias("asset"), F.lit(-1).cast("long").alias("hash")))
+    return ledger.publish_batch(done, led, broken)
+
+
+def compacted_index(spark, sf_dir):
+    """Suppliers as indexes of parts, with a base of first lines and deltas after; returned lines are tombstones."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("index"), F.col("l_partkey").alias("hash"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("generation"), (F.col("l_linenumber") == 1).alias("is_base"), (F.col("l_returnflag") == "R").alias("tombstone"), F.col("l_quantity").cast("long").alias("bytes"))
+    return ledger.compact_index(x, most=500, share_pct=600)
+
+
+def rebuild_plan(spark, sf_dir):
+    """Operations that rebuild the new build's files from the old build, a cache of its files in other languages than English, and the network."""
+    old = builds.old_chunks(spark, sf_dir)
+    first = old.where("language = 'en'").groupBy("hash").agg(F.min(F.struct("path", "off")).alias("p")).select("hash", F.col("p.path").alias("entry"), F.col("p.off").alias("source_off"))
+    cache = old.where("language <> 'en'").select("hash", F.lit(True).alias("cached")).distinct()
+    x = builds.new_chunks(spark, sf_dir).join(first, "hash", "left").join(cache, "hash", "left")
+    source = F.when(F.col("entry").isNotNull(), "previous").when(F.col("cached"), "cache").otherwise("network")
+    return islands.rebuild_ops(x.select(F.col("path").alias("file"), "ord", "hash", "len", source.alias("source"), "entry", "source_off"), most=640)
 
 
 def republish(spark, sf_dir):
-    """References after every order divisible by 100 was published again with its first line alone, and by 150 removed."""
-    refs, lines = _refs(spark, sf_dir), table(spark, sf_dir, "lineitem")
-    again = lines.where("l_orderkey % 100 = 0 and l_linenumber = 1").select(F.col("l_orderkey").alias("asset"), F.col("l_partkey").alias("hash"))
-    gone = refs.where("asset % 150 = 0").select("asset").distinct()
+    """References after customers with an urgent order were published again with its first line alone, and those of a low priority removed."""
+    refs, lines = _refs(spark, sf_dir), _lines(spark, sf_dir)
+    again = lines.where("o_orderpriority = '1-URGENT' and l_linenumber = 1").select("asset", "hash")
+    gone = lines.where("o_orderpriority = '5-LOW'").select("asset")
     return ledger.unpublish(ledger.publish(refs, again), gone)
 
 
 def gc_candidates(spark, sf_dir):
-    """Chunks without references whose last shipment was 90 days ago; every ninth was never published."""
+    """Chunks without references whose last shipment was 90 days before 2002; some were never shipped."""
     last = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("hash")).agg(F.max(F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))).alias("t"))
-    counted = ledger.refcounts(_ledger(spark, sf_dir), _refs(spark, sf_dir)).join(last, "hash", "left").withColumn("zero_since", F.when(F.col("hash") % 9 != 0, F.col("t")))
-    return ledger.gc_candidates(counted, 915148800, 90 * 86400).select("hash", "len_stored", "zero_since")
+    counted = ledger.refcounts(_ledger(spark, sf_dir), _refs(spark, sf_dir)).join(last, "hash", "left").withColumn("zero_since", F.col("t"))
+    return ledger.gc_candidates(counted, 1009843200, 90 * 86400).select("hash", "len_stored", "zero_since")
 
 
 def lsm_latest_wins(spark, sf_dir):
@@ -86,14 +142,14 @@ def index_compaction(spark, sf_dir):
 
 
 def reference_check(spark, sf_dir):
-    """Assets that refer to chunks beyond the first nine tenths of the store."""
-    led = _ledger(spark, sf_dir).where("hash % 10 <> 0")
+    """Assets that refer to chunks of a pack that was lost."""
+    led = _ledger(spark, sf_dir).where("pack <> 'Brand#11'")
     return ledger.unknown_references(_refs(spark, sf_dir), led).groupBy("asset").agg(F.count(F.lit(1)).alias("unknown"))
 
 
 def batch_lookup(spark, sf_dir):
-    ids = _refs(spark, sf_dir).where("asset % 200 = 0").select("hash").distinct()
-    return ledger.batch_lookup(ids, _ledger(spark, sf_dir).where("hash % 10 <> 0"))
+    """Where the chunks that assets refer to lie, after a pack was lost."""
+    return ledger.batch_lookup(_refs(spark, sf_dir).select("hash").distinct(), _ledger(spark, sf_dir).where("pack <> 'Brand#11'"))
 
 
 def asset_bytes(spark, sf_dir):
@@ -106,9 +162,9 @@ def live_packs(spark, sf_dir):
 
 
 def ingest_chunks(spark, sf_dir):
-    """The store after lines of other orders were put into it: known chunks stay as they are."""
-    led = _ledger(spark, sf_dir).where("hash % 2 = 0")
-    new = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_partkey").alias("hash"), F.lit(1).cast("long").alias("len_raw"), F.col("l_linenumber").cast("long").alias("len_stored"), F.lit("incoming").alias("pack"), F.col("l_orderkey").alias("off"))
+    """A store of small chunks after all lines were put into it: known chunks stay as they are."""
+    led = _ledger(spark, sf_dir).where("len_raw <= 25600")
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("hash"), F.lit(1).cast("long").alias("len_raw"), F.col("l_linenumber").cast("long").alias("len_stored"), F.lit("incoming").alias("pack"), F.col("l_orderkey").alias("off"))
     return ledger.put_chunks(led, new)
 
 
@@ -181,7 +237,7 @@ def inline_split(spark, sf_dir):
     return islands.inline_split(added.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("off"), F.length("content").cast("long").alias("len")), 500)
 
 
-QUERIES = {f.__name__: f for f in (refcounts, store_stats, fragmentation, fragmentation_score, repack_plan, republish, gc_candidates, lsm_latest_wins, index_compaction, reference_check, batch_lookup, asset_bytes, live_packs, ingest_chunks, run_encode, range_groups, batch_read_groups, bounded_coalesce, pack_rollover, copy_coalesce, heatmap_windows, changed_runs, tiling_check, lru_evict, budget_select, inline_split)}
+QUERIES = {f.__name__: f for f in (refcounts, store_stats, fragmentation, fragmentation_score, repack_plan, repack_run, publish_batch, compacted_index, rebuild_plan, republish, gc_candidates, lsm_latest_wins, index_compaction, reference_check, batch_lookup, asset_bytes, live_packs, ingest_chunks, run_encode, range_groups, batch_read_groups, bounded_coalesce, pack_rollover, copy_coalesce, heatmap_windows, changed_runs, tiling_check, lru_evict, budget_select, inline_split)}
 
 
 def _range_sql(rule: str) -> str:
@@ -191,6 +247,11 @@ r as (select pack, rn, off as s, off + len as e, len as u, 0 as g from o where r
 """
 
 
+_PLAN = f"""o as (select pack, live_bytes, row_number() over (order by dead_ratio desc, pack) as rn from fr where small),
+r as (select rn, pack, live_bytes, live_bytes as held, 1 as n, 0 as grp from o where rn = 1
+  union all select o.rn, o.pack, o.live_bytes, case when r.held + o.live_bytes > {TARGET} and r.n > 1 then o.live_bytes else r.held + o.live_bytes end, case when r.held + o.live_bytes > {TARGET} and r.n > 1 then 1 else r.n + 1 end,
+  case when r.held + o.live_bytes > {TARGET} and r.n > 1 then r.grp + 1 else r.grp end from r join o on o.rn = r.rn + 1),
+pl as (select pack, 'merge' as action, grp::bigint as grp, live_bytes from r where grp in (select grp from r group by grp having count(*) > 1) union all select pack, 'compact', null, live_bytes from fr where not small and dead_ratio > {DEAD})"""
 _GAPS = "o.off >= r.e and o.off - r.e <= 20000 and o.off + o.len - r.s <= 400000"
 _GROUPED = "select pack, min(s)::bigint as off, (max(e) - min(s))::bigint as span, max(u)::bigint as useful, count(*) as chunks from r group by pack, g"
 _WINDOWS = f"""with {SQL}, stays as (select path from new where path in (select path from old)),
@@ -204,27 +265,34 @@ ORACLE_SQL = {
     "refcounts": f"with {_STORE} select hash, refcount from cnt",
     "store_stats": f"""with {_STORE} select count(*) as unique_chunks, sum(len_stored)::bigint as stored_bytes, sum(len_raw)::bigint as raw_bytes, sum(len_raw * refcount)::bigint as logical_bytes,
         count(*) filter (refcount = 0) as zero_ref_chunks, coalesce(sum(len_stored) filter (refcount = 0), 0)::bigint as zero_ref_bytes, count(distinct pack) as packs from cnt""",
-    "fragmentation": f"with {_STORE}, {_FRAG.format(small=1300000)} select * from fr",
-    "fragmentation_score": f"with {_STORE}, {_FRAG.format(small=1300000)} select count(*) as packs, count(*) filter (small) as small_packs, sum(disk_bytes - live_bytes)::bigint as dead_bytes, round(count(*) filter (small) / count(*)::double + sum(disk_bytes - live_bytes) / sum(disk_bytes)::double, 6) as score from fr",
-    "repack_plan": f"""with recursive {_STORE}, {_FRAG.format(small=1300000)}, o as (select pack, live_bytes, row_number() over (order by dead_ratio desc, pack) as rn from fr where small),
-        r as (select rn, pack, live_bytes, live_bytes as held, 1 as n, 0 as grp from o where rn = 1
-          union all select o.rn, o.pack, o.live_bytes, case when r.held + o.live_bytes > 2000000 and r.n > 1 then o.live_bytes else r.held + o.live_bytes end, case when r.held + o.live_bytes > 2000000 and r.n > 1 then 1 else r.n + 1 end,
-          case when r.held + o.live_bytes > 2000000 and r.n > 1 then r.grp + 1 else r.grp end from r join o on o.rn = r.rn + 1)
-        select pack, 'merge' as action, grp::bigint as grp, live_bytes from r where grp in (select grp from r group by grp having count(*) > 1) union all select pack, 'compact', null, live_bytes from fr where not small and dead_ratio > 0.3""",
-    "republish": f"""with {_STORE}, again as (select l_orderkey as asset, l_partkey as hash from lineitem where l_orderkey % 100 = 0 and l_linenumber = 1),
-        x as (select asset, hash from refs where asset not in (select asset from again) union select asset, hash from again) select distinct asset, hash from x where asset % 150 <> 0 or asset not in (select asset from refs)""",
-    "gc_candidates": f"""with {_STORE}, l as (select l_partkey as hash, max(epoch(l_shipdate))::bigint as t from lineitem group by 1), x as (select cnt.*, case when hash % 9 <> 0 then t end as zero_since from cnt left join l using (hash))
-        select hash, len_stored, zero_since from x where refcount = 0 and 915148800 - coalesce(zero_since, 0) >= 7776000""",
+    "fragmentation": f"with {_STORE}, {_FRAG.format(small=SMALL)} select * from fr",
+    "fragmentation_score": f"with {_STORE}, {_FRAG.format(small=SMALL)} select count(*) as packs, count(*) filter (small) as small_packs, sum(disk_bytes - live_bytes)::bigint as dead_bytes, round(count(*) filter (small) / count(*)::double + sum(disk_bytes - live_bytes) / sum(disk_bytes)::double, 6) as score from fr",
+    "repack_plan": f"""with recursive {_STORE}, {_FRAG.format(small=SMALL)}, {_PLAN} select * from pl""",
+    "repack_run": f"""with recursive {_STORE}, {_FRAG.format(small=SMALL)}, {_PLAN}, m as (select hash, len_raw, len_stored, coalesce('merge-' || grp, 'compact-' || pack) as stream, row_number() over (partition by coalesce('merge-' || grp, 'compact-' || pack) order by pack, off) as rn from cnt join pl using (pack) where refcount > 0),
+        w as (select stream, rn, len_stored as held, 0::bigint as at_, 0 as g from m where rn = 1 union all select m.stream, m.rn, case when w.held < {TARGET // 2} then w.held + m.len_stored else m.len_stored end, case when w.held < {TARGET // 2} then w.held else 0 end, case when w.held < {TARGET // 2} then w.g else w.g + 1 end from w join m on m.stream = w.stream and m.rn = w.rn + 1)
+        select hash, len_raw, len_stored, stream || '-' || g as pack, at_ as off from m join w using (stream, rn) union all select hash, len_raw, len_stored, pack, off from cnt where refcount > 0 and pack not in (select pack from pl)""",
+    "publish_batch": f"with {_STORE} select asset, hash from refs union select -asset - 1, hash from lines where priority = '1-URGENT'",
+    "compacted_index": """with x as (select l_suppkey as index, l_partkey as hash, l_orderkey * 10 + l_linenumber as generation, l_linenumber = 1 as is_base, l_returnflag = 'R' as tombstone, l_quantity::bigint as bytes from lineitem),
+        s as (select index, generation, is_base, sum(bytes) as bytes from x group by all), c as (select index from s group by index having count(*) filter (not is_base) > 500 or coalesce(sum(bytes) filter (not is_base), 0) * 100 > coalesce(sum(bytes) filter (is_base), 0) * 600),
+        l as (select *, row_number() over (partition by index, hash order by generation desc) as k, max(generation) over (partition by index) as top from x where index in (select index from c))
+        select index, hash, generation, is_base, tombstone, bytes from x where index not in (select index from c) union all select index, hash, top, true, false, bytes from l where k = 1 and not tombstone""",
+    "rebuild_plan": f"""with {SQL}, f as (select hash, min(struct_pack(p := path, o := off)) as p from oc where language = 'en' group by hash), x as (select nc.path as file, ord, nc.off, nc.len, p.p as entry, p.o as so, case when p is not null then 'previous' when hash in (select hash from oc where language <> 'en') then 'cache' else 'network' end as source from nc left join f using (hash)),
+        y as (select *, case when source = 'previous' and lag(source) over w = 'previous' and lag(entry) over w = entry and lag(so) over w + lag(len) over w = so then 0 else 1 end as brk from x window w as (partition by file order by ord)), z as (select *, sum(brk) over (partition by file order by ord) as run from y),
+        q as (select *, (row_number() over (partition by file, run order by ord) - 1) // 10 as grp from z) select file, min(source) as source, arg_min(entry, ord) as entry, min(so)::bigint as source_off, min(off)::bigint as out_off, sum(len)::bigint as len, count(*) as parts from q group by file, run, grp""",
+    "republish": f"""with {_STORE}, again as (select asset, hash from lines where priority = '1-URGENT' and l_linenumber = 1),
+        x as (select asset, hash from refs where asset not in (select asset from again) union select asset, hash from again) select distinct asset, hash from x where asset not in (select asset from lines where priority = '5-LOW')""",
+    "gc_candidates": f"""with {_STORE}, l as (select l_partkey as hash, max(epoch(l_shipdate))::bigint as t from lineitem group by 1), x as (select cnt.*, t as zero_since from cnt left join l using (hash))
+        select hash, len_stored, zero_since from x where refcount = 0 and 1009843200 - coalesce(zero_since, 0) >= 7776000""",
     "lsm_latest_wins": """with d as (select l_partkey as hash, l_orderkey * 10 + l_linenumber as generation, l_returnflag = 'R' as tombstone, l_suppkey as value, row_number() over (partition by l_partkey order by l_orderkey * 10 + l_linenumber desc) as k from lineitem)
         select hash, generation, value from d where k = 1 and not tombstone""",
     "index_compaction": """with x as (select l_suppkey as index, count(*) filter (l_linenumber <> 1) as deltas, coalesce(sum(l_quantity::bigint) filter (l_linenumber <> 1), 0)::bigint as delta_bytes, coalesce(sum(l_quantity::bigint) filter (l_linenumber = 1), 0)::bigint as base_bytes from lineitem group by 1)
         select *, deltas > 400 or delta_bytes * 100 > base_bytes * 25 as compact from x""",
-    "reference_check": f"with {_STORE} select asset, count(*) as unknown from refs where hash not in (select hash from led where hash % 10 <> 0) group by asset",
-    "batch_lookup": f"with {_STORE}, i as (select distinct hash from refs where asset % 200 = 0) select i.hash, l.pack, l.off, l.len_stored, case when l.pack is null then 'missing' else 'available' end as status from i left join (select * from led where hash % 10 <> 0) l using (hash)",
+    "reference_check": f"with {_STORE} select asset, count(*) as unknown from refs where hash not in (select hash from led where pack <> 'Brand#11') group by asset",
+    "batch_lookup": f"with {_STORE}, i as (select distinct hash from refs) select i.hash, l.pack, l.off, l.len_stored, case when l.pack is null then 'missing' else 'available' end as status from i left join (select * from led where pack <> 'Brand#11') l using (hash)",
     "asset_bytes": f"with {_STORE}, o as (select hash, count(*) as n from refs group by hash) select asset, count(*) as chunks, sum(len_stored)::bigint as bytes, coalesce(sum(len_stored) filter (n = 1), 0)::bigint as own_bytes from refs join o using (hash) join led using (hash) group by asset",
     "live_packs": f"with {_STORE}, p as (select distinct p_brand || case when p_size > 45 then '-old' else '' end as pack from part) select pack, pack in (select pack from led where hash in (select hash from refs)) as live from p",
-    "ingest_chunks": f"""with {_STORE}, n as (select l_partkey as hash, min(struct_pack(a := 1, b := l_linenumber::bigint, c := 'incoming', d := l_orderkey)) as r from lineitem where l_orderkey % 7 = 0 group by 1)
-        select * from led where hash % 2 = 0 union all select hash, r.a::bigint, r.b, r.c, r.d from n where hash not in (select hash from led where hash % 2 = 0)""",
+    "ingest_chunks": f"""with {_STORE}, n as (select l_partkey as hash, min(struct_pack(a := 1, b := l_linenumber::bigint, c := 'incoming', d := l_orderkey)) as r from lineitem group by 1)
+        select * from led where len_raw <= 25600 union all select hash, r.a::bigint, r.b, r.c, r.d from n where hash not in (select hash from led where len_raw <= 25600)""",
     "run_encode": f"with {_STORE}, x as (select *, off - coalesce(sum(len) over (partition by pack order by off rows between unbounded preceding and 1 preceding), 0) as island from wanted) select pack, min(off)::bigint as off, sum(len)::bigint as len, count(*) as chunks from x group by pack, island",
     "range_groups": _range_sql(f"{_GAPS} and (o.off + o.len - r.s - r.u - o.len) * 100 <= (r.u + o.len) * 15") + _GROUPED,
     "batch_read_groups": _range_sql(_GAPS) + _GROUPED,

@@ -47,8 +47,8 @@ def new_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("path"), content.alias("content"), F.col("source").alias("depot"), F.col("lang").alias("language"))
 
 
-def fixed_chunks(build: DataFrame, size: int = CHUNK, content: str = "content") -> DataFrame:
-    """A row per ``size`` units of content: ord, off, len, hash beside the build's other columns.
+def fixed_chunks(build: DataFrame, size: int = CHUNK, content: str = "content", data: bool = False) -> DataFrame:
+    """A row per ``size`` units of content: ord, off, len, hash beside the build's other columns, and the chunk itself if asked for.
 
     The last chunk is short; empty content has none. Nothing is shuffled. Bytes
     are cut by position; a string, in which a position takes a scan from its
@@ -62,7 +62,7 @@ def fixed_chunks(build: DataFrame, size: int = CHUNK, content: str = "content")
         n = F.length(content)
         at = F.explode(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
         cut = build.select("*", at.alias("ord")).withColumn("body", F.substr(F.col(content), F.col("ord") * size + 1, F.lit(size)))
-    return cut.select(*others, "ord", (F.col("ord") * F.lit(size)).cast("long").alias("off"), F.length("body").cast("long").alias("len"), F.sha2("body", 256).alias("hash"))
+    return cut.select(*others, "ord", (F.col("ord") * F.lit(size)).cast("long").alias("off"), F.length("body").cast("long").alias("len"), F.sha2("body", 256).alias("hash"), *([F.col("body").alias("data")] if data else []))
 
 
 def old_chunks(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame:
@@ -109,15 +109,18 @@ def read_range(files: DataFrame, offset: Column, length: Column) -> DataFrame:
     return files.withColumn("bytes", F.when(inside, F.substr("content", (offset + 1).cast("int"), length.cast("int"))))
 
 
-def versions(files: DataFrame, glob: str = "*", level: int = 3) -> DataFrame:
-    """(path, content) of artifacts -> nodes of a version graph in natural order of their names: idx, id, sizes and hash."""
+def versions(files: DataFrame, glob: str = "*", level: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content) of artifacts -> nodes of a version graph in natural order of their names: idx, id, sizes and hash.
+
+    Columns in ``by`` keep graphs apart; without them, versions of one artifact are numbered together.
+    """
     from pyspark.sql import Window
 
     from ..functions import scalars
 
-    x = files.where(F.col("path").rlike(scalars.version_glob(glob))).select(F.col("path").alias("id"), F.length("content").cast("long").alias("size_bytes"), scalars.compressed_length(F.col("content"), level).alias("compressed_bytes"), F.sha2("content", 256).alias("hash"))
-    order = Window.orderBy(scalars.natural_key(F.col("id")), "id")  # a row per version, content left behind
-    return x.select((F.row_number().over(order) - 1).alias("idx"), "id", "size_bytes", "compressed_bytes", "hash")
+    x = files.where(F.col("path").rlike(scalars.version_glob(glob))).select(*by, F.col("path").alias("id"), F.length("content").cast("long").alias("size_bytes"), scalars.compressed_length(F.col("content"), level).alias("compressed_bytes"), F.sha2("content", 256).alias("hash"))
+    order = Window.partitionBy(*by).orderBy(scalars.natural_key(F.col("id")), "id")  # a row per version, content left behind
+    return x.select(*by, (F.row_number().over(order) - 1).alias("idx"), "id", "size_bytes", "compressed_bytes", "hash")
 
 
 #: DuckDB counterpart of the builds and their chunks.

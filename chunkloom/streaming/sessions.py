@@ -62,21 +62,21 @@ def window_counts(events: DataFrame, late: str = "10 minutes", length: str = "5
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
-def concurrency_replay(requests: DataFrame, low: int = 2, high: int = 64) -> DataFrame:
+def concurrency_replay(requests: DataFrame, low: int = 2, high: int = 64, cooldown: int = 1) -> DataFrame:
     """(grp, second, pressure): the limit of parallel requests after each second with traffic.
 
-    It grows by one after a second without pressure and halves after one with,
-    then rests for a second. The fold runs per group over its seconds.
+    It grows by one after a second without pressure. Pressure halves it, unless
+    it was halved under ``cooldown`` seconds before; where it stays at ``low``,
+    no cooldown begins. The fold runs per group over its seconds, a row each.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        limit, rest, out = 8, None, []
+        limit, cut, out = 8, None, []
         for r in rows.sort_values("second").itertuples(index=False):
-            if rest is None or r.second > rest:
-                if r.pressure:
-                    limit, rest = max(low, limit // 2), r.second + 1
-                else:
-                    limit = min(high, limit + 1)
+            if not r.pressure:
+                limit = min(high, limit + 1)
+            elif (cut is None or r.second - cut >= cooldown) and max(low, limit // 2) < limit:
+                limit, cut = max(low, limit // 2), r.second
             out.append((r.grp, r.second, limit))
         return pd.DataFrame(out, columns=["grp", "second", "limit"])
 
