@@ -6,10 +6,13 @@ and containers are folders of Parquet.
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,3 +166,65 @@ def certify(spark: SparkSession, box_root: str, current: DataFrame | None = None
         r = cost.regressions(current, baseline, threshold).select(F.lit("regressions").alias("phase"), F.when(F.col("result").isin("pass", "fail"), F.col("result")).otherwise("skipped").alias("result"))
         checks = checks.unionByName(r)
     return integrity.worst(checks, "phase")
+
+
+def previous_chunks(spark: SparkSession, path: str, **profile: int) -> DataFrame:
+    """(hash) of what a client has installed: of a container if the folder is one, else of its files or of the file."""
+    try:
+        return container.open_container(spark, path)["chunks"].select("hash").distinct()
+    except container.BadContainer:
+        return chunking.cdc_chunks(_files(spark, path), **({"least": CDC[0], "mean": CDC[1], "most": CDC[2]} | profile)).select("hash").distinct()
+
+
+def old_signature(spark: SparkSession, path: str, block: int = 64 << 10) -> DataFrame:
+    """The block signature of an old build: as it was stored under ``path``, or of the files there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        found = spark.read.parquet(path)
+        if {"path", "block", "off", "len", "weak", "strong"} <= set(found.columns):
+            return found
+    return chunking.signature(_files(spark, path), block)
+
+
+class Job:
+    """An operation that runs beside its caller: start, poll, cancel.
+
+    Its Spark jobs form a group, so cancelling ends them; events tell what phase it is in.
+    """
+
+    def __init__(self, spark: SparkSession, operation: Callable[[Callable[[str], None]], object]):
+        self.group, self.events, self._spark, self._result, self._error = uuid.uuid4().hex, [("started", time.time())], spark, None, None
+        self._cancelled = threading.Event()
+
+        def run() -> None:
+            spark.sparkContext.setJobGroup(self.group, "job", interruptOnCancel=True)
+            try:
+                self._result = operation(self.phase)
+                self.events.append(("completed", time.time()))
+            except Exception as e:
+                self._error = EngineError("CANCELLED", "the caller cancelled it") if self._cancelled.is_set() else e
+                self.events.append(("cancelled" if self._cancelled.is_set() else "failed", time.time()))
+
+        self._thread = InheritableThread(target=run, daemon=True)
+        self._thread.start()
+
+    def phase(self, name: str) -> None:
+        """Called by the operation between its phases; a cancelled one ends here."""
+        if self._cancelled.is_set():
+            raise EngineError("CANCELLED", "the caller cancelled it")
+        self.events.append((name, time.time()))
+
+    def poll(self) -> str:
+        return "running" if self._thread.is_alive() else self.events[-1][0]
+
+    def cancel(self) -> None:
+        self._cancelled.set()
+        self._spark.sparkContext.cancelJobGroup(self.group)
+
+    def result(self, timeout: float | None = None) -> object:
+        self._thread.join(timeout)
+        if self._thread.is_alive():
+            raise EngineError("TIMEOUT", "it still runs", retryable=True)
+        if self._error:
+            raise self._error
+        return self._result

@@ -251,7 +251,20 @@ def stored(content: Column, level: int = 3) -> Column:
 
 
 def loaded(form: Column, data: Column) -> Column:
-    return F.pandas_udf(lambda f, s: pd.Series([load_form(a, bytes(b)) for a, b in zip(f, s, strict=True)]), "binary")(form, data)
+    """The bytes of a stored chunk, or null where they can't be decoded."""
+
+    def load(forms: pd.Series, stored: pd.Series) -> pd.Series:
+        import zstandard
+
+        out = []
+        for f, b in zip(forms, stored, strict=True):
+            try:
+                out.append(load_form(f, bytes(b)))
+            except (zstandard.ZstdError, ValueError, IndexError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(load, "binary")(form, data)
 
 
 def compressed_length(content: Column, level: int = 3) -> Column:

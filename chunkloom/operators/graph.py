@@ -23,6 +23,10 @@ RULE = "kind string, min_skip int, max_skip int, min_age int, probability double
 APPLY_RATE = 500 * 1024 * 1024 // 1000
 
 
+#: Steps of a path search between two looks at whether it has ended.
+AT_ONCE = 4
+
+
 def adjacent(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(max(0, n - 1)).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
 
@@ -74,16 +78,18 @@ def cheapest_paths(edges: DataFrame, sources: DataFrame, by: tuple[str, ...] = (
     """(src, dst, bytes) and (src) -> (src, dst, bytes, steps) of the cheapest path, fewest steps among equals.
 
     An edge without bytes costs 1. Columns in ``by``, which edges and sources
-    share, keep graphs apart that are searched together. Each round lengthens
-    paths by one step and keeps the best of each pair; lineage is cut where the
-    session has a shared folder for it.
+    share, keep graphs apart that are searched together. Each step lengthens
+    paths by one edge and keeps the best of each pair; ``AT_ONCE`` steps are one
+    job, after which lineage is cut where the session has a shared folder for it.
     """
     w = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"), F.coalesce("bytes", F.lit(1)).cast("long").alias("w")).groupBy(*by, "u", "v").agg(F.min("w").alias("w"))
     best = sources.select(*by, F.col("src").cast("long").alias("src")).distinct().select(*by, "src", F.col("src").alias("u"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("steps"))
     mark = None
-    for _ in range(rounds):
+    for k in range(rounds):
         longer = best.join(w, [*by, "u"]).select(*by, "src", F.col("v").alias("u"), (F.col("bytes") + F.col("w")).alias("bytes"), (F.col("steps") + 1).alias("steps"))
         best = best.unionByName(longer).groupBy(*by, "src", "u").agg(F.min(F.struct("bytes", "steps")).alias("m")).select(*by, "src", "u", "m.bytes", "m.steps")
+        if (k + 1) % AT_ONCE:
+            continue
         best = _settled(best)
         now = best.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("steps")).first()
         if now == mark:

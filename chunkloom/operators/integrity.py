@@ -10,8 +10,8 @@ RANK = {"pass": 0, "skipped": 1, "warn": 2, "fail": 3}
 
 
 def corrupt_chunks(chunks: DataFrame) -> DataFrame:
-    """(hash, data): chunks whose content doesn't have their hash."""
-    return chunks.where(F.sha2("data", 256) != F.col("hash")).select("hash")
+    """(hash, data): chunks whose content doesn't have their hash, or can't be read."""
+    return chunks.where(~F.sha2("data", 256).eqNullSafe(F.col("hash"))).select("hash")
 
 
 def signature_differences(have: DataFrame, want: DataFrame) -> DataFrame:
@@ -48,3 +48,29 @@ def doctor(ledger: DataFrame, refs: DataFrame, packs: DataFrame) -> DataFrame:
     over = ledger.withColumn("end", end).where("off < end").agg(F.count(F.lit(1)).alias("n")).select(F.lit("overlaps").alias("check"), "n")
     gone = ledger.select("pack").distinct().join(packs.select("pack"), "pack", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("packs").alias("check"), "n")
     return lost.unionByName(length).unionByName(over).unionByName(gone).select("check", F.col("n").alias("problems"), F.when(F.col("n") == 0, "pass").otherwise("fail").alias("result"))
+
+
+def corruption_matrix(box: dict[str, DataFrame], verify) -> DataFrame:
+    """(damage, found, rejected): a container's tables damaged in each way, and the checks of ``verify`` that notice.
+
+    Chunks are hit where their hash begins with 0, segments where they are a file's first.
+    """
+    hit = F.startswith("hash", F.lit("0"))
+    first = F.col("ord") == 0
+    damages = {
+        "none": {},
+        "chunk bytes": {"chunks": box["chunks"].withColumn("data", F.when(hit, F.concat(F.substr("data", F.lit(1), F.length("data") - 1), F.unhex(F.lit("A5")))).otherwise(F.col("data")))},
+        "chunk cut": {"chunks": box["chunks"].withColumn("data", F.when(hit, F.substr("data", F.lit(1), F.floor(F.length("data") / 2).cast("int"))).otherwise(F.col("data")))},
+        "chunk lost": {"chunks": box["chunks"].where(~hit)},
+        "segment lost": {"segments": box["segments"].where(~first)},
+        "segment moved": {"segments": box["segments"].withColumn("off", F.when(first, F.col("off") + 1).otherwise(F.col("off")))},
+        "file grown": {"files": box["files"].withColumn("size", F.col("size") + 1)},
+        "totals": {"integrity": box["integrity"].withColumn("stored", F.col("stored") + 1)},
+        "root": {"integrity": box["integrity"].withColumn("merkle", F.reverse("merkle"))},
+    }
+    out = None
+    for name, changed in damages.items():
+        x = verify(box | changed).where("problems > 0").agg(F.sort_array(F.collect_list("check")).alias("c"))  # a row a check
+        x = x.select(F.lit(name).alias("damage"), F.array_join("c", ",").alias("found"), (F.size("c") > 0).alias("rejected"))
+        out = x if out is None else out.unionByName(x)
+    return out

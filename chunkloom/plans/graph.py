@@ -66,8 +66,8 @@ def explain_path(spark, sf_dir):
 
 def simulate_policy(spark, sf_dir):
     """The built-in adjacent-heavy traffic priced under each policy."""
-    pol = _policies(spark).where("policy <> 'hub'")
-    names = ("adjacent", "ladder", "hot", "all")
+    pol = _policies(spark)
+    names = ("adjacent", "ladder", "hub", "hot", "all")
     each = lambda df: df.select("*", F.explode(F.array(*[F.lit(n) for n in names])).alias("policy"))
     paths = graph.cheapest_paths(_bytes(pol), each(spark.range(N).select(F.col("id").alias("src"))), by=("policy",))
     queries = each(graph.traffic(spark, "adjacent-heavy", N))
@@ -150,8 +150,8 @@ ORACLE_SQL = {
     "cheapest_path": f"with recursive {_LADDER}, {_PATHS} select src, dst, m.b as bytes, m.s as steps from best",
     "explain_path": f"""with recursive {_LADDER}, le as (select src, dst, {_EDGE} as w from ladder), pth as (select 1::bigint as node, 0::bigint as bytes, 0 as steps, []::bigint[] as via union all select e.dst, p.bytes + e.w, p.steps + 1, list_append(via, e.src) from pth p join le e on e.src = p.node),
         b as (select via from pth where node = 11 order by bytes, steps limit 1), h as (select unnest(generate_series(1, len(via)))::int as hop, via from b), x as (select hop, via[hop] as src, coalesce(via[hop + 1], 11) as dst from h) select hop, src, dst, {_EDGE} as bytes from x""",
-    "simulate_policy": f"""with recursive {_POL}, {_ADJ}, pe as (select policy, src, dst, {_EDGE} as w from pol where policy <> 'hub'),
-        pth as (select distinct policy, src as s, src as d, 0::bigint as bytes, 0 as steps from pe union all select p.policy, p.s, e.dst, p.bytes + e.w, p.steps + 1 from pth p join pe e on e.policy = p.policy and e.src = p.d),
+    "simulate_policy": f"""with recursive {_POL}, {_ADJ}, pe as (select policy, src, dst, {_EDGE} as w from pol),
+        pth as (select distinct policy, src as s, src as d, 0::bigint as bytes, 0 as steps from pe union all select p.policy, p.s, e.dst, p.bytes + e.w, p.steps + 1 from pth p join pe e on e.policy = p.policy and e.src = p.d where p.policy <> 'hub' or p.steps < 2),
         best as (select policy, s, d, min(struct_pack(b := bytes, s := steps)) as m from pth where s <> d group by all), n as (select distinct policy from pe),
         o as (select n.policy, tr.src, tr.dst, tr.probability as p, case when tr.src <> tr.dst and m is not null then m.b else 1000000 + 37000 * tr.dst end as bytes, case when tr.src <> tr.dst and m is not null then m.s else 0 end as steps, tr.src = tr.dst or m is not null as covered
           from tr cross join n left join best on best.policy = n.policy and s = tr.src and d = tr.dst),

@@ -24,8 +24,7 @@ class BadContainer(ValueError):
 
 def chunked(files: DataFrame, least: int = 16 << 10, mean: int = 64 << 10, most: int = 256 << 10, norm: int = 1) -> DataFrame:
     """(path, content) -> path, ord, off, len, hash, data."""
-    cuts = chunking.cdc_chunks(files, least, mean, most, norm)
-    return cuts.join(files.select("path", "content"), "path").select("path", "ord", "off", "len", "hash", F.substr("content", (F.col("off") + 1).cast("int"), F.col("len").cast("int")).alias("data"))
+    return chunking.cdc_chunks(files, least, mean, most, norm, data=True)
 
 
 def stored_chunks(pieces: DataFrame, level: int = 3, pack_bytes: int = 128 << 20) -> DataFrame:

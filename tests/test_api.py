@@ -27,14 +27,18 @@ def pair(tmp_path):
 
 def test_analyze_and_preview(spark, pair):
     old, new, _ = pair
-    out = api.analyze(spark, old, new, fixed=1024, window=1024, cdc=(256, 1024, 4096, 1))
+    out = api.analyze(spark, old, new, fixed=1024, fine=1024, coarse=4096, cdc=(256, 1024, 4096, 1))
     files = {r["path"]: r for r in out["files"].collect()}
-    assert {p: r["status"] for p, r in files.items()} == {"a.bin": "modified", "d/b.txt": "modified", "d/gone.bin": "deleted", "same.pak": "unchanged", "d/new.bin": "added"}
+    assert {p: r["status"] for p, r in files.items()} == {"a.bin": "modified", "d/b.txt": "modified", "same.pak": "unchanged", "d/new.bin": "added"}
+    total = out["rollup"].first()
+    assert (total["deleted"], total["added"]) == (1, 1) and total["cdc_reuse"] > total["fixed_reuse"]
+    assert files["a.bin"]["fine"]["changed"] == files["a.bin"]["fine"]["windows"] - 9000 // 1024 and out["engine"].isEmpty()
     assert files["a.bin"]["cdc_reuse"] > 0.7 > 0.4 > files["a.bin"]["fixed_reuse"] and files["same.pak"]["is_pack"]
     routes = {r["route"]: r for r in api.preview_update(spark, old, new, 1024, (256, 1024, 4096, 1), 256).collect()}
     assert routes["full"]["bytes"] > routes["fixed"]["bytes"] > max(routes["chunks"]["bytes"], routes["plan"]["bytes"]) > 0
     assert [r for r in routes.values() if r["recommended"]] == [min(routes.values(), key=lambda r: r["bytes"])]
     assert api.analyze(spark, old, new, ignore=["d/"], fixed=1024)["files"].count() == 2
+    assert api.analyze(spark, old, new, engine="unity")["engine"].first()["engine"] == "unity"
 
 
 def test_plan_is_applied_or_refused(spark, pair, tmp_path):
