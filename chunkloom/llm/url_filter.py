@@ -6,9 +6,12 @@ host: labelled outcomes are counted by host, and a host's rate is shrunk
 through beta priors from its registered domain, that domain's from its suffix,
 and the suffix's from the rate of all. The strength of each prior is fitted by
 the method of moments for beta-binomial counts. A host is blocked when even
-the lower posterior bound of its rate of bad pages is above a threshold.
+the lower posterior bound of its rate of bad pages, its mean less z standard
+deviations of the beta posterior, is above a threshold. Counts by host are cut
+once, and all that follows reads them.
 
-Defined results: a null url or one without :// has an empty host and path and
+Defined results: rules of equal length that fit one page can only be one rule
+given twice, of which the first counts; a null url or one without :// has an empty host and path and
 takes the prior of all pages; without labels every page that no rule fits is
 allowed; a page with several labels counts each; repeated rows stay; an empty
 table gives an empty result; extra columns go along, and one with the name of
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, cut
 
 #: Second-level labels that, below a two-letter top level, belong to the suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -75,7 +78,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFr
     strength) that a host below them takes when it has no labels.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumns({"domain": url_domain(F.col("host")), "suffix": url_suffix(F.col("host"))})
+    hosts = cut(hosts.withColumns({"domain": url_domain(F.col("host")), "suffix": url_suffix(F.col("host"))}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
