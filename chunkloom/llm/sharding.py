@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Kept, cut
 
-#: Bytes of text that a bucket should hold.
+#: Bytes of records that a bucket should hold.
 BUCKET_BYTES = 8 << 20
 #: Most hashes of heavy records that are broadcast (8 bytes each).
 MANY = 1 << 20
@@ -65,6 +65,12 @@ def record_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long")
 
 
+def _whole_bytes(docs: DataFrame) -> Column:
+    """What a record takes in a bucket: its strings and bytes, and eight for every column."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)).cast("long") for f in docs.schema if f.dataType.typeName() in ("string", "binary")]
+    return sum(wide, F.lit(8 * len(docs.columns)).cast("long"))
+
+
 def _shuffled(seed: int, columns: list[str]):
     def one(group: pa.Table) -> pa.Table:
         shard, bucket, start = (group.column(c)[0].as_py() for c in ("shard_id", "shard_bucket", "shard_start"))
@@ -88,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 29, bucket_bytes: int =
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.withColumn("shard_id", shard_of(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), shards))
 
-    sizes = {r["shard_id"]: (r["b"], r["n"]) for r in dealt(docs).groupBy("shard_id").agg(F.sum(record_bytes(F.col("text"))).alias("b"), F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
+    sizes = {r["shard_id"]: (r["b"], r["n"]) for r in dealt(docs).groupBy("shard_id").agg(F.sum(_whole_bytes(docs)).alias("b"), F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
     heavy = max(heavy, sum(n for _, n in sizes.values()) // MANY)
     many = cut(docs.select(content.alias("shard_h")).groupBy("shard_h").count().where(F.col("count") > heavy).select("shard_h"))
     once = docs.withColumn("shard_hash", content)
