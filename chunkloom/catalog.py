@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import analysis, artifacts, compare, content, cost, delivery, exchange, graph, sessions, store
+from .plans import analysis, artifacts, compare, content, cost, delivery, exchange, forms, graph, sessions, store
 
-_AREAS = (analysis, compare, store, content, artifacts, graph, cost, sessions, delivery, exchange)
+_AREAS = (analysis, compare, store, content, artifacts, graph, cost, sessions, delivery, exchange, forms)
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}

@@ -9,6 +9,8 @@ characters for strings and in bytes for binary content.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ def binary_files(spark: SparkSession, root: str, keep: Column | None = None, con
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    rel = F.regexp_replace(base, "^" + root.rstrip("/").replace(".", "\\.") + "/", "")
+    rel = F.regexp_replace(base, "^" + re.escape(re.sub("^file:/*", "/", root).rstrip("/")) + "/", "")
     out = raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
     return out.where(keep) if keep is not None else out
 
