@@ -244,6 +244,8 @@ ORACLE_SQL = {
     "cdc_coverage": f"with {SQL} select count(*) as files, count(*) as sound from new where length(content) > 0",
     "delta_round_trip": f"with {SQL} select count(*) as files, count(*) filter (length(content) > 0) as equal from new",
     "reconstruct_files": f"with {SQL} select path, sha256(content) as digest, true as sound from new where length(content) > 0",
+    "merkle_root": f"""with recursive {SQL}, t as (select path, list(hash order by ord) as l from nc group by path union all select path, list_transform(range(0, (len(l) + 1) // 2), lambda i: case when 2 * i + 2 <= len(l) then sha256(unhex(l[2 * i + 1] || l[2 * i + 2])) else l[2 * i + 1] end) from t where len(l) > 1)
+        select path, l[1] as root from t where len(l) = 1""",
     "tree_hash": f"""with {SQL}, f as (select path, sha256(content) as hash, length(content) as size from new), p as (select substr(sha256(path), 1, 2) as part, sha256(string_agg(path || chr(10) || hash, chr(10) order by path, hash)) as h, count(*) as n, sum(size) as b from f group by 1)
         select sha256(string_agg(h, '' order by part, h)) as tree, sum(n)::bigint as files, sum(b)::bigint as bytes from p""",
     "bloom_have": f"with {SQL}, k as (select distinct hash from oc), n as (select distinct hash from nc) select count(*) as known, count(*) as found, true as few_false from n where hash in (select hash from k)",
