@@ -12,6 +12,9 @@ Wiping two positions of the other half (or one, between two neighbouring
 values) makes linked fingerprints equal, and such a group holds four at most;
 linking each to the smallest of them loses no connection.
 
+Whole near copies (the pipeline's stage) are linked so too, after an exact
+check; those that differ in more bits are then found by sketches.
+
 Defined results: a null or empty text, or one of white space alone, has
 fingerprint zero and is linked like any other; repeated rows are rows of
 their own; component ids ignore null doc_ids and are null only where a whole
@@ -113,8 +116,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 256) -> DataFra
     return every.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-# Near copies of whole texts, which differ in more than two of 64 bits, are found by their sets of shingles.
+# Near copies of whole texts: fingerprints within two bits are linked first, after an exact check. Most near copies differ in
+# more bits; what the fingerprints don't join is found by sketches of the sets of shingles.
 
+#: Words of the shingles that a fingerprint counts.
+PRINT = 3
 #: Bands of a sketch, and the smallest hashes that make up a band. Texts of similarity s share a band with a
 #: probability of 1 - (1 - s^BAND)^BANDS: 0.99993 at 0.8, whatever was edited, cut or appended.
 BANDS, BAND = 24, 5
@@ -145,14 +151,15 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, th (hash of the text), n (different shingles), low (a byte of each smallest hash) and bands of every row; a null text is an empty one."""
+    """doc_id, th (hash of the text), fp (its fingerprint, as ``fingerprints`` has it), n (different shingles), low (a byte of each smallest hash) and bands of every row; a null text is an empty one."""
     whole_text_batches(docs.sparkSession)
     place = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, low, bands = [], [], []
+            prints, n, low, bands = [], [], [], []
             for text in batch.column(2).to_pylist():
+                prints.append(simhash(shingle_hashes(text.encode(), PRINT)))
                 grams = gram_set(text, words)
                 least = sketch(grams)
                 key = place.copy()
@@ -162,10 +169,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(grams))
                 low.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
                 bands.append(key.view(np.int64) if len(grams) else key[:0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "n", "low", "bands"])
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "n", "low", "bands"])
 
     x = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    return x.mapInArrow(run, "doc_id long, th long, n long, low binary, bands array<long>")
+    return x.mapInArrow(run, "doc_id long, th long, fp long, n long, low binary, bands array<long>")
 
 
 def shared_bands(texts: DataFrame) -> DataFrame:
@@ -216,8 +224,30 @@ def rare_pairs(docs: DataFrame, texts: DataFrame, asked: DataFrame, words: int,
     return rare.join(other, "gram").where("th < b and root <> other").where(both * (1 + least) >= least * (F.col("n") + F.col("nb")) - 1e-6).select("th", "b").distinct()
 
 
-def band_links(docs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): links that connect whatever pairs of similar texts that share a band connect.
+def print_links(docs: DataFrame, texts: DataFrame, words: int, least: float, most: int = 256) -> DataFrame:
+    """(a, b): links of ``links`` between the fingerprints of texts, as far as ``verified`` confirms them.
+
+    The text of the smallest hash stands for all texts of its fingerprint, and
+    the others meet it. Pairs that meet only through texts that fail the check
+    are left to the sketches.
+    """
+    fps = cut(texts.groupBy("fp").agg(F.min("th").alias("first")))
+    same = texts.select("fp", "th").join(fps, "fp").where("th <> first").select(F.col("first").alias("a"), F.col("th").alias("b"))
+    f = lambda n: fps.select(F.col("fp").alias(n), F.col("first").alias(f"first{n}"))
+    far = links(fps.select("fp"), most).join(f("a"), "a").join(f("b"), "b")
+    far = far.select(F.least("firsta", "firstb").alias("a"), F.greatest("firsta", "firstb").alias("b"))
+    return verified(docs, texts, same.union(far).distinct(), words, least)
+
+
+def unjoined(bands: DataFrame, links_: DataFrame) -> DataFrame:
+    """(key, th, rank, root) of the bands whose texts ``links_`` don't all join; root is the same for joined texts."""
+    joined = components(links_).withColumnRenamed("root", "joined")
+    named = cut(bands.join(joined, F.col("th") == F.col("node"), "left").select("key", "th", "rank", F.coalesce("joined", "th").alias("root")))
+    return cut(named.join(named.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key"), "key", "left_semi"))
+
+
+def band_links(docs: DataFrame, texts: DataFrame, links_: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): ``links_``, and links that connect whatever else pairs of similar texts that share a band connect.
 
     In a round each text meets the first text of each of its bands, unless
     links join the two already. The first text has then met all of its band and
@@ -227,25 +257,20 @@ def band_links(docs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     texts of one group, and a group that its first texts join costs a row a text
     and not a pair of its texts.
     """
-    shared = shared_bands(texts).withColumn("root", F.col("th"))
-    links_ = None
+    shared = unjoined(shared_bands(texts), links_)
     for k in range(LEAD + 1):
+        release(docs.sparkSession)
+        if shared.isEmpty():
+            break
         if k < LEAD:
             first = shared.groupBy("key").agg(F.max(F.struct("rank", "root")).alias("r")).select("key", F.col("r.rank.th").alias("b"), F.col("r.root").alias("other"))
             pairs = shared.join(first, "key").where("root <> other")
         else:
             pairs = rare_pairs(docs, texts, shared.select("th", "root").distinct(), words, least)
         found = verified(docs, texts, pairs.select(F.least("th", "b").alias("a"), F.greatest("th", "b").alias("b")).distinct(), words, least)
-        links_ = found if links_ is None else cut(links_.union(found))
-        if k == LEAD:
-            break
-        roots = components(links_).withColumnRenamed("root", "joined")
-        rest = shared.join(first.select("key", F.col("b").alias("th")), ["key", "th"], "left_anti").join(roots, F.col("th") == F.col("node"), "left")
-        rest = cut(rest.select("key", "th", "rank", F.coalesce("joined", "th").alias("root")))
-        shared = cut(rest.join(rest.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("key"), "key", "left_semi"))
-        release(docs.sparkSession)
-        if shared.isEmpty():
-            break
+        links_ = cut(links_.union(found))
+        if k < LEAD:
+            shared = unjoined(shared.join(first.select("key", F.col("b").alias("th")), ["key", "th"], "left_anti"), links_)
     return links_
 
 
@@ -282,15 +307,18 @@ def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, le
 def text_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id and th, and of each different text its th, least doc_id and group (a text hash).
 
-    Texts are compared by words in lower case without ASCII punctuation. A
-    candidate pair is a link if its sets of shingles of ``words`` words (of all
-    words of a shorter text) have a Jaccard similarity of at least ``least``.
-    Texts without words are only grouped with equal ones.
+    Candidates are texts whose fingerprints are within two bits, and then texts
+    that share a band of their sketches. A candidate pair is a link if its sets
+    of shingles of ``words`` words (of all words of a shorter text) have a
+    Jaccard similarity of at least ``least``; here words are in lower case
+    without ASCII punctuation. Texts without such words have no band: they are
+    only grouped with each other, by their fingerprints.
     """
     every = cut(sketches(docs, words))
-    texts = cut(every.groupBy("th").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "low", "bands")]))
+    texts = cut(every.groupBy("th").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "low", "bands")]))
     release(docs.sparkSession)
-    roots = components(band_links(docs, texts.where("n > 0"), words, least))
+    near = print_links(docs, texts, words, least)
+    roots = components(band_links(docs, texts.where("n > 0"), near, words, least))
     named = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "least", F.coalesce("root", "th").alias("group"))
     return every.select("doc_id", "th"), named
 

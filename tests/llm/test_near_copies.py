@@ -6,7 +6,7 @@ import pytest
 
 from chunkloom.llm import simhash_dedup
 
-from .test_pairs import frame, shingle_set
+from .test_pairs import brute_simhash, frame, shingle_set
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(RNG.randint(3, 9))) for _ in range(5000)]
@@ -98,3 +98,30 @@ def test_families_around_texts_that_do_not_lead(spark, monkeypatch, rounds):
     texts = [*star, *chain, *crowd, *[edited(rng, t, 1) for t in crowd[:30]]]
     texts = [texts[i] for i in rng.sample(range(len(texts)), len(texts))]
     assert partition(found_groups(spark, texts)) == partition(brute_groups(texts))
+
+
+def test_fingerprints_within_two_bits_link_texts(spark, monkeypatch):
+    """Without any sketch, texts are grouped by their SimHash and the exact check alone."""
+    bands = simhash_dedup.shared_bands
+    monkeypatch.setattr(simhash_dedup, "shared_bands", lambda texts: bands(texts.limit(0)))
+    rng, texts = random.Random(8), []
+    for n in (300, 600, 1200):
+        for _ in range(8):
+            base = prose(rng, n)
+            texts += [base, [w.upper() for w in base], edited(rng, base, 1), [*base, "end"], edited(rng, base, n // 40)]
+    refrain = prose(rng, 21)  # fingerprints agree, sets of shingles don't
+    texts += [refrain * 30 + prose(rng, 40) for _ in range(2)]
+    texts += [[], [" "], ["..."]]  # texts without words: two have fingerprint zero
+    texts = [" ".join(t) for t in texts]
+    fps, sets = [brute_simhash(t) for t in texts], [shingle_set(t) for t in texts]
+    bits = lambda i, j: bin(fps[i] ^ fps[j]).count("1")
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if bits(i, j) <= 2]
+    pairs = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 30 and set(near) - set(pairs) == {(121, 120)} and (123, 122) in pairs
+    assert any(bits(k, k + 4) > 2 for k in range(0, 120, 5))  # for the sketches
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        root = [root[j] if r == root[i] else r for r in root]
+    group = {r["doc_id"]: r["group"] for r in simhash_dedup.near_copies(frame(spark, texts)).collect()}
+    assert partition([group[i] for i in range(len(texts))]) == partition(root)
+    assert simhash_dedup.one_of_each(frame(spark, texts)).count() == len(set(root))
