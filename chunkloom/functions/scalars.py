@@ -88,8 +88,18 @@ def natural_key(label: Column) -> Column:
     return F.transform(F.regexp_extract_all(label, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
 
 
+def _two_places(n: Column, size: int) -> Column:
+    """``n / size`` with two decimals as C prints them: by the exact quotient, halves to even. Java's format rounds them up."""
+    n = n.cast("double").cast("long")  # the double that a division would take
+    whole, rest = F.floor(n / size), n % size * 100
+    cents = F.floor(rest / size)
+    twice = 2 * (rest - cents * size)
+    cents = cents + ((twice > size) | ((twice == size) & (cents % 2 == 1))).cast("long")
+    return F.concat((whole + (cents == 100).cast("long")).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def human_bytes(n: Column) -> Column:
-    two = lambda unit, size: F.concat(F.format_string("%.2f", n / float(size)), F.lit(unit))
+    two = lambda unit, size: F.concat(_two_places(n, size), F.lit(unit))
     return F.when(n >= 1 << 30, two(" GiB", 1 << 30)).when(n >= 1 << 20, two(" MiB", 1 << 20)).when(n >= 1 << 10, two(" KiB", 1 << 10)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
