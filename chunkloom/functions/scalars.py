@@ -88,6 +88,16 @@ def natural_key(label: Column) -> Column:
     return F.transform(F.regexp_extract_all(label, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double to decimal places by arithmetic on doubles, halves away from zero, as DuckDB rounds.
+
+    Spark's own goes by the shortest decimal form, whose last place differs where a half is
+    near; without places both agree.
+    """
+    unit = 10.0**digits
+    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") * unit, 0) / unit
+
+
 def _two_places(n: Column, size: int) -> Column:
     """``n / size`` with two decimals as C prints them: by the exact quotient, halves to even. Java's format rounds them up."""
     n = n.cast("double").cast("long")  # the double that a division would take

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 
 def is_new():
     return F.col("is_new") == 1
@@ -79,7 +81,7 @@ def sharing_matrix(chunks: DataFrame, least_reuse: float = 0.3, least_shared: in
     a, b = sizes.select(F.col("depot").alias("a"), F.col("total").alias("ta")), sizes.select(F.col("depot").alias("b"), F.col("total").alias("tb"))
     x = a.join(b, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").fillna(0, ["shared", "shared_chunks"])
     reuse = F.coalesce(F.col("shared") / F.nullif(F.col("ta") + F.col("tb") - F.col("shared"), F.lit(0)), F.lit(0.0))
-    return x.select("a", "b", "shared", "shared_chunks", (F.col("ta") - F.col("shared")).alias("unique_a"), (F.col("tb") - F.col("shared")).alias("unique_b"), F.round(reuse, 6).alias("reuse"), ((reuse > least_reuse) & (F.col("shared") > least_shared)).alias("suggested"))
+    return x.select("a", "b", "shared", "shared_chunks", (F.col("ta") - F.col("shared")).alias("unique_a"), (F.col("tb") - F.col("shared")).alias("unique_b"), scalars.rounded(reuse, 6).alias("reuse"), ((reuse > least_reuse) & (F.col("shared") > least_shared)).alias("suggested"))
 
 
 def fingerprints(chunks: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def dedup_stats(chunks: DataFrame) -> DataFrame:
     c = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("refs"), F.max("len").alias("len"))
     return c.agg(
         F.sum("refs").alias("logical_chunks"), F.count(F.lit(1)).alias("unique_chunks"), F.sum(F.col("refs") * F.col("len")).alias("logical_bytes"), F.sum("len").alias("unique_bytes"),
-        F.max("refs").alias("most_refs"), F.round(1 - F.sum("len") / F.sum(F.col("refs") * F.col("len")), 6).alias("saved"),
+        F.max("refs").alias("most_refs"), scalars.rounded(1 - F.sum("len") / F.sum(F.col("refs") * F.col("len")), 6).alias("saved"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 MIB = 1 << 20
 
 #: Weights (net, apply, ram, temp, read, build) of the update policies.
@@ -52,7 +54,7 @@ def score_routes(routes: DataFrame, policy: str, slow_hdd: bool = False, low_dis
         cost = cost + 5 * (mib("temp") + mib("disk_read"))
     cost = cost + 25.0 * F.greatest(F.col("steps") - 1, F.lit(0))
     open_ = F.col("available") & (F.col("ram") <= budget)
-    x = routes.withColumn("score", F.when(open_, F.round(cost, 9)).otherwise(F.lit(float("inf"))))
+    x = routes.withColumn("score", F.when(open_, scalars.rounded(cost, 9)).otherwise(F.lit(float("inf"))))
     w = Window.partitionBy("client").orderBy("score", "pos")
     return x.withColumn("chosen", (F.row_number().over(w) == 1) & (F.col("score") < float("inf")))
 
@@ -70,7 +72,7 @@ def client_plan(routes: DataFrame, profile: str) -> DataFrame:
     net, apply, temp, cap = CLIENTS[profile]
     cost = F.col("network_bytes") * net + F.col("apply_ms") * apply + F.col("temp") * temp
     open_ = F.col("available") & (F.lit(True) if cap is None else F.col("ram") <= cap)
-    x = routes.withColumn("score", F.when(open_, F.round(cost, 6)).otherwise(F.lit(float("inf"))))
+    x = routes.withColumn("score", F.when(open_, scalars.rounded(cost, 6)).otherwise(F.lit(float("inf"))))
     best = x.groupBy("client").agg(F.min(F.struct("score", "pos", "route")).alias("b"), F.max("same").alias("same"))
     return best.select("client", F.when(F.col("same"), "no-op").when(F.col("b.score") == float("inf"), "none").otherwise(F.col("b.route")).alias("route"), F.when(F.col("same"), 0.0).otherwise(F.col("b.score")).alias("score"))
 
@@ -80,20 +82,20 @@ def io_estimate(routes: DataFrame, devices: DataFrame) -> DataFrame:
     mib = lambda c: F.col(c) / float(MIB)
     x = routes.join(F.broadcast(devices))  # devices are a handful
     seconds = mib("read") / F.col("read_mbs") + (mib("write") + mib("download")) / F.col("write_mbs") + F.col("seeks") * F.col("seek_ms") / 1000
-    return x.select("route", "device", F.round(seconds, 9).alias("seconds"), (F.col("read") + F.col("write") > F.greatest("new_size", F.lit(1))).alias("dominates"))
+    return x.select("route", "device", scalars.rounded(seconds, 9).alias("seconds"), (F.col("read") + F.col("write") > F.greatest("new_size", F.lit(1))).alias("dominates"))
 
 
 def profile_estimates(chunks: DataFrame, ratio: float) -> DataFrame:
     """(profile, chunks, bytes, new_chunks, new_bytes) -> storage, first download and update bytes at a compression ratio."""
     r = lambda c: F.col(c) * F.lit(ratio)
     over = MANIFEST_BYTES + WIRE_BYTES
-    return chunks.select("profile", "chunks", r("bytes").alias("storage"), (r("bytes") + F.col("chunks") * over).alias("cold"), (r("new_bytes") + F.col("chunks") * over).alias("update"), (F.col("chunks") * MANIFEST_BYTES).alias("manifest"), F.round(1 - F.col("new_bytes") / F.col("bytes"), 9).alias("reuse"))
+    return chunks.select("profile", "chunks", r("bytes").alias("storage"), (r("bytes") + F.col("chunks") * over).alias("cold"), (r("new_bytes") + F.col("chunks") * over).alias("update"), (F.col("chunks") * MANIFEST_BYTES).alias("manifest"), scalars.rounded(1 - F.col("new_bytes") / F.col("bytes"), 9).alias("reuse"))
 
 
 def score_profiles(estimates: DataFrame, mode: str = "live") -> DataFrame:
     """Profiles with their score; the lowest is best, the first by name among equals. Encode time isn't counted."""
     c, u, s, m, q = PROFILE_WEIGHTS[mode]
-    x = estimates.withColumn("score", F.round(F.col("cold") * c + F.col("update") * u + F.col("storage") * s + F.col("manifest") * m + 64000.0 * REQUESTS * q, 6))
+    x = estimates.withColumn("score", scalars.rounded(F.col("cold") * c + F.col("update") * u + F.col("storage") * s + F.col("manifest") * m + 64000.0 * REQUESTS * q, 6))
     return x.withColumn("best", F.row_number().over(Window.orderBy("score", "profile")) == 1)
 
 
@@ -102,7 +104,7 @@ def savings(updates: DataFrame, price_per_gib: float, downloads: int) -> DataFra
     cost = lambda c: F.col(c) / 1073741824.0 * downloads * price_per_gib
     x = updates.withColumns({"full_cost": cost("full_bytes"), "update_cost": cost("update_bytes")})
     pct = F.when(F.col("full_cost") > 0, (F.col("full_cost") - F.col("update_cost")) / F.col("full_cost") * 100).otherwise(0.0)
-    return x.select("item", F.round("full_cost", 9).alias("full_cost"), F.round("update_cost", 9).alias("update_cost"), F.round(F.col("full_cost") - F.col("update_cost"), 9).alias("saved"), F.round(pct, 6).alias("saved_pct"))
+    return x.select("item", scalars.rounded("full_cost", 9).alias("full_cost"), scalars.rounded("update_cost", 9).alias("update_cost"), scalars.rounded(F.col("full_cost") - F.col("update_cost"), 9).alias("saved"), scalars.rounded(pct, 6).alias("saved_pct"))
 
 
 def best_strategy(candidates: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def regressions(current: DataFrame, baseline: DataFrame, threshold: float, excep
     x = current.join(baseline.select("name", F.col("value").alias("base")), "name")
     change = (F.col("value") - F.col("base")) / F.col("base")
     result = F.when(F.col("base") <= 0, "skipped").when(n.isin(*exceptions) if exceptions else F.lit(False), "excepted").when((change <= threshold) | (F.col("value") - F.col("base") <= floor), "pass").otherwise("fail")
-    return x.select("name", F.round("value", 6).alias("value"), F.round("base", 6).alias("base"), F.when(F.col("base") > 0, F.round(change, 9)).alias("change"), result.alias("result"))
+    return x.select("name", scalars.rounded("value", 6).alias("value"), scalars.rounded("base", 6).alias("base"), F.when(F.col("base") > 0, scalars.rounded(change, 9)).alias("change"), result.alias("result"))
 
 
 def rebuild_score(network: Column, read: Column, seeks: Column, verify: Column) -> Column:

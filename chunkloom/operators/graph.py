@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 #: Rules (kind, min_skip, max_skip, min_age, probability) of the built-in traffic models.
 MODELS = {
     "adjacent-heavy": [("adjacent", None, None, None, 0.80), ("skip_range", 2, 4, None, 0.15), ("old_to_latest", None, None, 6, 0.04), ("reinstall_latest", None, None, None, 0.01)],
@@ -133,8 +135,8 @@ def policy_summary(outcomes: DataFrame, users: int) -> DataFrame:
     """Per policy: mean and percentiles of bytes, steps, apply time, bytes served and coverage; means are cut to whole numbers."""
     p, mean = F.col("probability"), lambda c: F.sum(F.col("probability") * c) / F.sum("probability")
     base = outcomes.groupBy("policy").agg(
-        F.floor(F.round(mean(F.col("bytes")), 6)).alias("avg_bytes"), F.max("bytes").alias("worst_bytes"), F.round(mean(F.col("steps")), 9).alias("avg_steps"), F.max("steps").alias("max_steps"),
-        F.floor(F.round(F.lit(users) * mean(F.col("bytes")), 3)).alias("served_bytes"), F.round(F.sum(F.when(F.col("covered"), p).otherwise(0.0)), 9).alias("coverage"),
+        F.floor(scalars.rounded(mean(F.col("bytes")), 6)).alias("avg_bytes"), F.max("bytes").alias("worst_bytes"), scalars.rounded(mean(F.col("steps")), 9).alias("avg_steps"), F.max("steps").alias("max_steps"),
+        F.floor(scalars.rounded(F.lit(users) * mean(F.col("bytes")), 3)).alias("served_bytes"), scalars.rounded(F.sum(F.when(F.col("covered"), p).otherwise(0.0)), 9).alias("coverage"),
     )
     for name, q in (("median_bytes", 0.5), ("p95_bytes", 0.95), ("p99_bytes", 0.99)):
         base = base.join(weighted_percentile(outcomes, ["policy"], "bytes", "probability", q).withColumnRenamed("percentile", name), "policy")
@@ -148,13 +150,13 @@ def edge_pool(policies: DataFrame) -> DataFrame:
 
 def base_choice(outcomes: DataFrame) -> DataFrame:
     """(base, probability, bytes): the base with the lowest mean bytes, the first of equals."""
-    m = outcomes.groupBy("base").agg(F.round(F.sum(F.col("probability") * F.col("bytes")) / F.sum("probability"), 6).alias("mean"))
+    m = outcomes.groupBy("base").agg(scalars.rounded(F.sum(F.col("probability") * F.col("bytes")) / F.sum("probability"), 6).alias("mean"))
     return m.agg(F.min(F.struct("mean", "base")).alias("m")).select("m.base", "m.mean")
 
 
 def hot_pairs(queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` likeliest updates that skip a version."""
-    return queries.where("dst - src > 1").orderBy(F.desc(F.round("probability", 12)), "src", "dst").limit(k)
+    return queries.where("dst - src > 1").orderBy(F.desc(scalars.rounded("probability", 12)), "src", "dst").limit(k)
 
 
 def planned_pairs(versions: DataFrame, shares: DataFrame, pinned: DataFrame, most: int = 3) -> DataFrame:

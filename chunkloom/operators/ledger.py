@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 SMALL_PACK, DEAD_RATIO, PACK_TARGET = 8 << 20, 0.30, 128 << 20
 
 
@@ -51,13 +53,13 @@ def fragmentation(ledger: DataFrame, packs: DataFrame, small: int = SMALL_PACK)
     live = ledger.groupBy("pack").agg(F.sum("len_stored").alias("live_bytes"), F.count(F.lit(1)).alias("live_chunks"))
     x = live.join(packs, "pack", "left").withColumn("disk_bytes", F.coalesce("disk_bytes", F.lit(0)))
     dead = F.when(F.col("disk_bytes") == 0, 0.0).otherwise(1 - F.least("live_bytes", "disk_bytes") / F.col("disk_bytes"))
-    return x.select("pack", "disk_bytes", "live_bytes", "live_chunks", F.round(dead, 6).alias("dead_ratio"), (F.col("disk_bytes") < small).alias("small"))
+    return x.select("pack", "disk_bytes", "live_bytes", "live_chunks", scalars.rounded(dead, 6).alias("dead_ratio"), (F.col("disk_bytes") < small).alias("small"))
 
 
 def fragmentation_score(frag: DataFrame) -> DataFrame:
     """One row: the share of small packs plus the share of dead bytes."""
     dead = F.greatest(F.sum("disk_bytes") - F.sum("live_bytes"), F.lit(0))
-    return frag.agg(F.count(F.lit(1)).alias("packs"), F.count_if("small").alias("small_packs"), dead.alias("dead_bytes"), F.round(F.count_if("small") / F.count(F.lit(1)) + F.coalesce(dead / F.nullif(F.sum("disk_bytes"), F.lit(0)), F.lit(0.0)), 6).alias("score"))
+    return frag.agg(F.count(F.lit(1)).alias("packs"), F.count_if("small").alias("small_packs"), dead.alias("dead_bytes"), scalars.rounded(F.count_if("small") / F.count(F.lit(1)) + F.coalesce(dead / F.nullif(F.sum("disk_bytes"), F.lit(0)), F.lit(0.0)), 6).alias("score"))
 
 
 def repack_plan(frag: DataFrame, target: int = PACK_TARGET, dead_ratio: float = DEAD_RATIO) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import analysis, cost
 from ..sources.builds import spread, table
 
@@ -51,19 +52,19 @@ def build_heat(spark, sf_dir):
     """Where in each file bytes differ, in windows of 512 bytes."""
     old, new, _ = _builds(spark, sf_dir)
     h = analysis.heat(old, new, {"h": COARSE})
-    return h.select("path", *[F.round(F.col(f"h.{c}"), 9).alias(c) if c in _HEAT[3:] else F.col(f"h.{c}").alias(c) for c in _HEAT])
+    return h.select("path", *[scalars.rounded(F.col(f"h.{c}"), 9).alias(c) if c in _HEAT[3:] else F.col(f"h.{c}").alias(c) for c in _HEAT])
 
 
 def build_signals(spark, sf_dir):
     x = _signals(spark, sf_dir)
-    return x.select("path", "status", "is_pack", "old_size", "new_size", F.round("fixed_reuse", 9).alias("fixed_reuse"), F.round("cdc_reuse", 9).alias("cdc_reuse"), "fixed_download", "cdc_download", F.round("entropy", 6).alias("entropy"), F.col("fine.runs").alias("runs"), F.col("coarse.changed").alias("changed"))
+    return x.select("path", "status", "is_pack", "old_size", "new_size", scalars.rounded("fixed_reuse", 9).alias("fixed_reuse"), scalars.rounded("cdc_reuse", 9).alias("cdc_reuse"), "fixed_download", "cdc_download", scalars.rounded("entropy", 6).alias("entropy"), F.col("fine.runs").alias("runs"), F.col("coarse.changed").alias("changed"))
 
 
 def build_analysis(spark, sf_dir):
     """The whole comparison in one row."""
     old, new = _texts(spark, sf_dir)
     x = analysis.rollup(_signals(spark, sf_dir), old.select("path").join(new.select("path"), "path", "left_anti"))
-    return x.withColumns({c: F.round(c, 9) for c in ("fixed_reuse", "cdc_reuse")})
+    return x.withColumns({c: scalars.rounded(c, 9) for c in ("fixed_reuse", "cdc_reuse")})
 
 
 def detector_findings(spark, sf_dir):

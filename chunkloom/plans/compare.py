@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import compare
 from ..sources import builds
 from ..sources.builds import SQL
@@ -27,7 +28,7 @@ files as (select path, case when n_chunks = 0 then 'deleted' when o = 0 then 'ad
 
 
 def fixed_chunk_totals(spark, sf_dir):
-    return compare.build_estimate(builds.both_chunks(spark, sf_dir)).withColumn("reuse", F.round("reuse", 9))
+    return compare.build_estimate(builds.both_chunks(spark, sf_dir)).withColumn("reuse", scalars.rounded("reuse", 9))
 
 
 def global_scope_estimate(spark, sf_dir):

@@ -17,7 +17,7 @@ def _bytes(build):
 
 def byte_entropy(spark, sf_dir):
     """Bits per byte of every old file."""
-    return _bytes(builds.old_build(spark, sf_dir)).select("path", F.round(scalars.entropy(F.col("content")), 9).alias("entropy"))
+    return _bytes(builds.old_build(spark, sf_dir)).select("path", scalars.rounded(scalars.entropy(F.col("content")), 9).alias("entropy"))
 
 
 def weak32_blocks(spark, sf_dir):

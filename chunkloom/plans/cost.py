@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import cost
 from ..sources.builds import table
 
@@ -84,7 +85,7 @@ def regression_compare(spark, sf_dir):
     """Metrics of suppliers in two halves of the lines."""
     x = table(spark, sf_dir, "lineitem").where("l_suppkey <= 60")
     suffix = F.when(F.col("l_suppkey") % 3 == 0, "_ms").when(F.col("l_suppkey") % 3 == 1, "_ram").otherwise("_bytes")
-    of = lambda ok: x.where(ok).groupBy(F.concat(F.lit("m"), F.col("l_suppkey").cast("string"), suffix).alias("name")).agg(F.round(F.sum(F.col("l_quantity") * 1_000_000), 0).alias("value"))
+    of = lambda ok: x.where(ok).groupBy(F.concat(F.lit("m"), F.col("l_suppkey").cast("string"), suffix).alias("name")).agg(scalars.rounded(F.sum(F.col("l_quantity") * 1_000_000), 0).alias("value"))
     return cost.regressions(of(F.col("l_orderkey") % 2 == 0), of(F.col("l_orderkey") % 2 == 1), 0.05, ("m7_ram",))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import graph
 from ..sources.builds import table
 
@@ -52,7 +53,7 @@ def edge_pool(spark, sf_dir):
 
 def traffic_expand(spark, sf_dir):
     t = graph.traffic(spark, "adjacent-heavy", N)
-    return t.withColumn("probability", F.round("probability", 9))
+    return t.withColumn("probability", scalars.rounded("probability", 9))
 
 
 def cheapest_path(spark, sf_dir):

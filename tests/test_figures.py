@@ -3,9 +3,28 @@
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars
+from chunkloom.operators import cost
 
 
 def test_sizes_round_halves_to_even(spark):
     want = {320 * 320 * 32 * 97: "303.12 MiB", 1024 + 128: "1.12 KiB", 1024 + 384: "1.38 KiB", (1 << 20) - 1: "1024.00 KiB", 86016**2 * 40 * 97: "26735.62 GiB", 1023: "1023 B", 1 << 30: "1.00 GiB"}
     df = spark.createDataFrame([(n,) for n in want], "n long")
     assert {r["n"]: r["s"] for r in df.select("n", scalars.human_bytes(F.col("n")).alias("s")).collect()} == want
+
+
+def test_rounding_is_that_of_doubles(spark):
+    # the shortest decimal forms end in a 5 that arithmetic on doubles loses, or has, in the tenth place
+    want = {1073.2318359375: 1073.231835937, 513.7697265625: 513.769726562, -0.5: -0.5, 2.5e-10: 0.0, -7.5e-10: -1e-09, 4.9999999999999994e-10: 0.0, 1e200: 1e200, float("inf"): float("inf")}
+    df = spark.createDataFrame([(v,) for v in want], "v double")
+    got = {r["v"]: r["r"] for r in df.select("v", scalars.rounded("v", 9).alias("r")).collect()}
+    assert got == want
+
+
+def test_scores_of_routes_are_those_of_sql(spark):
+    import duckdb
+
+    rows = [(c, route, pos, True, c * 40_000 + 1_000_000 * (pos + 1), c % 900, 16 << 20, 0, 0, 1, 0) for c in range(1, 5001) for pos, route in enumerate(("full", "plan"))]
+    df = spark.createDataFrame(rows, "client long, route string, pos int, available boolean, network_bytes long, apply_ms long, ram long, temp long, disk_read long, steps int, build_ms int")
+    got = {(r["client"], r["pos"]): r["score"] for r in cost.score_routes(df, "balanced").collect()}
+    sql = duckdb.execute("select c, p, round((c * 40000 + 1000000 * (p + 1)) / 1048576.0::double * 10.0::double + (c % 900) * 0.05::double + 16777216 / 1048576.0::double * 0.05::double + 0 * 0.01::double + 0 * 0.01::double + 25.0::double * 0, 9) from range(1, 5001) r(c), range(0, 2) s(p)").fetchall()
+    assert got == {(c, p): v for c, p, v in sql}
