@@ -1,9 +1,12 @@
 """Figures on the edge of two roundings, and steps whose memory or bytes must not grow with the input."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars
-from chunkloom.operators import cost
+from chunkloom.operators import chunking, cost, delta
 
 
 def test_sizes_round_halves_to_even(spark):
@@ -44,3 +47,35 @@ def test_times_count_to_the_nearest_second(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert spark_rows(catalog.QUERIES["concurrency_replay"](spark, str(tmp_path))) == duck_rows(c, catalog.ORACLE_SQL["concurrency_replay"])
+
+
+def test_blocks_with_a_common_phrase_are_suggested_once(spark):
+    rng = random.Random(5)
+    # the phrase is the anchor of all windows that hold it
+    phrase = min((rng.randbytes(32) for _ in range(20_000)), key=lambda p: int(chunking._gram_hashes(p, 32)[0]))
+    rows = lambda n: [(f"f{i:03d}", bytearray(rng.randbytes(16 + rng.randrange(2)) + phrase + rng.randbytes(80))) for i in range(n)]
+    olds, news = rows(60), rows(60)
+    news[7] = ("x", bytearray(b"ab") + olds[9][1][:64] + bytearray(b"cd"))
+    old, new = (spark.createDataFrame(r, "path string, content binary") for r in (olds, news))
+    _, anywhere = delta._first_places(chunking.block_anchors(old, 64))
+    assert [(r["path"], r["new_off"], r["entry"], r["old_off"]) for r in delta.equal_windows(new, anywhere, 64).collect()] == [("x", 2, "f009", 0)]
+    got = {(r["path"], r["op"], r["new_off"], r["len"]) for r in delta.block_diff(old, new, 64).where("path = 'x'").collect()}
+    assert got == {("x", "inline", 0, 2), ("x", "copy", 2, 64), ("x", "inline", 66, 2)}
+
+
+def test_fingerprints_are_those_of_windows():
+    data = random.Random(1).randbytes(1000)
+    for size in (4, 8, 33, 256, 1000):
+        got = chunking._fingerprints(data, size)
+        assert [int(v) for v in got[:: max(1, len(got) // 9)]] == [int(chunking._fingerprints(data[at : at + size], size)[0]) for at in range(0, len(got), max(1, len(got) // 9))]
+
+
+def test_workers_take_few_bytes_at_once(spark):
+    files = spark.range(3000, numPartitions=1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("x"), 4000).cast("binary").alias("content"))
+    chunking.signature(files, 256)
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert files.mapInArrow(bytes_of, "n long").agg(F.max("n")).first()[0] < 5 << 20
