@@ -84,13 +84,15 @@ def concurrency_replay(requests: DataFrame, low: int = 2, high: int = 64, cooldo
     return per.groupBy("grp").applyInPandas(fold, "grp string, second long, limit long")
 
 
-def run_to_memory(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its rows."""
-    import uuid
-
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_to_table(spark: SparkSession, stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and returns its rows, which executors write below ``root``; the driver holds none."""
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        w = w.format("parquet").option("path", f"{root}/rows")
+    else:  # all rows so far, each time
+        w = w.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/rows"))
+    w.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
 def transfer_summary(events: DataFrame) -> DataFrame:

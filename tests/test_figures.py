@@ -79,3 +79,11 @@ def test_workers_take_few_bytes_at_once(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
 
     assert files.mapInArrow(bytes_of, "n long").agg(F.max("n")).first()[0] < 5 << 20
+
+
+def test_streams_leave_no_rows_with_the_driver(spark):
+    from chunkloom import catalog
+
+    for name in ("streaming_sessions", "streaming_windows"):
+        df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.count() and df.inputFiles()  # a sink in memory has no files
