@@ -346,9 +346,19 @@ class Bloom:
     def __contains__(self, digest: bytes) -> bool:
         return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.probes(digest))
 
-
-def bloom_contains(hash_hex: Column, bloom: Bloom) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda h: bytes.fromhex(h) in bloom), "boolean")(hash_hex)
+    def _probes_of(self, digests: list[bytes]) -> np.ndarray:
+        """The probes of many digests, a row each."""
+        x = np.frombuffer(b"".join(d[:16] for d in digests), "<u8").reshape(-1, 2)
+        return (x[:, :1] + np.arange(self.K, dtype=np.uint64) * (x[:, 1:] | np.uint64(1))) % np.uint64(self.m)
+
+    def add_all(self, digests: list[bytes]) -> None:
+        on = np.unpackbits(self.bits, bitorder="little")
+        on[self._probes_of(digests).ravel()] = 1
+        self.bits = np.packbits(on, bitorder="little")
+
+    def contains_all(self, digests: list[bytes]) -> np.ndarray:
+        p = self._probes_of(digests)
+        return (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
 
 
 def xorshift_bytes(n: int, seed: int) -> bytes:

@@ -6,11 +6,13 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import small_batches
+from ..functions.scalars import Bloom
 from .chunking import block_anchors, window_anchors, window_prints
 
 OP = "path string, seq int, op string, entry string, old_off long, new_off long, len long, data binary"
@@ -118,6 +120,39 @@ def block_diff(old: DataFrame, new: DataFrame, size: int) -> DataFrame:
     return files.select("path", "content", "candidates", "places").mapInArrow(run, OP)
 
 
+#: Keys that one part of a filter is meant for.
+PART_KEYS = 100_000
+
+
+def _dealt(hashes: DataFrame, parts: int) -> DataFrame:
+    return hashes.select("hash", F.pmod(F.xxhash64("hash"), F.lit(parts)).alias("part"))
+
+
+def bloom_filters(keys: DataFrame, parts: int) -> DataFrame:
+    """Different keys (hash hex) -> part, size and bits of a filter that is dealt by hash: executors make it and keep it, and a task has one part of it."""
+
+    def build(key: tuple, keys: pa.Table) -> pa.Table:
+        f = Bloom(keys.num_rows)
+        f.add_all([bytes.fromhex(h) for h in keys.column("hash").to_pylist()])
+        return pa.table({"part": [key[0].as_py()], "size": [keys.num_rows], "bits": [f.bits.tobytes()]})
+
+    return _dealt(keys, parts).groupBy("part").applyInArrow(build, "part long, size long, bits binary")
+
+
+def filtered(hashes: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
+    """``hashes`` (hash hex) with ``maybe``: whether the filter of so many parts takes one for known. Each part of them meets its part of the filter."""
+
+    def probe(key: tuple, hashes: pa.Table, filters: pa.Table) -> pa.Table:
+        found = hashes.column("hash").to_pylist()
+        maybe = [False] * len(found)
+        if found and filters.num_rows:
+            f = Bloom(filters.column("size")[0].as_py(), np.frombuffer(filters.column("bits")[0].as_py(), np.uint8))
+            maybe = f.contains_all([bytes.fromhex(h) for h in found]).tolist()
+        return pa.table({"hash": pa.array(found, pa.string()), "maybe": pa.array(maybe, pa.bool_())})
+
+    return _dealt(hashes, parts).groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(probe, "hash string, maybe boolean")
+
+
 def plan_summary(ops: DataFrame) -> DataFrame:
     """Per file: operations and bytes by kind, and whether copies cover it whole."""
     copy, inline = F.col("op") == "copy", F.col("op") == "inline"

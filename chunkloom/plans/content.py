@@ -86,26 +86,9 @@ def tree_hash(spark, sf_dir):
 
 def bloom_have(spark, sf_dir):
     """Chunks of the new build that a filter over the old one's takes for known: all known ones are among them."""
-    known = builds.old_chunks(spark, sf_dir).select("hash").distinct()
-    n = known.count()
-    if 10 * n > 64 << 23:
-        raise ValueError("the filter would exceed 64 MiB; use a semi join")
-    import numpy as np
-    import pandas as pd
-
-    def build(batches):
-        f = scalars.Bloom(n)
-        for batch in batches:
-            for h in batch["hash"]:
-                f.add(bytes.fromhex(h))
-        at = np.flatnonzero(f.bits)
-        yield pd.DataFrame({"at": at, "bits": f.bits[at]})
-
-    merged = known.mapInPandas(build, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(scalars.Bloom(n).m // 8, np.uint8)
-    bits[merged["at"].to_numpy()] = merged["bits"].to_numpy()
-    new = builds.new_chunks(spark, sf_dir).select("hash").distinct()
-    x = new.withColumn("maybe", scalars.bloom_contains(F.col("hash"), scalars.Bloom(n, bits))).join(known.withColumn("known", F.lit(True)), "hash", "left")
+    known, new = (c(spark, sf_dir).select("hash").distinct() for c in (builds.old_chunks, builds.new_chunks))
+    parts = max(1, -(-known.count() // delta.PART_KEYS))
+    x = delta.filtered(new, delta.bloom_filters(known, parts), parts).join(known.withColumn("known", F.lit(True)), "hash", "left")
     return x.agg(F.count_if(F.col("known")).alias("known"), F.count_if(F.col("known") & F.col("maybe")).alias("found"), (F.count_if(F.col("known").isNull() & F.col("maybe")) * 50 < F.count_if(F.col("known").isNull())).alias("few_false"))
 
 

@@ -87,3 +87,19 @@ def test_streams_leave_no_rows_with_the_driver(spark):
     for name in ("streaming_sessions", "streaming_windows"):
         df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.count() and df.inputFiles()  # a sink in memory has no files
+
+
+def test_a_filter_in_parts_is_the_filter(spark):
+    rng = random.Random(2)
+    keys, others = [rng.randbytes(32) for _ in range(900)], [rng.randbytes(32) for _ in range(2000)]
+    f, g = scalars.Bloom(len(keys)), scalars.Bloom(len(keys))
+    for k in keys:
+        f.add(k)
+    g.add_all(keys)
+    assert f.bits.tobytes() == g.bits.tobytes() and g.contains_all(keys + others).tolist() == [k in f for k in keys + others]
+    known, asked = (spark.createDataFrame([(k.hex(),) for k in ks], "hash string") for ks in (keys, keys + others))
+    filters = delta.bloom_filters(known, 7)
+    assert filters.count() == 7 and filters.agg(F.max(F.length("bits"))).first()[0] < len(f.bits) // 4
+    maybe = {r["hash"]: r["maybe"] for r in delta.filtered(asked, filters, 7).collect()}
+    assert len(maybe) == 2900 and all(maybe[k.hex()] for k in keys) and sum(maybe[o.hex()] for o in others) < 60
+    assert not any(r["maybe"] for r in delta.filtered(asked, delta.bloom_filters(known.limit(0), 1), 1).collect())
