@@ -3,10 +3,12 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars
 from chunkloom.operators import chunking, cost, delta
+from chunkloom.sources import exchange
 
 
 def test_sizes_round_halves_to_even(spark):
@@ -103,3 +105,37 @@ def test_a_filter_in_parts_is_the_filter(spark):
     maybe = {r["hash"]: r["maybe"] for r in delta.filtered(asked, filters, 7).collect()}
     assert len(maybe) == 2900 and all(maybe[k.hex()] for k in keys) and sum(maybe[o.hex()] for o in others) < 60
     assert not any(r["maybe"] for r in delta.filtered(asked, delta.bloom_filters(known.limit(0), 1), 1).collect())
+
+
+def test_manifests_in_batches_are_those_one_by_one(spark):
+    rng = random.Random(3)
+    rows = [(f"a{k % 7}", k % 3, rng.choice([-1, 0, 5, 200]), k, rng.choice([0, 127, 128, 1 << 20, (1 << 62) + k]), f"h{rng.randrange(9)}") for k in range(400)]
+    rows += [("long", 0, k, 0, k, f"{rng.random()}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "asset string, track long, segment long, ord long, off long, hash string")
+    found = {r["asset"]: bytes(r["manifest"]) for r in exchange.encode_manifests(df).collect()}
+    order = ("track", "off", "segment", "ord", "hash")
+    of = lambda a: [dict(zip(order, v, strict=True)) for v in sorted((t, o, s, n, h) for asset, t, s, n, o, h in rows if asset == a)]
+    assert found == {a: exchange.encode_manifest(of(a)) for a in {r[0] for r in rows}} and found["long"][4] == 1
+    again = spark.createDataFrame([*found.items(), ("json", b'[{"track": 1, "segment": -1, "ord": 0, "off": 2, "hash": "x"}]'), ("none", exchange.encode_manifest([]))], "asset string, manifest binary")
+    assert sorted(map(tuple, exchange.decode_manifests(again).collect())) == sorted([*rows, ("json", 1, -1, 0, 2, "x")])
+
+
+def test_damaged_manifests_are_refused_in_batches(spark):
+    good = exchange.encode_manifest([{"track": 0, "segment": 0, "ord": 0, "off": 300, "hash": "h"}])
+    for bad in (good[:-1], good + b"\0", good[:-1] + b"\7", good[:-3] + b"\xac\x82\x00\x00", b"CLM2"):
+        df = spark.createDataFrame([("a", good), ("b", bad)], "asset string, manifest binary").coalesce(1)
+        with pytest.raises(Exception, match="BadManifest"):
+            exchange.decode_manifests(df).collect()
+
+
+def test_packs_of_metadata_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    manifests = spark.createDataFrame([(f"a{k}", b"m%d" % k) for k in range(20)], "asset string, manifest binary").mapInArrow(one, "asset string, manifest binary")
+    exchange.export_meta_packs(manifests, f"{tmp_path}/meta", 3)
+    assert made.value == 20 and exchange.resolve(spark, f"{tmp_path}/meta", manifests).where("source = 'packed'").count() == 20
