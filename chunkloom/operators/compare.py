@@ -7,7 +7,7 @@ costs one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -17,9 +17,14 @@ def is_new():
     return F.col("is_new") == 1
 
 
+def short(hash_: Column | str, *more: Column | str) -> dict[str, Column]:
+    """128 bits as two numbers, ``h1`` and ``h2``, to compare hashes by: a quarter of a written one, and of fixed size."""
+    return {"h1": F.xxhash64(hash_, *more), "h2": F.xxhash64(F.lit(1), hash_, *more)}
+
+
 def by_chunk(both: DataFrame, *keys: str) -> DataFrame:
-    """Counts of each chunk (with ``keys``) in either build."""
-    return both.groupBy(*keys, "hash").agg(F.max("len").alias("len"), F.count_if(~is_new()).alias("n_old"), F.count_if(is_new()).alias("n_new"))
+    """Counts of each chunk (``h1`` and ``h2``, with ``keys``) in either build."""
+    return both.select(*keys, "len", "is_new", *[c.alias(n) for n, c in short("hash").items()]).groupBy(*keys, "h1", "h2").agg(F.max("len").alias("len"), F.count_if(~is_new()).alias("n_old"), F.count_if(is_new()).alias("n_new"))
 
 
 def file_estimates(both: DataFrame) -> DataFrame:
@@ -92,12 +97,19 @@ def fingerprints(chunks: DataFrame) -> DataFrame:
 
 def classify(both: DataFrame) -> DataFrame:
     """NEW, MODIFIED, DELETED or SAME for each path, with the bytes that no chunk of the old build covers."""
-    f = fingerprints(both).groupBy("path").agg(*[F.max(F.when(F.col("is_new") == k, F.col(c))).alias(f"{n}_{c}") for k, n in ((0, "old"), (1, "new")) for c in ("size", "content_id")])
-    state = F.when(F.col("old_size").isNull(), "NEW").when(F.col("new_size").isNull(), "DELETED").when(F.col("old_content_id") == F.col("new_content_id"), "SAME").otherwise("MODIFIED")
+    # the sums of halves of what hashes and places make tell what the whole is made of; a file costs a row a build
+    halves = {f"{n}{k}": v for n, c in short("hash", "ord").items() for k, v in (("a", F.shiftright(c, 32)), ("b", c.bitwiseAND(0xFFFFFFFF)))}
+    at = both.select("path", "len", "is_new", *[c.alias(n) for n, c in halves.items()])
+    side = lambda k, c: F.sum(F.when(F.col("is_new") == k, F.col(c)))
+    f = at.groupBy("path").agg(*[side(k, c).alias(f"{n}_{m}") for k, n in ((0, "old"), (1, "new")) for c, m in (("len", "size"), *zip(halves, halves, strict=True))])
+    same = F.col("old_size") == F.col("new_size")
+    for h in halves:
+        same = same & (F.col(f"old_{h}") == F.col(f"new_{h}"))
+    state = F.when(F.col("old_size").isNull(), "NEW").when(F.col("new_size").isNull(), "DELETED").when(same, "SAME").otherwise("MODIFIED")
     # only chunks that the old file of the path lacks are looked up elsewhere, each once a path
     per = by_chunk(both, "path")
-    unknown = per.groupBy("hash").agg(F.sum("n_old").alias("anywhere")).where("anywhere = 0").select("hash")
-    fresh = per.where("n_old = 0").join(unknown, "hash", "left_semi").groupBy("path").agg(F.sum(F.col("len") * F.col("n_new")).alias("fresh"))
+    unknown = per.groupBy("h1", "h2").agg(F.sum("n_old").alias("anywhere")).where("anywhere = 0").select("h1", "h2")
+    fresh = per.where("n_old = 0").join(unknown, ["h1", "h2"], "left_semi").groupBy("path").agg(F.sum(F.col("len") * F.col("n_new")).alias("fresh"))
     x = f.select("path", state.alias("state"), F.coalesce("old_size", F.lit(0)).alias("old_size"), F.coalesce("new_size", F.lit(0)).alias("new_size")).join(fresh, "path", "left")
     return x.select("path", "state", "old_size", "new_size", F.coalesce("fresh", F.lit(0)).alias("fresh_bytes"), (F.col("new_size") - F.coalesce("fresh", F.lit(0))).alias("reused_bytes"))
 

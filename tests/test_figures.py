@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars
-from chunkloom.operators import chunking, cost, delta
-from chunkloom.sources import exchange
+from chunkloom.operators import chunking, compare, cost, delta, islands
+from chunkloom.sources import builds, exchange
 
 
 def test_sizes_round_halves_to_even(spark):
@@ -139,3 +139,59 @@ def test_packs_of_metadata_are_made_once(spark, tmp_path):
     manifests = spark.createDataFrame([(f"a{k}", b"m%d" % k) for k in range(20)], "asset string, manifest binary").mapInArrow(one, "asset string, manifest binary")
     exchange.export_meta_packs(manifests, f"{tmp_path}/meta", 3)
     assert made.value == 20 and exchange.resolve(spark, f"{tmp_path}/meta", manifests).where("source = 'packed'").count() == 20
+
+
+def test_states_count_copies_and_places(spark):
+    rows = [("a", 0, 4, "x", 0), ("a", 0, 4, "x", 0), ("a", 0, 4, "y", 1), ("a", 0, 4, "y", 1), ("b", 0, 4, "x", 0), ("b", 1, 4, "y", 0), ("b", 0, 4, "y", 1), ("b", 1, 4, "x", 1), ("c", 0, 4, "x", 0), ("c", 0, 4, "x", 1), ("d", 0, 4, "q", 1), ("e", 0, 4, "x", 0)]
+    both = spark.createDataFrame(rows, "path string, ord int, len long, hash string, is_new int")
+    got = {r["path"]: (r["state"], r["fresh_bytes"]) for r in compare.classify(both).collect()}
+    assert got == {"a": ("MODIFIED", 0), "b": ("MODIFIED", 0), "c": ("SAME", 0), "d": ("NEW", 4), "e": ("DELETED", 0)}
+
+
+def shuffled(df):
+    """The names and kinds of the columns that each exchange of a plan carries."""
+    found = []
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.inputPlan())
+            continue
+        if p.nodeName() == "Exchange":
+            found.append(p.output().mkString(",") + " " + p.schema().simpleString())
+        c = p.children()
+        todo += [c.apply(i) for i in range(c.size())]
+    return found
+
+
+def test_chunks_are_compared_by_short_hashes(spark):
+    both = builds.both_chunks(spark, "/root/testdata/sf0.001")
+    for df in (compare.file_estimates(both), compare.classify(both), islands.changed_windows(both.select("path", "ord", "len", "hash", "is_new"))):
+        kinds = shuffled(df)
+        assert kinds and not any("hash:" in k or "content_id" in k or "_hash" in k for k in kinds)
+        assert "SortAggregate" not in df._jdf.queryExecution().toString()
+
+
+def test_narrow_rows_are_dealt_however_many(spark, tmp_path):
+    spark.range(1_000_000).select(F.col("id").alias("c_custkey"), F.rand(1).alias("c_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    from chunkloom.plans.cost import _routes
+
+    assert _routes(spark, str(tmp_path)).rdd.getNumPartitions() >= 6
+
+
+def test_signals_are_made_once_for_a_plan(spark):
+    from chunkloom import catalog
+
+    for name in ("layout_plan", "build_findings"):
+        assert "MapInArrow" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_windows_of_files_are_those_of_rows(spark):
+    rows = [("a", "x" * 10, "x" * 9), ("b", "abcdefgh", "abcdefgh1234"), ("c", "", "abc"), ("d", None, "abcde"), ("e", "only old", None)]
+    old = spark.createDataFrame([(p, o) for p, o, _ in rows], "path string, content string")
+    new = spark.createDataFrame([(p, n) for p, _, n in rows if p != "e"], "path string, content string")
+    both = builds.fixed_chunks(old, 4).withColumn("is_new", F.lit(0)).unionByName(builds.fixed_chunks(new, 4).withColumn("is_new", F.lit(1)))
+    of = lambda df: sorted(tuple(r[c] for c in ("path", "ord", "len", "changed", "was", "is")) for r in df.collect())
+    got = islands.changed_windows_of(islands.window_hashes(old, 4), islands.window_hashes(new, 4))
+    assert of(got) == of(islands.changed_windows(both.where("path <> 'e'")))
+    assert "Aggregate" not in got._jdf.queryExecution().toString()
