@@ -77,9 +77,9 @@ def signals(old: DataFrame, new: DataFrame, fixed: int = FIXED, fine: int = FINE
     both = fixed_chunks(old, fixed).withColumn("is_new", F.lit(0)).unionByName(fixed_chunks(new, fixed).withColumn("is_new", F.lit(1)))
     files = compare.file_estimates(both).where("status <> 'deleted'").withColumn("fixed_reuse", 1 - F.col("new_chunks") / F.greatest("n_chunks", F.lit(1)))
     before, after = texts or (old, new)
-    known = cdc(before).select("hash").distinct().withColumn("known", F.lit(True))
+    known = cdc(before).select(*[c.alias(n) for n, c in compare.short("hash").items()]).distinct().withColumn("known", F.lit(True))
     fresh = F.col("known").isNull()
-    of = cdc(after).join(known, "hash", "left").groupBy("path").agg((1 - F.count_if(fresh) / F.count(F.lit(1))).alias("cdc_reuse"), F.sum(F.when(fresh, F.col("len") + PER_CHUNK).otherwise(0)).alias("cdc_download"))
+    of = cdc(after).select("path", "len", *[c.alias(n) for n, c in compare.short("hash").items()]).join(known, ["h1", "h2"], "left").groupBy("path").agg((1 - F.count_if(fresh) / F.count(F.lit(1))).alias("cdc_reuse"), F.sum(F.when(fresh, F.col("len") + PER_CHUNK).otherwise(0)).alias("cdc_download"))
     bits = new.select("path", scalars.entropy(F.col("content")).alias("entropy"))
     x = files.join(of, "path", "left").join(bits, "path", "left").join(heat(old, new, {"fine": fine, "coarse": coarse}), "path", "left")
     return x.select("path", "status", scalars.is_pack(F.col("path")).alias("is_pack"), "old_size", "new_size", "fixed_reuse", F.coalesce("cdc_reuse", F.lit(1.0)).alias("cdc_reuse"), F.col("download").alias("fixed_download"), F.coalesce("cdc_download", F.lit(0)).alias("cdc_download"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"), "fine", "coarse")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import analysis, cost
 from ..sources.builds import spread, table
+from .sessions import shared_folder
 
 T = analysis.Thresholds(advisory=3000, warning=8000, critical=20000, interesting=1000, scattered_windows=4, toc_runs=8, entropy=4.2, growth=2000)
 FIXED, FINE, COARSE = 64, 64, 512
@@ -45,6 +46,13 @@ def _signals(spark, sf_dir):
     return analysis.signals(old, new, FIXED, FINE, COARSE, analysis.delimited_chunks, texts)
 
 
+def _kept_signals(spark, sf_dir):
+    """The same, written once for plans that read them several times: a row a file."""
+    root = f"{shared_folder(spark)}/signals"
+    _signals(spark, sf_dir).write.parquet(root)
+    return spark.read.parquet(root)
+
+
 _HEAT = ("windows", "changed", "runs", "scatteredness", "span", "density", "mean_run")
 
 
@@ -73,11 +81,11 @@ def detector_findings(spark, sf_dir):
 
 
 def build_findings(spark, sf_dir):
-    return analysis.build_findings(_signals(spark, sf_dir), T)
+    return analysis.build_findings(_kept_signals(spark, sf_dir), T)
 
 
 def layout_plan(spark, sf_dir):
-    x = _signals(spark, sf_dir)
+    x = _kept_signals(spark, sf_dir)
     return analysis.layout_plan(analysis.detector_findings(x, T).unionByName(analysis.build_findings(x, T)), x)
 
 
