@@ -208,9 +208,7 @@ def changed_runs(spark, sf_dir):
 
 def _windows(spark, sf_dir):
     """Windows of 256 characters of the files that both builds have."""
-    both = builds.both_chunks(spark, sf_dir, 256).select("path", "ord", "len", "hash", "is_new")
-    stays = builds.new_build(spark, sf_dir).select("path").join(builds.old_build(spark, sf_dir).select("path"), "path", "left_semi")
-    return islands.changed_windows(both.join(stays, "path", "left_semi"))
+    return islands.changed_windows_of(*[islands.window_hashes(b(spark, sf_dir), 256) for b in (builds.old_build, builds.new_build)])
 
 
 def tiling_check(spark, sf_dir):
