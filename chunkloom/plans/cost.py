@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import cost
-from ..sources.builds import table
+from ..sources.builds import many_parts, table
 
 _ROUTES = [("full", 0, 16), ("bootstrap", 1, 32), ("chunks", 2, 64), ("hybrid", 3, 64), ("plan", 4, 40), ("patch", 5, 256)]
 
 
 def _routes(spark, sf_dir):
     """Six routes for each customer, with figures from its key and balance."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client"), (F.floor(F.abs("c_acctbal")) * 40_000 + 1_000_000).cast("long").alias("size"))
+    c = many_parts(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), 1 << 20).select(F.col("c_custkey").alias("client"), (F.floor(F.abs("c_acctbal")) * 40_000 + 1_000_000).cast("long").alias("size"))
     k, i = F.col("client"), F.col("pos")
     r = c.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("route"), F.lit(p).alias("pos"), F.lit(m).alias("mib")) for n, p, m in _ROUTES])).alias("r")).select("client", "size", "r.*")
     return r.select(

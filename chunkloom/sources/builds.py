@@ -35,6 +35,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * SMALL else df
 
 
+def many_parts(df: DataFrame, part: int) -> DataFrame:
+    """A table of narrow rows, of each of which a plan makes many, dealt to parts of about ``part`` bytes: however long the table, a task has as many."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part)))
+
+
 def old_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return d.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.col("source").alias("depot"), F.col("lang").alias("language"))
