@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -239,14 +240,27 @@ def ungroup_bytes(data: bytes, planes: int = 4) -> bytes:
     return out.tobytes()
 
 
-def store_form(data: bytes, level: int = 3) -> tuple[str, bytes]:
-    """How a chunk is stored: raw below 512 bytes or where compression saves under a sixteenth; byte planes where they beat plain compression that disappoints."""
+@cache
+def _packer(level: int):
+    """A compressor of this process; making one for each chunk costs more than a small chunk."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level)
+
+
+@cache
+def _unpacker():
     import zstandard
 
+    return zstandard.ZstdDecompressor()
+
+
+def store_form(data: bytes, level: int = 3) -> tuple[str, bytes]:
+    """How a chunk is stored: raw below 512 bytes or where compression saves under a sixteenth; byte planes where they beat plain compression that disappoints."""
     n = len(data)
     if n < 512:
         return "raw", data
-    pack = zstandard.ZstdCompressor(level=level).compress
+    pack = _packer(level).compress
     plain, form = pack(data), "zstd"
     if len(plain) > 3 * (n // 4) or len(plain) >= n - n // 16:
         grouped = pack(group_bytes(data))
@@ -256,11 +270,9 @@ def store_form(data: bytes, level: int = 3) -> tuple[str, bytes]:
 
 
 def load_form(form: str, stored: bytes) -> bytes:
-    import zstandard
-
     if form == "raw":
         return stored
-    data = zstandard.ZstdDecompressor().decompress(stored)
+    data = _unpacker().decompress(stored)
     return ungroup_bytes(data) if form == "planes+zstd" else data
 
 

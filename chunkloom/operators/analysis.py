@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.batches import small_batches
 from ..sources.builds import fixed_chunks
 from . import chunking, compare
 
@@ -56,6 +57,7 @@ def heat(old: DataFrame, new: DataFrame, sizes: dict[str, int]) -> DataFrame:
             found = [pa.array([dict(zip(names, heat_of(a or b"", b or b"", size), strict=True)) for a, b in pairs], kind) for size in sizes.values()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["path", *sizes])
 
+    small_batches(both)
     return both.mapInArrow(run, ", ".join(["path string", *(f"{n} struct<{_HEAT.replace(' ', ':').replace(',:', ',')}>" for n in sizes)]))
 
 

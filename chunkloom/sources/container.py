@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.batches import small_batches
 from ..operators import chunking
 
 TABLES = ("files", "segments", "chunks", "integrity")
@@ -27,14 +28,16 @@ def chunked(files: DataFrame, least: int = 16 << 10, mean: int = 64 << 10, most:
     return chunking.cdc_chunks(files, least, mean, most, norm, data=True)
 
 
-def stored_chunks(pieces: DataFrame, level: int = 3, pack_bytes: int = 128 << 20) -> DataFrame:
+def stored_chunks(pieces: DataFrame, level: int = 3, pack_bytes: int = 128 << 20, lens: DataFrame | None = None) -> DataFrame:
     """Each different chunk once, in the form that it is stored in, with its pack.
 
+    ``lens`` (hash, len) are the pieces' where they have been written already: else they are cut twice.
+
     Packs are ranges of the hash, as many as the raw bytes ask for, so adding
     chunks to one never needs the others.
     """
     once = pieces.groupBy("hash").agg(F.first("data").alias("data"), F.max("len").alias("len_raw"))
-    raw = once.agg(F.sum("len_raw")).first()[0] or 0
+    raw = (pieces if lens is None else lens).groupBy("hash").agg(F.max("len").alias("len")).agg(F.sum("len")).first()[0] or 0
     packs = max(1, -(-raw // pack_bytes))
     x = once.withColumn("s", scalars.stored(F.col("data"), level))
     pack = F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * packs / (1 << 32)).cast("int")
@@ -55,8 +58,8 @@ def write_container(files: DataFrame, root: str, **profile: int) -> None:
     pieces = chunked(files, **profile)
     files.select("path", F.length("content").cast("long").alias("size"), F.coalesce("executable", F.lit(False)).alias("executable"), "symlink", F.sha2("content", 256).alias("digest")).write.parquet(f"{root}/files")
     pieces.drop("data").write.parquet(f"{root}/segments")
-    stored_chunks(pieces).write.partitionBy("pack").parquet(f"{root}/chunks")
     spark = files.sparkSession
+    stored_chunks(pieces, lens=spark.read.parquet(f"{root}/segments")).write.partitionBy("pack").parquet(f"{root}/chunks")
     c = spark.read.parquet(f"{root}/chunks")
     totals = c.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("len_raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("len_stored"), F.lit(0)).alias("stored")).withColumn("version", F.lit(1))
     root_row = merkle(c).first()
@@ -68,6 +71,7 @@ def open_container(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/integrity/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         raise BadContainer(f"no container under {root}")
+    small_batches(spark)
     found = {t: spark.read.parquet(f"{root}/{t}") for t in TABLES}
     if found["integrity"].first()["version"] != 1:
         raise BadContainer("unknown version")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import scalars
 from chunkloom.operators import chunking, compare, cost, delta, islands
-from chunkloom.sources import builds, exchange
+from chunkloom.sources import builds, container, exchange
 
 
 def test_sizes_round_halves_to_even(spark):
@@ -195,3 +195,28 @@ def test_windows_of_files_are_those_of_rows(spark):
     got = islands.changed_windows_of(islands.window_hashes(old, 4), islands.window_hashes(new, 4))
     assert of(got) == of(islands.changed_windows(both.where("path <> 'e'")))
     assert "Aggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_containers_cut_files_no_more_than_they_must(spark, tmp_path):
+    cut = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            cut.add(b.num_rows)
+            yield b
+
+    rng = random.Random(4)
+    files = spark.createDataFrame([(f"f{k}", bytearray(rng.randbytes(3000) + b"a" * 3000)) for k in range(8)], "path string, content binary")
+    watched = files.mapInArrow(one, "path string, content binary")
+    container.write_container(watched, f"{tmp_path}/box", least=128, mean=512, most=2048)
+    assert cut.value == 3 * 8  # for the files, their segments and their chunks
+    box = container.open_container(spark, f"{tmp_path}/box")
+    assert container.verify(box).where("problems > 0").count() == 0
+    assert container.unpack(box).where("sound").count() == 8
+
+
+def test_one_compressor_is_kept():
+    assert scalars._packer(3) is scalars._packer(3)
+    data = bytes(range(256)) * 20
+    form, kept = scalars.store_form(data)
+    assert form != "raw" and scalars.load_form(form, kept) == data
